@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_texts
+from .media import media_columns
 from .near_dedup import near_duplicates
+from .token_store import token_files
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +22,20 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return token_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op4_bpe": op4_bpe,
+    "op8_media": op8_media,
+    "op9_token_files": op9_token_files,
 }
 
 #: DuckDB SQL for those that SQL can express on whole tables.
