@@ -145,15 +145,15 @@ def _long_lists(lists: DataFrame, docs: DataFrame, width: int, percent: int) ->
     plan = plan.select("root", "v", "whole", F.greatest(F.ceil(m / BLOCK_ROWS), F.ceil(n / BLOCK_SHINGLES)).cast("int").alias("nb"))
     keyed = (
         member.join(plan, ["root", "v"])
-        .select(F.when(F.col("whole"), F.struct(F.lit(0), "root")).otherwise(F.struct(F.lit(1), "v")).alias("key"), "cid", "nb")
+        .select("whole", F.when(F.col("whole"), F.col("root")).otherwise(F.col("v")).alias("key"), "cid", "nb")
         .distinct()
         .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("key", "cid", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        .select("whole", "key", "cid", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
     wanted = member.select("cid").distinct()
     sets = _full_sets(only_ids(docs.withColumnRenamed("doc_id", "cid"), wanted, "cid"), width)
-    return keyed.join(sets, "cid").groupBy("key", "i", "j").applyInPandas(_forest(percent), "a long, b long")
+    return keyed.join(sets, "cid").groupBy("whole", "key", "i", "j").applyInPandas(_forest(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
