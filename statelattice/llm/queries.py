@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_texts
+from .language_id import predict
 from .media import media_columns
 from .near_dedup import near_duplicates
+from .secrets import find_secrets
 from .token_store import token_files
 
 
@@ -22,6 +24,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -31,11 +37,17 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op4_bpe": op4_bpe,
+    "op6_secrets": op6_secrets,
     "op8_media": op8_media,
     "op9_token_files": op9_token_files,
+    "op10_language_id": op10_language_id,
 }
 
 #: DuckDB SQL for those that SQL can express on whole tables.
