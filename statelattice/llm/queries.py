@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_texts
 from .language_id import predict
 from .media import media_columns
+from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .secrets import find_secrets
+from .sharding import shard_by_bytes
 from .token_store import token_files
 
 
@@ -19,6 +21,15 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, percent=80)
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_by_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=40)
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"), weights=[3, 1, 2], share=1.5, most=2)
+    return mixed.drop("tie")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
@@ -43,6 +54,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_sharding": op2_sharding,
+    "op3_mixing": op3_mixing,
     "op4_bpe": op4_bpe,
     "op6_secrets": op6_secrets,
     "op8_media": op8_media,
