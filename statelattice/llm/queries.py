@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import chat, topk
 from .bpe import encode_texts
 from .language_id import predict
 from .media import media_columns
@@ -35,10 +37,19 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=100, k=10)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chats.select("conv_id", "n_turns", "kept", F.md5("chat").alias("chat_md5"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -57,11 +68,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_mixing": op3_mixing,
     "op4_bpe": op4_bpe,
+    "op5_top_k": op5_top_k,
     "op6_secrets": op6_secrets,
+    "op7_chat": op7_chat,
     "op8_media": op8_media,
     "op9_token_files": op9_token_files,
     "op10_language_id": op10_language_id,
 }
 
 #: DuckDB SQL for those that SQL can express on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_top_k": topk.ORACLE, "op7_chat": chat.ORACLE}
