@@ -135,13 +135,14 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", prefix: str
     Texts that are null or have no letters get `und`, 0 and an empty map. An existing column of one of these
     names is replaced; all others, and the number of rows, stay.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: BUCKETS floats a language
+    held = docs.sparkSession.sparkContext.broadcast((model.languages, model.loglik))  # fixed size: BUCKETS floats a language
 
     @F.pandas_udf("pred string, score double, shares map<string,double>")
     def run(texts):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        found = [infer(x or "", held.value) for x in texts]
+        own = Model(*held.value)
+        found = [infer(x or "", own) for x in texts]
         return pd.DataFrame({"pred": [f[0] for f in found], "score": [f[1] for f in found], "shares": [f[2] for f in found]})
 
     out = docs.withColumn("__language", run(F.col(text_col).cast("string")))
