@@ -23,32 +23,43 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS, WALK = 4, 16
 
 
+def _hashed(key: list[Column], i: int, by: Column, n: Column) -> Column:
+    return F.pmod(F.xxhash64(*key, F.lit(i), by), n)
+
+
 def _feistel(x: Column, a: Column, b: Column, key: list[Column], back: bool) -> Column:
-    """One pass of an unbalanced Feistel network over 0 .. a*b - 1, or its inverse."""
+    """One pass of an unbalanced Feistel network over 0 .. a*b - 1, or its inverse, as one expression."""
     left, right = F.pmod(x, a), F.floor(x / a).cast("long")
     for i in reversed(range(ROUNDS)) if back else range(ROUNDS):
-        by = right if i % 2 == 0 else left
-        step = F.pmod(F.xxhash64(*key, F.lit(i), by), a if i % 2 == 0 else b)
         if i % 2 == 0:
+            step = _hashed(key, i, right, a)
             left = F.pmod(left - step if back else left + step, a)
         else:
+            step = _hashed(key, i, left, b)
             right = F.pmod(right - step if back else right + step, b)
     return right * a + left
 
 
-def permuted(i: Column, n: Column, key: list[Column], back: bool = False) -> Column:
-    """The place of i in a keyed pseudorandom permutation of 0 .. n - 1 (back: the inverse).
+def with_permuted(rows: DataFrame, name: str, i: Column, n: Column, key: list[Column], back: bool = False) -> DataFrame:
+    """rows with column `name`: the place of i in a keyed pseudorandom permutation of 0 .. n - 1 (back: the inverse).
 
     The network covers a*b >= n places with a = ceil(sqrt(n)); results from n on go round again. There are fewer
     than a such places, so WALK steps always end for n <= WALK**2, and fail with a chance below WALK**-WALK beyond.
+    The first two passes are projections, round by round; the few rows that need more go through a fold.
     """
-    a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
-    b = F.ceil(n / a).cast("long")
-
-    def step(x: Column, _: Column) -> Column:
-        return F.when((x >= 0) & (x < n), x).otherwise(_feistel(F.when(x < 0, -x - 1).otherwise(x), a, b, key, back))
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), (-i - 1).cast("long"), step)
+    rows = rows.withColumns({"__x": i.cast("long"), "__n": n.cast("long")}).withColumn("__a", F.ceil(F.sqrt(F.col("__n").cast("double"))).cast("long"))
+    rows = rows.withColumn("__b", F.ceil(F.col("__n") / F.col("__a")).cast("long"))
+    x, a, b, left, right = (F.col(c) for c in ("__x", "__a", "__b", "__l", "__r"))
+    for first in (True, False):
+        rows = rows.withColumns({"__l": F.pmod(x, a), "__r": F.floor(x / a).cast("long")})
+        for r in reversed(range(ROUNDS)) if back else range(ROUNDS):
+            mine, other, base = ("__l", right, a) if r % 2 == 0 else ("__r", left, b)
+            step = _hashed(key, r, other, base)
+            rows = rows.withColumn(mine, F.pmod(F.col(mine) - step if back else F.col(mine) + step, base))
+        turned = right * a + left
+        rows = rows.withColumn("__x", turned if first else F.when(x < F.col("__n"), x).otherwise(turned))
+    on = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), x, lambda y, _: F.when(y < F.col("__n"), y).otherwise(_feistel(y, a, b, key, back)))
+    return rows.withColumn(name, F.when(x < F.col("__n"), x).otherwise(on)).drop("__x", "__n", "__a", "__b", "__l", "__r")
 
 
 def _targets(sizes: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
@@ -74,7 +85,7 @@ def _needs(targets: DataFrame, seed: int) -> DataFrame:
     rows = rows.withColumn("rounds", F.floor(F.col("goal") / F.col("source_size")).cast("long"))
     rows = rows.withColumn("rest", F.col("goal") - F.col("rounds") * F.col("source_size"))
     rows = rows.withColumn("last_size", F.col("source_size") - (F.col("blocks") - 1) * BLOCK)
-    rows = rows.withColumn("last_at", permuted(F.col("blocks") - 1, F.col("blocks"), [F.lit(seed), F.col("sid"), F.col("rounds")], back=True))
+    rows = with_permuted(rows, "last_at", F.col("blocks") - 1, F.col("blocks"), [F.lit(seed), F.col("sid"), F.col("rounds")], back=True)
     some = F.ceil(F.col("rest") / BLOCK).cast("long")
     more = (F.col("last_at") < some) & (some * BLOCK - BLOCK + F.col("last_size") < F.col("rest"))
     return rows.withColumn("slots", F.col("rounds") * F.col("blocks") + some + more.cast("long"))
@@ -98,7 +109,9 @@ def draw_slots(needs: DataFrame, seed: int) -> DataFrame:
     counts = counts.join(needs.select("sid", "slots"), "sid").withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
     counts = counts.withColumn("kept", F.greatest(F.lit(0), F.least("n", F.col("slots") - F.col("first"))))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    kept = counts.where("kept > 0").select("shard", "sid", "first", upto(F.col("kept")).alias("i")).select("shard", "sid", (F.col("first") + F.col("i")).alias("nth"))
+    # a row becomes up to SHARD rows, so these few are dealt out first
+    parts = int(needs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = counts.where("kept > 0").repartition(parts, "shard", "sid").select("shard", "sid", "first", upto(F.col("kept")).alias("i")).select("shard", "sid", (F.col("first") + F.col("i")).alias("nth"))
     spare = counts.where("n > kept").withColumn("spare", F.col("n") - F.col("kept"))
     spare = spare.withColumn("from", F.sum("spare").over(Window.orderBy("shard", "sid")) - F.col("spare"))  # few: the last shards of some sources
     spare = spare.select("shard", "from", upto(F.col("spare")).alias("i")).select("shard", (F.col("from") + F.col("i")).alias("place"))
@@ -113,7 +126,7 @@ def take_blocks(slots: DataFrame, needs: DataFrame, seed: int) -> DataFrame:
     """(shard, sid, block, take): the block index of every slot and how many of its words, from its start, count."""
     rows = slots.join(needs.select("sid", "blocks", "rounds", "rest", "last_size", "last_at"), "sid")
     rows = rows.withColumn("round", F.floor(F.col("nth") / F.col("blocks")).cast("long")).withColumn("i", F.col("nth") - F.col("round") * F.col("blocks"))
-    rows = rows.withColumn("block", permuted(F.col("i"), F.col("blocks"), [F.lit(seed), F.col("sid"), F.col("round")]))
+    rows = with_permuted(rows, "block", F.col("i"), F.col("blocks"), [F.lit(seed), F.col("sid"), F.col("round")])
     whole = F.when(F.col("block") == F.col("blocks") - 1, F.col("last_size")).otherwise(F.lit(BLOCK))
     before = F.col("i") * BLOCK - F.when(F.col("last_at") < F.col("i"), BLOCK - F.col("last_size")).otherwise(0)
     take = F.when(F.col("round") < F.col("rounds"), whole).otherwise(F.least(whole, F.col("rest") - before))
