@@ -120,8 +120,10 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     digests of nothing. Rows with a null or repeated id are encoded like others. Other columns aren't read.
     """
 
+    memo = docs.sparkSession.sparkContext.broadcast({})  # one dict in each worker process, kept from task to task
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, pattern)
+        codec = memo.value.get("codec") or memo.value.setdefault("codec", Codec(path, pattern))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
