@@ -54,8 +54,12 @@ class Emission:
     """What every family offers; subclasses are frozen dataclasses of their parameters."""
 
     tag: ClassVar[str]
+    multivariate: ClassVar[bool] = False
     discrete: ClassVar[bool] = False
-    dimension: ClassVar[int] = 1
+
+    @property
+    def dim(self) -> int:
+        return 1
 
     def __post_init__(self) -> None:
         if not self.valid():
@@ -140,8 +144,8 @@ def _weigh(test: Callable[[Any, Any], Any], value: Callable[[Any, Any], Any] | N
     return "sum", lambda o, x, w: o.where(test(o, x) & (w > 0), w * (value(o, x) if value else 1.0), 0.0)
 
 
-TOTAL: Stat = _sum(lambda o, x, w: w + x * 0.0 if o is Arrays else w)
-COUNT: Stat = _sum(lambda o, x, w: o.where(x == x, 1.0, 1.0))
+TOTAL: Stat = _sum(lambda o, x, w: w)
+COUNT: Stat = _sum(lambda o, x, w: o.where(w == w, 1.0, 1.0))
 
 
 def columns_of(stats: dict[str, Stat], x: Column, w: Column, prefix: str = "", where: Column | None = None) -> list[Column]:
@@ -159,7 +163,7 @@ def of_arrays(stats: dict[str, Stat], x: np.ndarray, w: np.ndarray) -> dict[str,
     out = {}
     with np.errstate(all="ignore"):
         for name, (how, value) in stats.items():
-            each = np.broadcast_to(value(Arrays, x, w), x.shape)
+            each = np.broadcast_to(value(Arrays, x, w), w.shape)
             out[name] = float({"sum": np.sum, "min": lambda e: e.min(initial=INF), "max": lambda e: e.max(initial=-INF)}[how](each))
     return out
 
@@ -168,7 +172,7 @@ def fit_arrays(start: Emission, x: Any, w: Any = None) -> Emission:
     """A fit on local arrays."""
     x = np.asarray(x, float)
     fit = start.fitting(w is not None)
-    weights = np.ones_like(x) if w is None else np.asarray(w, float)
+    weights = np.ones(len(x)) if w is None else np.asarray(w, float)
     try:
         want = next(fit)
         while True:
@@ -205,7 +209,8 @@ def fit_column(df: DataFrame, start: Emission, x: str, w: str | None = None) ->
     def answer(wants: dict[Any, dict[str, Stat]]) -> dict[Any, dict[str, float]]:
         rows = df.where(F.col(x).isNotNull())
         weight = F.lit(1.0) if w is None else F.col(w)
-        return {k: rows.agg(*columns_of(want, F.col(x).cast("double"), weight)).first().asDict() for k, want in wants.items()}
+        value = F.col(x) if start.multivariate else F.col(x).cast("double")
+        return {k: rows.agg(*columns_of(want, value, weight)).first().asDict() for k, want in wants.items()}
 
     return fit_many({0: start}, answer, w is not None)[0]
 
@@ -217,7 +222,8 @@ def fit_groups(df: DataFrame, starts: dict[int, Emission], group: str, x: str, w
         aggregates = []
         for k, want in wants.items():
             weight, here = (F.col(w[k]), None) if w else (F.lit(1.0), F.col(group) == k)
-            aggregates += columns_of(want, F.col(x).cast("double"), weight, f"{k}__", here)
+            value = F.col(x) if starts[k].multivariate else F.col(x).cast("double")
+            aggregates += columns_of(want, value, weight, f"{k}__", here)
         row = df.where(F.col(x).isNotNull()).agg(*aggregates).first().asDict()
         return {k: {name: row[f"{k}__{name}"] for name in want} for k, want in wants.items()}
 
