@@ -32,16 +32,21 @@ def symbols(column: str, alphabet: list[str]) -> Column:
     return F.when(place >= 0, place.cast("double"))
 
 
+def _micros(time: Column) -> Column:
+    """Microseconds since 1970; times without a zone are taken in that of the session."""
+    return F.unix_micros(time.cast("timestamp"))
+
+
 def gaps(rows: DataFrame, key: str, time: str, tie: str, name: str = "gap") -> DataFrame:
     """rows with the seconds since the key's row before; the first row of a key has none and goes."""
     before = F.lag(F.col(time)).over(Window.partitionBy(key).orderBy(time, tie))
-    seconds = (F.unix_micros(time) - F.unix_micros(before)) / F.lit(1e6)
+    seconds = (_micros(F.col(time)) - _micros(before)) / F.lit(1e6)
     return rows.withColumn(name, seconds).where(F.col(name).isNotNull())
 
 
 def day_angle(time: str) -> Column:
     """The time of day as an angle in (-pi, pi], midnight at pi."""
-    seconds = F.pmod(F.unix_micros(time), F.lit(86_400_000_000)) / F.lit(1e6)
+    seconds = F.pmod(_micros(F.col(time)), F.lit(86_400_000_000)) / F.lit(1e6)
     angle = seconds * (2 * math.pi / 86_400) - math.pi
     return F.when(angle <= -math.pi, F.lit(math.pi)).otherwise(angle)
 
