@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Ranks in one word of the lower bitmap.
 WORD = 256
 #: Encoded pre-tokens that a task remembers, and the longest it does (characters).
-CACHE, CACHE_CHARS = 600_000, 64
+CACHE, CACHE_CHARS = 400_000, 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Rows up to which a one-column table of ids may be broadcast (8 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
@@ -65,3 +69,25 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if seen == last:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())
+
+
+def map_texts(df: DataFrame, text_col: str, new: dict[str, tuple[DataType, pa.DataType]], of: Callable[[str | None], tuple[Any, ...]]) -> DataFrame:
+    """df with the columns `new`, computed from one text at a time; a column of the same name is replaced in place.
+
+    Rows pass through Python in small slices of their Arrow batches, so a worker holds few texts at once.
+    """
+    kept = [f for f in df.schema.fields if f.name not in new or f.name == text_col]
+    order = [*kept, *(StructField(n, t[0]) for n, t in new.items() if n != text_col)]
+    places = [df.columns.index(f.name) for f in kept]
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 128):
+                part = batch.slice(start, 128)
+                rows = [of(x.as_py()) for x in part.column(at)]
+                made = {n: pa.array([r[i] for r in rows], t[1]) for i, (n, t) in enumerate(new.items())}
+                columns = [made[text_col] if p == at and text_col in made else part.column(p) for p in places]
+                yield pa.RecordBatch.from_arrays([*columns, *(made[n] for n in made if n != text_col)], [f.name for f in order])
+
+    return df.mapInArrow(run, StructType(order))

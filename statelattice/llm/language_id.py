@@ -15,6 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, MapType, StringType
+
+from .common import map_texts
 
 #: Buckets of hashed trigrams; documents of each language that are fitted on, at most; EM steps, at most.
 BUCKETS, SAMPLE, STEPS = 1 << 16, 1000, 20
@@ -136,19 +139,14 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", prefix: str
     names is replaced; all others, and the number of rows, stay.
     """
     held = docs.sparkSession.sparkContext.broadcast((model.languages, model.loglik))  # fixed size: BUCKETS floats a language
+    names = [f"{prefix}pred", f"{prefix}score", f"{prefix}shares"]
+    kinds = [(StringType(), pa.string()), (DoubleType(), pa.float64()), (MapType(StringType(), DoubleType()), pa.map_(pa.string(), pa.float64()))]
 
-    @F.pandas_udf("pred string, score double, shares map<string,double>")
-    def run(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        own = Model(*held.value)
-        found = [infer(x or "", own) for x in texts]
-        return pd.DataFrame({"pred": [f[0] for f in found], "score": [f[1] for f in found], "shares": [f[2] for f in found]})
+    def one(text: str | None) -> tuple:
+        pred, score, shares = infer(text or "", Model(*held.value))
+        return pred, score, list(shares.items())
 
-    out = docs.withColumn("__language", run(F.col(text_col).cast("string")))
-    for name in ("pred", "score", "shares"):
-        out = out.withColumn(f"{prefix}{name}", F.col(f"__language.{name}"))
-    return out.drop("__language")
+    return map_texts(docs.withColumn(text_col, F.col(text_col).cast("string")), text_col, dict(zip(names, kinds, strict=True)), one)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -26,6 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from .common import map_texts
 
 # The base kinds in their listed order, and their patterns.
 KINDS = ("assign", "access", "hex", "random")
@@ -227,20 +230,16 @@ def redact_secrets(docs: DataFrame, model: Model | None = None, text_col: str =
     """docs with every span of its texts replaced by `mark`; null texts stay null, other columns as they are."""
     model = model or fit(docs, text_col)
 
-    @F.pandas_udf("string")
-    def clean(texts):  # noqa: ANN001, ANN202
-        counts = np.array(model.symbols)
-
-        def one(text: str | None) -> str | None:
-            if text is None:
-                return None
-            out, at = [], 0
-            for _, a, b in all_spans(text, model, counts)[1]:
-                if a >= at:
-                    out += [text[at:a], mark]
-                at = max(at, b)
-            return "".join([*out, text[at:]])
+    symbols = np.array(model.symbols)
 
-        return texts.map(one)
+    def one(text: str | None) -> tuple:
+        if text is None:
+            return (None,)
+        out, at = [], 0
+        for _, a, b in all_spans(text, model, symbols)[1]:
+            if a >= at:
+                out += [text[at:a], mark]
+            at = max(at, b)
+        return ("".join([*out, text[at:]]),)
 
-    return docs.withColumn(text_col, clean(F.col(text_col).cast("string")))
+    return map_texts(docs.withColumn(text_col, F.col(text_col).cast("string")), text_col, {text_col: (StringType(), pa.string())}, one)
