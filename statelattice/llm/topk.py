@@ -1,10 +1,10 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code's bits are cut into SEGMENTS of 16; an index lists the codes by (segment, value). A query looks up all values
-within radius 0 of its own segments, then 1, 2, ... Two codes at Hamming distance d agree to within d // SEGMENTS in
-some segment, so after radius r every code up to distance SEGMENTS * (r + 1) - 1 has been met, and a query is done
-when its kth verified distance is no more than that. Each code is met once: a look-up counts only if no smaller
-radius and no earlier segment has found the code before.
+A code's bits are cut into SEGMENTS of 16; an index lists the codes by (segment, value). A query first looks up all
+values within radius START of each of its segments, then the radius grows by one in one segment after the other.
+Once radius r has been reached in segments 0 .. a (and r - 1 in the others), every code up to distance
+SEGMENTS * r + a has been met, and a query is done when its kth verified distance is no more than that.
+Of a code's segments only the one nearest to the query's (the first of equals) reports it, so it is met once.
 
 Vectors with equal codes share an index entry with their k smallest ids, and queries with equal codes one search:
 answers are ordered by distance and id, so no other id of a code can appear.
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SEGMENTS, WIDTH = 4, 16
+#: Radius up to which all segments are searched at once.
+START = 2
 
 
 def sign_code(vector: Column) -> Column:
@@ -32,8 +34,10 @@ def _segment(code: Column, i: int) -> Column:
     return F.shiftright(code, WIDTH * i).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
 
 
-def _masks(radius: int) -> list[int]:
-    return [sum(1 << b for b in bits) for bits in combinations(range(WIDTH), radius)]
+def _masks(radii: range) -> Column:
+    """The segment values with as many bits set, as an array."""
+    masks = [sum(1 << b for b in bits) for radius in radii for bits in combinations(range(WIDTH), radius)]
+    return F.split(F.lit(",".join(map(str, masks))), ",").cast("array<int>")
 
 
 def _best(rows: DataFrame, k: int, *key: str) -> DataFrame:
@@ -55,25 +59,30 @@ def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     index = entries.select("code", "ids", F.posexplode(F.array(*(_segment(F.col("code"), i) for i in range(SEGMENTS)))).alias("segment", "value"))
     index = materialize(index, "code-index")
     asked = materialize(queries.where("query_id IS NOT NULL AND code IS NOT NULL").select("query_id", F.col("code").alias("asked")).distinct(), "queries")
-    active = materialize(asked.select("asked").distinct(), "active")
+    total = index.where("segment = 0").agg(F.sum(F.size("ids"))).first()[0] or 0
+    far = SEGMENTS * WIDTH
+    active = materialize(asked.select("asked").distinct().withColumn("bound", F.lit(far)), "active")
     best = materialize(active.select("asked", F.lit(0).alias("distance"), F.lit(0).cast("long").alias("id")).where("false"), "best")
-    for radius in range(WIDTH + 1):
-        if active.isEmpty():
+    steps = [(range(START + 1), list(range(SEGMENTS)))] + [(range(r, r + 1), [a]) for r in range(START + 1, WIDTH + 1) for a in range(SEGMENTS)]
+    for radii, segments in steps:
+        if active.isEmpty() or not total:
             break
-        own = F.posexplode(F.array(*(_segment(F.col("asked"), i) for i in range(SEGMENTS)))).alias("segment", "own")
-        probes = active.select("asked", own).select("asked", "segment", F.explode(F.array(*map(F.lit, _masks(radius)))).alias("mask"), "own")
-        probes = probes.select("asked", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-        met = probes.join(index, ["segment", "value"])
+        own = F.explode(F.array(*(F.struct(F.lit(a).alias("segment"), _segment(F.col("asked"), a).alias("own")) for a in segments))).alias("o")
+        probes = active.select("asked", "bound", own).select("asked", "bound", "o.segment", "o.own", F.explode(_masks(radii)).alias("mask"))
+        probes = probes.select("asked", "bound", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"), F.bit_count("mask").alias("near"))
+        # a planner would take the probes for as small as the queries, and broadcast them
+        met = probes.hint("merge").join(index, ["segment", "value"])
         differ = F.col("asked").bitwiseXOR(F.col("code"))
-        first = F.lit(True)
+        first = F.bit_count(differ) <= F.col("bound")
         for i in range(SEGMENTS):
             apart = F.bit_count(_segment(differ, i))
-            first &= F.when(F.col("segment") > i, apart > radius).when(F.col("segment") < i, apart >= radius).otherwise(True)
+            first &= F.when(F.col("segment") > i, apart > F.col("near")).when(F.col("segment") < i, apart >= F.col("near")).otherwise(True)
         found = met.where(first).select("asked", F.bit_count(differ).alias("distance"), F.explode("ids").alias("id"))
         best = materialize(_best(best.select("asked", "distance", "id").union(found), k, "asked").drop("rank"), "best")
-        done = best.groupBy("asked").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("kth"))
-        done = done.where((F.col("n") >= k) & (F.col("kth") <= SEGMENTS * (radius + 1) - 1))
-        active = materialize(active.join(done.select("asked"), "asked", "left_anti"), "active")
+        covered = SEGMENTS * radii[-1] + segments[-1]
+        reached = best.groupBy("asked").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("kth")).withColumn("full", F.col("n") >= min(k, total))
+        left = active.select("asked").join(reached, "asked", "left").where(~F.coalesce(F.col("full") & ((F.col("kth") <= covered) | F.lit(total <= k)), F.lit(False)))
+        active = materialize(left.select("asked", F.when(F.col("full"), F.col("kth")).otherwise(F.lit(far)).alias("bound")), "active")
     ranked = _best(best, k, "asked").select("asked", "rank", F.col("id").alias("vec_id"), "distance")
     return asked.join(ranked, "asked").select("query_id", "rank", "vec_id", "distance")
 
