@@ -19,6 +19,7 @@ import hashlib
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 from typing import Any
 
 import numpy as np
@@ -97,17 +98,21 @@ def _cut(data: bytes, cuts: Callable[[bytes], list[int]]) -> tuple[list[bytes],
     return chunks, [digest(x) for x in chunks]
 
 
+def describe(data: bytes, cuts: Callable[[bytes], list[int]]) -> dict[str, Any]:
+    """An item's recipe but for its key."""
+    chunks, digests = _cut(data, cuts)
+    return {"size": len(data), "sha": hashlib.sha256(data).digest(), "root": merkle_root(digests), "digests": digests, "sizes": [len(c) for c in chunks]}
+
+
+#: Arrow types of what describe() gives.
+DESCRIBED = {"size": pa.int64(), "sha": pa.binary(), "root": pa.binary(), "digests": pa.list_(pa.binary()), "sizes": pa.list_(pa.int32())}
+
+
 def _recipes(items: DataFrame, cuts: Callable[[bytes], list[int]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list[Any]] = [[] for _ in range(5)]
-            for x in batch.column(1):
-                data = x.as_py()
-                chunks, digests = _cut(data, cuts)
-                for column, value in zip(columns, (len(data), hashlib.sha256(data).digest(), merkle_root(digests), digests, [len(c) for c in chunks]), strict=True):
-                    column.append(value)
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["key", "size", "sha", "root", "digests", "sizes"])
+            rows = [describe(x.as_py(), cuts) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[c] for r in rows], kind) for c, kind in DESCRIBED.items())], ["key", *DESCRIBED])
 
     return items.mapInArrow(run, _RECIPE)
 
@@ -134,38 +139,40 @@ def _exceptions(recipes: DataFrame) -> DataFrame:
 def write_store(items: DataFrame, cuts: Callable[[bytes], list[int]], name: str, arrange: Callable[[DataFrame], DataFrame] = lambda df: df) -> Store:
     """Stores items(key long, data binary); `arrange` may order the items whose chunks are written.
 
-    Nulls in data count as empty; keys may be null or repeat.
+    Nulls in data count as empty; keys may be null or repeat. Items that come from a written table with the columns
+    of describe() beside them aren't cut and hashed again.
     """
-    items = items.select("key", F.coalesce("data", F.lit(b"")).alias("data"))
-    recipes = materialize(_recipes(items, cuts), f"{name}-recipes")
+    known = set(DESCRIBED) <= set(items.columns)
+    if known:
+        recipes = items.select("key", *DESCRIBED)
+    else:
+        items = items.select("key", F.coalesce("data", F.lit(b"")).alias("data"))
+        recipes = materialize(_recipes(items, cuts), f"{name}-recipes")
     except_ = materialize(_exceptions(recipes), f"{name}-exceptions").withColumnRenamed("key", "key_")
     small = except_.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     beside = arrange(items).join(F.broadcast(except_) if small else except_, F.col("key").eqNullSafe(F.col("key_")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(
-            [("key", pa.int64()), ("size", pa.int64()), ("sha", pa.binary()), ("root", pa.binary()), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("own", pa.list_(pa.binary()))]
-            + [("given", pa.list_(pa.struct([("digest", pa.binary()), ("chunk", pa.binary())])))]
-        )
+        given = pa.list_(pa.struct([("digest", pa.binary()), ("chunk", pa.binary())]))
+        schema = pa.schema([("key", pa.int64()), *DESCRIBED.items(), ("own", pa.list_(pa.binary())), ("given", given)])
         for batch in batches:
-            rows = []
-            for x in batch.to_pylist():
-                data, sha = x["data"], hashlib.sha256(x["data"]).digest()
-                known = x["sha_"] == sha
-                if known and x["skip"]:
-                    continue
-                chunks, digests = _cut(data, cuts)
-                omit, give = (set(x["omit"]), set(x["give"])) if known else (set(), set())
-                rows.append(
-                    {
-                        "key": x["key"], "size": len(data), "sha": sha, "root": merkle_root(digests), "digests": digests, "sizes": [len(c) for c in chunks],
-                        "own": [None if i in omit or i in give else c for i, c in enumerate(chunks)], "given": [{"digest": digests[i], "chunk": chunks[i]} for i in sorted(give)],
-                    }
-                )
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            for at in range(0, batch.num_rows, 512):
+                rows = []
+                for x in batch.slice(at, 512).to_pylist():
+                    data = x.pop("data")
+                    row = {c: x[c] for c in DESCRIBED} if known else describe(data, cuts)
+                    here = x["sha_"] == row["sha"]
+                    if here and x["skip"]:
+                        continue
+                    ends = list(accumulate(row["sizes"]))
+                    chunks = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+                    omit, give = (set(x["omit"]), set(x["give"])) if here else (set(), set())
+                    own = [None if i in omit or i in give else c for i, c in enumerate(chunks)]
+                    rows.append({"key": x["key"], **row, "own": own, "given": [{"digest": row["digests"][i], "chunk": chunks[i]} for i in sorted(give)]})
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
     path = new_path(items.sparkSession, name)
-    beside.select("key", "data", "sha_", "skip", "omit", "give").mapInArrow(run, _ROW).write.option("compression", "zstd").parquet(path)
+    beside.select("key", "data", "sha_", "skip", "omit", "give", *(DESCRIBED if known else ())).mapInArrow(run, _ROW).write.option("compression", "zstd").parquet(path)
     return Store(recipes, path)
 
 
@@ -183,18 +190,19 @@ def read_back(store: Store, finish: Callable[[bytes, bytes], tuple], columns: li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shas, found = [], []
-            for x in batch.to_pylist():
-                chunks = x["own"]
-                for more in x["more"]:
-                    chunks[more["place"]] = more["chunk"]
-                data = b"".join(chunks)
-                if [digest(c) for c in chunks] != x["digests"] or merkle_root(x["digests"]) != x["root"] or hashlib.sha256(data).digest() != x["sha"]:
-                    raise ValueError("a stored item doesn't match its manifest")
-                shas.append(x["sha"])
-                found.append(finish(data, manifest(x["size"], x["root"], x["digests"], x["sizes"])))
-            arrays = [pa.array([f[i] for f in found], kind) for i, (_, _, kind) in enumerate(columns)]
-            yield pa.RecordBatch.from_arrays([pa.array(shas, pa.binary()), *arrays], ["sha", *(c[0] for c in columns)])
+            for at in range(0, batch.num_rows, 512):
+                shas, found = [], []
+                for x in batch.slice(at, 512).to_pylist():
+                    chunks = x["own"]
+                    for more in x["more"]:
+                        chunks[more["place"]] = more["chunk"]
+                    data = b"".join(chunks)
+                    if [digest(c) for c in chunks] != x["digests"] or merkle_root(x["digests"]) != x["root"] or hashlib.sha256(data).digest() != x["sha"]:
+                        raise ValueError("a stored item doesn't match its manifest")
+                    shas.append(x["sha"])
+                    found.append(finish(data, manifest(x["size"], x["root"], x["digests"], x["sizes"])))
+                arrays = [pa.array([f[i] for f in found], kind) for i, (_, _, kind) in enumerate(columns)]
+                yield pa.RecordBatch.from_arrays([pa.array(shas, pa.binary()), *arrays], ["sha", *(c[0] for c in columns)])
 
     schema = "sha binary, " + ", ".join(f"{n} {t}" for n, t, _ in columns)
     return whole.union(part).mapInArrow(run, schema).dropDuplicates(["sha"])

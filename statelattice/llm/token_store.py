@@ -3,68 +3,93 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .chunk_store import gear_cuts, read_back, write_store
+from .chunk_store import DESCRIBED, describe, gear_cuts, read_back, write_store
 from .common import materialize
 
-#: Encoded words that a task remembers, and the longest it does (characters).
-CACHE, CACHE_CHARS = 500_000, 64
+#: Encoded words, and pieces of words, that a worker remembers; the longest word it does (characters).
+WORDS, PIECES, CHARS = 300_000, 200_000, 64
+#: Fixed value: the pieces that the tokenizer's own split makes of a normalised text.
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Up to here (U+024F) every character is its own NFC form and lower case goes character by character.
+PLAIN = "\u024f"
 
 
-class WordEncoder:
-    """The ids of whole texts for a tokenizer whose words end at white space.
+def byte_alphabet() -> list[str]:
+    """The character that stands for each byte: itself if it is printable Latin-1, else the next one from U+0100."""
+    plain = {b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
-    Such a tokenizer's ids for a text are those of its space-separated words in turn, so the library encodes
-    each distinct word once and known words are looked up.
+
+class WordEncoder(dict):
+    """Ids (as bytes) of words, for a tokenizer whose words end at white space.
+
+    Such a tokenizer's ids for a text are those of its space-separated words in turn, so each distinct word is
+    encoded once. A word of plain characters is lower-cased and split here and its pieces go to the library's BPE
+    model; any other goes through the whole library pipeline.
     """
 
     def __init__(self, path: str, unit: str) -> None:
-        self.tokenizer, self.unit, self.known = Tokenizer.from_file(path), unit, {"": b""}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [x.replace("\n", " ").split(" ") for x in texts]
-        known = self.known
-        fresh = list({w for ws in words for w in ws if w not in known})
-        if len(known) + len(fresh) > CACHE:
-            known.clear()
-            known[""] = b""
-            fresh = list({w for ws in words for w in ws} - {""})
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, self.unit).tobytes()
-        out = [b"".join(map(known.__getitem__, ws)) for ws in words]
-        for word in fresh:
-            if len(word) > CACHE_CHARS:
-                del known[word]
-        return out
-
-
-def encode_words(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, data) of docs: ids of the whole text and end_id, as unsigned 16-bit integers, or 32-bit
-    ones where the vocabulary needs them. A null text has the end id alone."""
-    size = Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
-    unit = "<u2" if max(size, end_id + 1) <= 1 << 16 else "<u4"
-    end, width = np.array([end_id], unit).tobytes(), np.dtype(unit).itemsize
+        super().__init__({"": b""})
+        self.tokenizer, self.unit, self.pieces, self.letters = Tokenizer.from_file(path), unit, {}, byte_alphabet()
+        self.model = self.tokenizer.model
+
+    def __missing__(self, word: str) -> bytes:
+        if max(word) <= PLAIN and "<|" not in word:
+            ids = b"".join([self.pieces.get(p) or self.piece(p) for p in SPLIT.findall(word.lower())])
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.unit).tobytes()
+        if len(word) <= CHARS:
+            if len(self) >= WORDS:
+                self.clear()
+                self[""] = b""
+            self[word] = ids
+        return ids
+
+    def piece(self, piece: str) -> bytes:
+        text = piece if piece.isascii() and piece.isalnum() else "".join([self.letters[b] for b in piece.encode()])
+        ids = np.array([t.id for t in self.model.tokenize(text)], self.unit).tobytes()
+        if len(piece) <= CHARS:
+            if len(self.pieces) >= PIECES:
+                self.pieces.clear()
+            self.pieces[piece] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+def encode_words(docs: DataFrame, path: str, end_id: int, cuts: Callable[[bytes], list[int]], unit: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, data, size, sha, root, digests, sizes) of docs: ids of the whole text and end_id as integers of type
+    `unit`, and their recipe in the chunk store. A null text has the end id alone."""
+    end = np.array([end_id], unit).tobytes()
+    memo = docs.sparkSession.sparkContext.broadcast({})  # one dict in each worker process, kept from task to task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path, unit)
+        encoder = memo.value.get("encoder")
+        if encoder is None:
+            encoder = memo.value["encoder"] = WordEncoder(path, unit)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                ids = [x + end for x in encoder.encode([(x.as_py() or b"").decode("utf-8", "replace") for x in part.column(1)])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "data"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids = [encoder.encode((x.as_py() or b"").decode("utf-8", "replace")) + end for x in part.column(1)]
+                rows = [describe(x, cuts) for x in ids]
+                columns = [pa.array([r[c] for r in rows], kind) for c, kind in DESCRIBED.items()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), *columns], ["key", "data", *DESCRIBED])
 
     text = F.col(text_col).cast("string").cast("binary")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, "doc_id long, n_tokens long, data binary")
+    schema = "key long, data binary, size long, sha binary, root binary, digests array<binary>, sizes array<int>"
+    return docs.select(F.col(id_col).cast("long").alias("key"), text.alias("text")).mapInArrow(run, schema)
 
 
 def _starts(rows: DataFrame) -> DataFrame:
@@ -96,9 +121,8 @@ def token_files(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
     """
     size = Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
     unit = "<u2" if max(size, end_id + 1) <= 1 << 16 else "<u4"
-    encoded = materialize(encode_words(docs, path, end_id, id_col, text_col), "ids")
-    items = encoded.select(F.col("doc_id").alias("key"), "data")
     cuts = partial(gear_cuts, unit=np.dtype(unit).itemsize)
+    items = materialize(encode_words(docs, path, end_id, cuts, unit, id_col, text_col), "ids")
 
     def ascending(df: DataFrame) -> DataFrame:
         return df.repartitionByRange(F.col("key").asc_nulls_first(), F.xxhash64("data")).sortWithinPartitions(F.col("key").asc_nulls_first())
