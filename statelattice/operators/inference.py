@@ -105,6 +105,48 @@ def score(sequences: DataFrame, model: Hmm, fold: bool | None = None) -> DataFra
     return over_batches(sequences, model, f"seq_id {_id_type(sequences)}, n int, logp double", work)
 
 
+def score_chunked(steps: DataFrame, model: Hmm, chunk: int = 4096) -> DataFrame:
+    """(seq_id, n, logp) of steps(seq_id, t, x), t dense from 0: scores without gathering a sequence.
+
+    Each run of `chunk` steps becomes one N x N matrix of log-sums over its inner paths; matrices multiply in log
+    space, so a sequence's likelihood is the product of its few matrices. A sequence that holds most of the table is
+    spread over as many tasks as it has chunks. NULL observations make a sequence impossible.
+    """
+    model.require_initialized()
+    n, log_a, log_pi = model.states, model.log_trans, model.log_pi
+    grouped = steps.withColumn("c", F.floor(F.col("t") / chunk).cast("long")).groupBy("seq_id", "c").agg(F.sort_array(F.collect_list(F.struct("t", "x"))).alias("s"))
+    parts = grouped.select("seq_id", "c", F.transform("s", lambda s: s["x"]).alias("xs"))
+
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xs, out = _lists(batch.column(2), model), []
+            for c, x in zip(batch.column(1).to_pylist(), xs, strict=True):
+                b = np.stack([e.logpdf(x) for e in model.emissions], 1)
+                # row i: from state i just before the chunk (the first chunk starts from pi instead)
+                m = np.broadcast_to(log_pi, (n, n)) + b[0] if c == 0 else log_a + b[0]
+                for row in b[1:]:
+                    m = kernels.log_product(m, log_a) + row
+                out.append(m.reshape(-1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([len(x) for x in xs], pa.int64()), pa.array([m.tolist() for m in out], pa.list_(pa.float64()))], ["seq_id", "c", "n", "m"]
+            )
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            logp = []
+            for s in batch.column(2).to_pylist():
+                m = np.array(s[0]["m"]).reshape(n, n)[:1]
+                for other in s[1:]:
+                    m = kernels.log_product(m, np.array(other["m"]).reshape(n, n))
+                logp.append(float(kernels.log_sum(m[0])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(logp, pa.float64())], ["seq_id", "n", "logp"])
+
+    kind = _id_type(steps)
+    made = parts.mapInArrow(matrices, f"seq_id {kind}, c long, n long, m array<double>")
+    joined = made.groupBy("seq_id").agg(F.sum("n").cast("int").alias("n"), F.sort_array(F.collect_list(F.struct("c", "m"))).alias("s"))  # N * N doubles a chunk
+    return joined.mapInArrow(products, f"seq_id {kind}, n int, logp double")
+
+
 def viterbi_score(sequences: DataFrame, model: Hmm, fold: bool | None = None) -> DataFrame:
     """(seq_id, n, logp): log-probability of each sequence's best path."""
     model.require_initialized()

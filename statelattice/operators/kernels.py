@@ -100,3 +100,8 @@ def transitions(model: Hmm, a: np.ndarray, b: np.ndarray, beta: np.ndarray, logp
 def posteriors(a: np.ndarray, beta: np.ndarray, logp: np.ndarray) -> np.ndarray:
     with np.errstate(invalid="ignore"):
         return np.exp(a + beta - logp[:, None, None])
+
+
+def log_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The matrix product in log space."""
+    return log_sum(a[:, :, None] + b[None], axis=1)
