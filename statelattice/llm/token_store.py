@@ -17,7 +17,7 @@ from .chunk_store import DESCRIBED, describe, gear_cuts, read_back, write_store
 from .common import materialize
 
 #: Encoded words, and pieces of words, that a worker remembers; the longest word it does (characters).
-WORDS, PIECES, CHARS = 300_000, 200_000, 64
+WORDS, PIECES, CHARS = 600_000, 400_000, 64
 #: Fixed value: the pieces that the tokenizer's own split makes of a normalised text.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Up to here (U+024F) every character is its own NFC form and lower case goes character by character.
@@ -43,25 +43,36 @@ class WordEncoder(dict):
         super().__init__({"": b""})
         self.tokenizer, self.unit, self.pieces, self.letters = Tokenizer.from_file(path), unit, {}, byte_alphabet()
         self.model = self.tokenizer.model
+        self.packed = [x.tobytes() for x in np.arange(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=unit)]
+
+    def trim(self) -> None:
+        """Starts anew where the memory is full; until then the words that came first, the frequent ones, stay."""
+        if len(self) >= WORDS:
+            self.clear()
+            self[""] = b""
+        if len(self.pieces) >= PIECES:
+            self.pieces.clear()
 
     def __missing__(self, word: str) -> bytes:
-        if max(word) <= PLAIN and "<|" not in word:
-            ids = b"".join([self.pieces.get(p) or self.piece(p) for p in SPLIT.findall(word.lower())])
+        if (word.isascii() or max(word) <= PLAIN) and "<|" not in word:
+            low = word.lower()
+            if low.isalpha():
+                parts = [low]
+            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
+                parts = [low[:-1], low[-1]]
+            else:
+                parts = SPLIT.findall(low)
+            ids = b"".join([self.pieces.get(p) or self.piece(p) for p in parts])
         else:
             ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.unit).tobytes()
-        if len(word) <= CHARS:
-            if len(self) >= WORDS:
-                self.clear()
-                self[""] = b""
+        if len(word) <= CHARS and len(self) < WORDS:
             self[word] = ids
         return ids
 
     def piece(self, piece: str) -> bytes:
         text = piece if piece.isascii() and piece.isalnum() else "".join([self.letters[b] for b in piece.encode()])
-        ids = np.array([t.id for t in self.model.tokenize(text)], self.unit).tobytes()
-        if len(piece) <= CHARS:
-            if len(self.pieces) >= PIECES:
-                self.pieces.clear()
+        ids = b"".join([self.packed[t.id] for t in self.model.tokenize(text)])
+        if len(piece) <= CHARS and len(self.pieces) < PIECES:
             self.pieces[piece] = ids
         return ids
 
@@ -79,6 +90,7 @@ def encode_words(docs: DataFrame, path: str, end_id: int, cuts: Callable[[bytes]
         encoder = memo.value.get("encoder")
         if encoder is None:
             encoder = memo.value["encoder"] = WordEncoder(path, unit)
+        encoder.trim()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
