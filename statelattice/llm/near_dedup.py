@@ -134,8 +134,8 @@ def _forest(percent: int):
 
 def _long_lists(lists: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links among the classes of lists(v, cid, n, m), each list m long."""
-    lows = lists.groupBy("v").agg(F.min("cid").alias("low"), F.max("m").alias("m"))
-    merged = components(lists.join(lows.select("v", "low"), "v").select(F.col("cid").alias("a"), F.col("low").alias("b")), "lists")
+    lows = materialize(lists.groupBy("v").agg(F.min("cid").alias("low")), "lows")  # small beside the lists: joined without dealing these by v
+    merged = components(lists.join(lows, "v").select(F.col("cid").alias("a"), F.col("low").alias("b")), "lists")
     member = materialize(lists.join(merged.withColumnRenamed("node", "cid"), "cid").select("v", "cid", "n", "root"), "members")
     by_list = member.groupBy("root", "v").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
     by_root = member.select("root", "cid", "n").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("rm"), F.sum("n").alias("rn"))

@@ -26,7 +26,9 @@ START = 2
 
 def sign_code(vector: Column) -> Column:
     """64 bits: the signs (above zero or not) of the first 64 components; missing ones count as not above."""
-    bits = F.transform(F.slice(vector, 1, SEGMENTS * WIDTH), lambda x: F.when(x > 0, 1).otherwise(0).cast("long"))
+    size = SEGMENTS * WIDTH
+    bits = F.transform(F.slice(vector, 1, size), lambda x: F.when(x > 0, 1).otherwise(0).cast("long"))
+    bits = F.concat(bits, F.array_repeat(F.lit(0).cast("long"), F.greatest(F.lit(0), size - F.size(vector))))
     return F.aggregate(bits, F.lit(0).cast("long"), lambda code, bit: F.shiftleft(code, 1).bitwiseOR(bit))
 
 
