@@ -16,8 +16,8 @@ from tokenizers import Tokenizer
 from .chunk_store import DESCRIBED, describe, gear_cuts, read_back, write_store
 from .common import materialize
 
-#: Encoded words, and pieces of words, that a worker remembers; the longest word it does (characters).
-WORDS, PIECES, CHARS = 600_000, 400_000, 64
+#: Encoded words that a worker remembers, and the longest word it does (characters).
+WORDS, CHARS = 800_000, 64
 #: Fixed value: the pieces that the tokenizer's own split makes of a normalised text.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Up to here (U+024F) every character is its own NFC form and lower case goes character by character.
@@ -35,13 +35,13 @@ class WordEncoder(dict):
     """Ids (as bytes) of words, for a tokenizer whose words end at white space.
 
     Such a tokenizer's ids for a text are those of its space-separated words in turn, so each distinct word is
-    encoded once. A word of plain characters is lower-cased and split here and its pieces go to the library's BPE
-    model; any other goes through the whole library pipeline.
+    encoded once. A word of plain characters is lower-cased and split here; what can't be split goes to the library's
+    BPE model. Any other word goes through the whole library pipeline.
     """
 
     def __init__(self, path: str, unit: str) -> None:
         super().__init__({"": b""})
-        self.tokenizer, self.unit, self.pieces, self.letters = Tokenizer.from_file(path), unit, {}, byte_alphabet()
+        self.tokenizer, self.letters = Tokenizer.from_file(path), byte_alphabet()
         self.model = self.tokenizer.model
         self.packed = [x.tobytes() for x in np.arange(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=unit)]
 
@@ -50,11 +50,11 @@ class WordEncoder(dict):
         if len(self) >= WORDS:
             self.clear()
             self[""] = b""
-        if len(self.pieces) >= PIECES:
-            self.pieces.clear()
 
     def __missing__(self, word: str) -> bytes:
-        if (word.isascii() or max(word) <= PLAIN) and "<|" not in word:
+        if not ((word.isascii() or max(word) <= PLAIN) and "<|" not in word):
+            ids = b"".join([self.packed[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
+        else:
             low = word.lower()
             if low.isalpha():
                 parts = [low]
@@ -62,20 +62,15 @@ class WordEncoder(dict):
                 parts = [low[:-1], low[-1]]
             else:
                 parts = SPLIT.findall(low)
-            ids = b"".join([self.pieces.get(p) or self.piece(p) for p in parts])
-        else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.unit).tobytes()
+            if parts == [word]:
+                text = word if word.isascii() and word.isalnum() else "".join([self.letters[b] for b in word.encode()])
+                ids = b"".join([self.packed[t.id] for t in self.model.tokenize(text)])
+            else:
+                ids = b"".join([self[p] for p in parts])
         if len(word) <= CHARS and len(self) < WORDS:
             self[word] = ids
         return ids
 
-    def piece(self, piece: str) -> bytes:
-        text = piece if piece.isascii() and piece.isalnum() else "".join([self.letters[b] for b in piece.encode()])
-        ids = b"".join([self.packed[t.id] for t in self.model.tokenize(text)])
-        if len(piece) <= CHARS and len(self.pieces) < PIECES:
-            self.pieces[piece] = ids
-        return ids
-
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
@@ -137,7 +132,7 @@ def token_files(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
     items = materialize(encode_words(docs, path, end_id, cuts, unit, id_col, text_col), "ids")
 
     def ascending(df: DataFrame) -> DataFrame:
-        return df.repartitionByRange(F.col("key").asc_nulls_first(), F.xxhash64("data")).sortWithinPartitions(F.col("key").asc_nulls_first())
+        return df.repartitionByRange(F.col("key").asc_nulls_first(), "sha").sortWithinPartitions(F.col("key").asc_nulls_first())
 
     store = write_store(items, cuts, "tokens", ascending)
     values = read_back(store, partial(_figures, unit), [("n_tokens", "long", pa.int64()), ("ids_crc32", "long", pa.int64())])
