@@ -39,10 +39,6 @@ SHORT = 32
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 20
 
 
-def _binary(table: DataFrame, text: str):
-    return F.col(text).cast("string").cast("binary")
-
-
 def _sketches(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n, digest, sketch) of docs(doc_id, text binary)."""
 
@@ -165,7 +161,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows share a component. Rows that share an id but not a text count as one node of the link graph.
     Other columns, whatever their names, aren't read. An empty table gives an empty result.
     """
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), _binary(docs, text_col).alias("text"))
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     rows = materialize(_sketches(text, width), "sketches")
     filled = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = materialize(filled.groupBy("digest", "n").agg(F.min("doc_id").alias("cid")), "classes")

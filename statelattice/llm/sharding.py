@@ -133,8 +133,8 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return rows.where(F.col("version") == version).select("slot", "shard")
 
 
-def virtual_slot(key: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+def virtual_slot(*key: str | Column, slots: int = SLOTS) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(slots)).cast("int")
 
 
 def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
@@ -150,7 +150,7 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     raw = F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b""))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    slim = slim.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(slots)).cast("int"))
+    slim = slim.withColumn("virtual_slot", virtual_slot("doc_id", "size", "text_crc32", slots=slots))
     # equal rows are dealt into SPREAD parts too: which of them gets which place doesn't matter
     slim = materialize(slim.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SPREAD)).cast("int")), "shard-records")
     sums = slim.groupBy("virtual_slot", "part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
