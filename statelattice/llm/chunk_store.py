@@ -24,6 +24,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,6 +137,23 @@ def _exceptions(recipes: DataFrame) -> DataFrame:
     )
 
 
+_GIVEN = pa.struct([("digest", pa.binary()), ("chunk", pa.binary())])
+_STORED = pa.schema([("key", pa.int64()), *DESCRIBED.items(), ("own", pa.list_(pa.binary())), ("given", pa.list_(_GIVEN))])
+
+
+def _all_own(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Stored rows of described items that keep all their chunks: these are slices of the data as it lies."""
+    data, sizes = batch.column("data"), batch.column("sizes")
+    first, flat = data.offset, sizes.flatten().to_numpy()
+    start = np.frombuffer(data.buffers()[1], np.int32)[first]
+    ends = np.concatenate([[start], start + np.cumsum(flat)]).astype(np.int32)
+    chunks = pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(ends), data.buffers()[2]])
+    lists = np.concatenate([[0], np.cumsum(sizes.value_lengths().to_numpy())]).astype(np.int32)
+    own = pa.ListArray.from_arrays(lists, chunks)
+    given = pa.ListArray.from_arrays(np.zeros(len(data) + 1, np.int32), pa.array([], _GIVEN))
+    return pa.RecordBatch.from_arrays([batch.column("key"), *(batch.column(c) for c in DESCRIBED), own, given], schema=_STORED)
+
+
 def write_store(items: DataFrame, cuts: Callable[[bytes], list[int]], name: str, arrange: Callable[[DataFrame], DataFrame] = lambda df: df) -> Store:
     """Stores items(key long, data binary); `arrange` may order the items whose chunks are written.
 
@@ -153,9 +171,12 @@ def write_store(items: DataFrame, cuts: Callable[[bytes], list[int]], name: str,
     beside = arrange(items).join(F.broadcast(except_) if small else except_, F.col("key").eqNullSafe(F.col("key_")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = pa.list_(pa.struct([("digest", pa.binary()), ("chunk", pa.binary())]))
-        schema = pa.schema([("key", pa.int64()), *DESCRIBED.items(), ("own", pa.list_(pa.binary())), ("given", given)])
         for batch in batches:
+            if known:
+                plain = pc.is_null(batch.column("sha_"))
+                if (own := batch.filter(plain)).num_rows:
+                    yield _all_own(own)
+                batch = batch.filter(pc.invert(plain))  # noqa: PLW2901
             for at in range(0, batch.num_rows, 512):
                 rows = []
                 for x in batch.slice(at, 512).to_pylist():
@@ -169,7 +190,7 @@ def write_store(items: DataFrame, cuts: Callable[[bytes], list[int]], name: str,
                     omit, give = (set(x["omit"]), set(x["give"])) if here else (set(), set())
                     own = [None if i in omit or i in give else c for i, c in enumerate(chunks)]
                     rows.append({"key": x["key"], **row, "own": own, "given": [{"digest": row["digests"][i], "chunk": chunks[i]} for i in sorted(give)]})
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                yield pa.RecordBatch.from_pylist(rows, _STORED)
 
     path = new_path(items.sparkSession, name)
     beside.select("key", "data", "sha_", "skip", "omit", "give", *(DESCRIBED if known else ())).mapInArrow(run, _ROW).write.option("compression", "zstd").parquet(path)
