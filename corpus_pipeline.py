@@ -48,9 +48,9 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as the mix takes them: repeated, cut to their first words, or left out; n_chars follows."""
-    mixed = materialize(mixing.mix_sources(docs, WEIGHTS), "pipeline-mix")
-    return mixing.mixed_documents(docs, mixed).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """A row for each run of a document's words that the mix draws, and as often as it does; n_chars follows."""
+    parts = materialize(mixing.mix_parts(docs, WEIGHTS), "pipeline-mix")
+    return mixing.drawn_documents(docs, parts).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -123,14 +123,14 @@ def draw_slots(needs: DataFrame, seed: int) -> DataFrame:
 
 
 def take_blocks(slots: DataFrame, needs: DataFrame, seed: int) -> DataFrame:
-    """(shard, sid, block, take): the block index of every slot and how many of its words, from its start, count."""
+    """(shard, sid, round, block, take): the block index of every slot and how many of its words, from its start, count."""
     rows = slots.join(needs.select("sid", "blocks", "rounds", "rest", "last_size", "last_at"), "sid")
     rows = rows.withColumn("round", F.floor(F.col("nth") / F.col("blocks")).cast("long")).withColumn("i", F.col("nth") - F.col("round") * F.col("blocks"))
     rows = with_permuted(rows, "block", F.col("i"), F.col("blocks"), [F.lit(seed), F.col("sid"), F.col("round")])
     whole = F.when(F.col("block") == F.col("blocks") - 1, F.col("last_size")).otherwise(F.lit(BLOCK))
     before = F.col("i") * BLOCK - F.when(F.col("last_at") < F.col("i"), BLOCK - F.col("last_size")).otherwise(0)
     take = F.when(F.col("round") < F.col("rounds"), whole).otherwise(F.least(whole, F.col("rest") - before))
-    return rows.select("shard", "sid", "block", take.cast("long").alias("take"))
+    return rows.select("shard", "sid", "round", "block", take.cast("long").alias("take"))
 
 
 def _laid(docs: DataFrame) -> DataFrame:
@@ -147,18 +147,13 @@ def _laid(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "source", "size", "tie", "copies", (F.col("offset") + F.col("within")).alias("start"))
 
 
-def mix_sources(
-    docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
-) -> DataFrame:
-    """One row for each row of docs: doc_id, source, tie, size, source_size, target, taken.
+#: One row of docs in the mix.
+_MIXED = ["doc_id", "source", "tie", "size", "source_size", "target"]
 
-    size is the number of words of the text (null: 0). Weights repeat over the sources in code point order, null
-    being the last source; the targets share `share` times all words by weight, none above `most` (a whole number)
-    times its source. taken counts the words of the document that the mix takes, repeats included: at most `most`
-    times its size, and over a source its target to the nearest word. Reruns agree. Texts without words take nothing;
-    null and repeated ids are allowed, and equal rows may take different parts. `tie` is a hash of the text. Other
-    columns aren't read. An empty table gives an empty result.
-    """
+
+def _drawn(docs: DataFrame, weights: list[float], share: float, most: float, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(*_MIXED, copies, sid, start, copy, round, from, to): the words from .. to - 1 of a row of docs that each slot takes, by
+    the time round its source's blocks; a row of which a block isn't drawn has from = to there, or null."""
     text = F.col(text_col).cast("string")
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(text).alias("tie"))
@@ -166,17 +161,71 @@ def mix_sources(
     sizes = laid.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))
     targets = materialize(_targets(sizes, weights, share, most), "mix-targets")
     needs = materialize(_needs(targets, seed), "mix-needs")
-    takes = take_blocks(draw_slots(needs, seed), needs, seed).select("sid", "block", "take")
+    takes = take_blocks(draw_slots(needs, seed), needs, seed).select("sid", "round", "block", "take")
     known = targets.select(F.col("source").alias("s_"), "sid", "source_size", "target")
     rows = laid.join(known, F.col("source").eqNullSafe(F.col("s_"))).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    rows = rows.withColumn("start", F.col("start") + (F.col("copy") - 1) * F.col("size")).drop("s_", "copies")
+    rows = rows.withColumn("start", F.col("start") + (F.col("copy") - 1) * F.col("size")).drop("s_")
     spans = F.sequence(F.floor(F.col("start") / BLOCK).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / BLOCK).cast("long"))
     rows = rows.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, spans)))
     begin = F.col("block") * BLOCK
-    part = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), begin + F.coalesce("take", F.lit(0))) - F.greatest("start", begin))
-    keys = ["doc_id", "source", "tie", "size", "source_size", "target", "sid", "start", "copy"]
-    mixed = rows.join(takes, ["sid", "block"], "left").groupBy(*keys).agg(F.coalesce(F.sum(part), F.lit(0)).cast("long").alias("taken"))
-    return mixed.select("doc_id", "source", "tie", "size", "source_size", "target", "taken")
+    first = F.greatest("start", begin) - F.col("start")
+    end = F.greatest(first, F.least(F.col("start") + F.col("size"), begin + F.coalesce("take", F.lit(0))) - F.col("start"))
+    return rows.join(takes, ["sid", "block"], "left").select(*_MIXED, "copies", "sid", "start", "copy", "round", first.alias("from"), end.alias("to"))
+
+
+def mix_sources(
+    docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
+    """One row for each row of docs: doc_id, source, tie, size, source_size, target, taken.
+
+    size is the number of words of the text (null: 0). Weights repeat over the sources in code point order, null
+    being the last source; the targets share `share` times all words by weight, none above `most` (a whole number)
+    times its source. taken counts the words of the document that the mix takes, repeats included: at most `most`
+    times its size, and over a source its target to the nearest word. Reruns agree. Texts without words take nothing;
+    null and repeated ids are allowed, and equal rows may take different parts. `tie` is a hash of the text. Other
+    columns aren't read. An empty table gives an empty result.
+    """
+    drawn = _drawn(docs, weights, share, most, seed, id_col, text_col, source_col)
+    mixed = drawn.groupBy(*_MIXED, "sid", "start", "copy").agg(F.coalesce(F.sum(F.col("to") - F.col("from")), F.lit(0)).cast("long").alias("taken"))
+    return mixed.select(*_MIXED, "taken")
+
+
+def mix_parts(
+    docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
+    """(doc_id, source, tie, size, copies, parts): what mix_sources counts, as the words themselves.
+
+    parts has a struct (copy, round, from, to) for each longest run of words from .. to - 1 (counted from 0) that one
+    time round the source's blocks takes from one of the `copies` equal rows. Rows of which nothing is taken go.
+    """
+    drawn = _drawn(docs, weights, share, most, seed, id_col, text_col, source_col).where(F.col("to") > F.col("from"))
+    parts = F.array_sort(F.collect_list(F.struct("copy", "round", "from", "to")))
+    rows = drawn.groupBy("doc_id", "source", "tie", "size", "copies").agg(parts.alias("all"))
+    joined = lambda a, b: (a["copy"] == b["copy"]) & (a["round"] == b["round"]) & (a["to"] == b["from"])
+    at = lambda i: F.get("all", i)
+    heads = F.filter("all", lambda x, i: (i == 0) | ~F.coalesce(joined(at(i - 1), x), F.lit(False)))
+    tails = F.filter("all", lambda x, i: ~F.coalesce(joined(x, at(i + 1)), F.lit(False)))
+    runs = F.zip_with(heads, tails, lambda a, b: F.struct(a["copy"].alias("copy"), a["round"].alias("round"), a["from"].alias("from"), b["to"].alias("to")))
+    return rows.select("doc_id", "source", "tie", "size", "copies", runs.alias("parts"))
+
+
+def drawn_documents(docs: DataFrame, parts: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """A row of docs for each of the parts, with its words as the text and the white space before each; a part that
+    is the whole document has the text as it is. parts: mix_parts(docs), materialised; of rows that are equal in id,
+    source and text, one stands for all."""
+    text = F.col(text_col).cast("string")
+    keyed = parts.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("tie").alias("__tie"), F.col("size").alias("__size"), F.col("copies").alias("__copies"), F.col("parts").alias("__parts"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source"))
+    rows = docs.join(keyed, same & (F.xxhash64(text) == F.col("__tie")))
+    if not parts.where("copies > 1").isEmpty():
+        rows = rows.where("__copies = 1").union(rows.where("__copies > 1").dropDuplicates(["__id", "__source", "__tie"]))
+    words = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"))
+    cut = lambda w, p: F.array_join(F.slice(w, (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")), "")
+    whole = lambda p: p["to"] - p["from"] == F.col("__size")
+    # the outer transform holds the words of a text, so they are found once
+    some = F.flatten(F.transform(F.array(words), lambda w: F.transform("__parts", lambda p: F.when(whole(p), text).otherwise(cut(w, p)))))
+    texts = F.when(F.forall("__parts", whole), F.transform("__parts", lambda p: text)).otherwise(some)
+    return rows.withColumn(text_col, F.explode(texts)).select(*docs.columns)
 
 
 def mixed_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statelattice.llm import chat, mixing, sharding, topk
+from statelattice.llm.common import materialize
 
 # -- sharding --------------------------------------------------------------------------------------------------
 
@@ -135,6 +136,38 @@ def test_mixed_documents(spark):
     assert sorted(r["text"] for r in mixing.mixed_documents(df, mixed).collect()) == [" one  two", " one  two\tthree"]
 
 
+def test_drawn_documents_are_the_drawn_blocks(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(rng.choice([0, 3, 200, 900, 3000]))), rng.choice(["a", "b", "b", None])) for i in range(120)]
+    rows += [(None, "two equal rows " * 300, "a")] * 2 + [(5, "another text of an id", "b"), (190, " spaced  out\t", "c")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, lang string").repartition(3).cache()
+    parts = materialize(mixing.mix_parts(df, [3, 1, 2], share=0.8), "test-parts")
+    assert sum(p["from"] > 0 for r in parts.collect() for p in r["parts"]) > 5
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    found = mixing.drawn_documents(df, parts)
+    assert found.columns == df.columns
+    got = Counter((r["source"], w) for r in found.collect() for w in words(r["text"]))
+    # each word of a source as often as the slots take its place
+    size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long")
+    laid = mixing._laid(df.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("tie")))
+    sizes = laid.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))
+    needs = materialize(mixing._needs(mixing._targets(sizes, [3, 1, 2], 0.8, 2.0), 17), "test-needs")
+    names = {r["sid"]: r["source"] for r in needs.collect()}
+    times = Counter()
+    for r in mixing.take_blocks(mixing.draw_slots(needs, 17), needs, 17).collect():
+        times.update((names[r["sid"]], r["block"] * mixing.BLOCK + k) for k in range(r["take"]))
+    texts = {(r["doc_id"], r["tie"]): words(r["text"]) for r in df.withColumn("tie", F.xxhash64("text")).collect()}
+    want = Counter()
+    for r in laid.collect():
+        for k in range(r["size"] * r["copies"]):
+            want[r["source"], texts[r["doc_id"], r["tie"]][k % r["size"]]] += times[r["source"], r["start"] + k]
+    assert got == +want
+    taken = Counter()
+    for r in mixing.mix_sources(df, [3, 1, 2], share=0.8).collect():
+        taken[r["source"]] += r["taken"]
+    assert all(sum(n for (s, _), n in got.items() if s == source) == n for source, n in taken.items())
+
+
 # -- top-k -----------------------------------------------------------------------------------------------------
 
 
