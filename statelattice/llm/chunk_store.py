@@ -168,18 +168,17 @@ def write_store(items: DataFrame, cuts: Callable[[bytes], list[int]], name: str,
         recipes = materialize(_recipes(items, cuts), f"{name}-recipes")
     except_ = materialize(_exceptions(recipes), f"{name}-exceptions").withColumnRenamed("key", "key_")
     small = except_.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    beside = arrange(items).join(F.broadcast(except_) if small else except_, F.col("key").eqNullSafe(F.col("key_")), "left")
+    # arranged after the join, which may shuffle
+    beside = arrange(items.join(F.broadcast(except_) if small else except_, F.col("key").eqNullSafe(F.col("key_")), "left"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if known:
-                plain = pc.is_null(batch.column("sha_"))
-                if (own := batch.filter(plain)).num_rows:
-                    yield _all_own(own)
-                batch = batch.filter(pc.invert(plain))  # noqa: PLW2901
             for at in range(0, batch.num_rows, 512):
-                rows = []
-                for x in batch.slice(at, 512).to_pylist():
+                part, rows, places = batch.slice(at, 512), [], []
+                plain = pc.is_null(part.column("sha_")) if known else pa.array([False] * part.num_rows)
+                own_places = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+                others = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+                for place, x in zip(others, (part.filter(pc.invert(plain)) if known else part).to_pylist(), strict=True):
                     data = x.pop("data")
                     row = {c: x[c] for c in DESCRIBED} if known else describe(data, cuts)
                     here = x["sha_"] == row["sha"]
@@ -189,8 +188,14 @@ def write_store(items: DataFrame, cuts: Callable[[bytes], list[int]], name: str,
                     chunks = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
                     omit, give = (set(x["omit"]), set(x["give"])) if here else (set(), set())
                     own = [None if i in omit or i in give else c for i, c in enumerate(chunks)]
+                    places.append(place)
                     rows.append({"key": x["key"], **row, "own": own, "given": [{"digest": row["digests"][i], "chunk": chunks[i]} for i in sorted(give)]})
-                yield pa.RecordBatch.from_pylist(rows, _STORED)
+                made = pa.RecordBatch.from_pylist(rows, _STORED)
+                if len(own_places):
+                    made = pa.concat_batches([_all_own(part.filter(plain)), made]) if rows else _all_own(part.filter(plain))
+                # in the order of the items
+                order = np.argsort(np.concatenate([own_places, np.array(places, np.int64)]))
+                yield made.take(pa.array(order)) if rows and len(own_places) else made
 
     path = new_path(items.sparkSession, name)
     beside.select("key", "data", "sha_", "skip", "omit", "give", *(DESCRIBED if known else ())).mapInArrow(run, _ROW).write.option("compression", "zstd").parquet(path)

@@ -100,7 +100,7 @@ def encode_words(docs: DataFrame, path: str, end_id: int, cuts: Callable[[bytes]
 
 
 def _starts(rows: DataFrame) -> DataFrame:
-    """rows(doc_id, n_tokens, sha) in ascending doc_id order with `start`, the sum of n_tokens before.
+    """rows(doc_id, n_tokens, sha, ...) in ascending doc_id order with `start`, the sum of n_tokens before.
 
     Range partitions are summed each by itself; only one sum per partition is gathered."""
     order = [F.col("doc_id").asc_nulls_first(), "n_tokens", "sha", "tie"]
@@ -110,7 +110,7 @@ def _starts(rows: DataFrame) -> DataFrame:
     parts = dealt.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("offset") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))
-    return dealt.join(F.broadcast(parts), "part").withColumn("start", start).select("doc_id", "start", "n_tokens", "sha")
+    return dealt.join(F.broadcast(parts), "part").withColumn("start", start).drop("part", "offset", "tie")
 
 
 def _figures(unit: str, data: bytes, recipe: bytes) -> tuple:
@@ -132,9 +132,10 @@ def token_files(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
     items = materialize(encode_words(docs, path, end_id, cuts, unit, id_col, text_col), "ids")
 
     def ascending(df: DataFrame) -> DataFrame:
-        return df.repartitionByRange(F.col("key").asc_nulls_first(), "sha").sortWithinPartitions(F.col("key").asc_nulls_first())
+        order = [F.col("key").asc_nulls_first(), "size", "sha"]
+        return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
     store = write_store(items, cuts, "tokens", ascending)
     values = read_back(store, partial(_figures, unit), [("n_tokens", "long", pa.int64()), ("ids_crc32", "long", pa.int64())])
-    sizes = store.recipes.select(F.col("key").alias("doc_id"), (F.col("size") / np.dtype(unit).itemsize).cast("long").alias("n_tokens"), "sha")
-    return _starts(sizes).drop("n_tokens").join(values, "sha").select("doc_id", "start", "n_tokens", "ids_crc32")
+    found = store.recipes.select(F.col("key").alias("doc_id"), "sha").join(values, "sha")
+    return _starts(found).select("doc_id", "start", "n_tokens", "ids_crc32")

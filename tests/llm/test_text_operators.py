@@ -7,8 +7,10 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -78,6 +80,28 @@ def test_token_files(spark):
     assert token_store.token_files(df.where("false"), WORDS, 1).count() == 0
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_token_files_are_in_order(spark, monkeypatch, most):
+    rng = random.Random(2)
+    words = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    shared = words(4000)
+    rows = [(i, shared + words(200) if i % 5 == 0 else "a copy" if i % 7 == 0 else words(20)) for i in range(300)] + [(None, "no id"), (8, "again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    stores, write = [], token_store.write_store
+    monkeypatch.setattr(token_store, "write_store", lambda *a: stores.append(write(*a)) or stores[-1])
+    monkeypatch.setattr(chunk_store, "BROADCAST_ROWS", most)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = token_store.token_files(df, WORDS, 1).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    files = [pq.read_table(p) for p in sorted(Path(stores[0].path).glob("part-*.parquet"))]
+    keys = [-1 if k is None else k for t in files for k in t.column("key").to_pylist()]
+    assert keys == sorted(keys) and any(g for t in files for g in t.column("given").to_pylist())
+    assert len(found) == len(rows)
+
+
 def test_gear_cuts():
     data = random.Random(1).randbytes(300_000)
     ends = chunk_store.gear_cuts(data)
