@@ -579,7 +579,7 @@ def _best_of_two(seqs: DataFrame) -> Hmm:
 
 
 _register("baum_welch_history", _history)
-_register("viterbi_training_fit", _trained(lambda s: training.viterbi_training(s, MODEL, training.HardConfig(1e-5, 5, 2)).model))
+_register("viterbi_training_fit", _trained(lambda s: training.viterbi_training(s, MODEL, training.BALANCED).model))
 _register("segmental_kmeans_fit", _trained(lambda s: training.segmental_k_means(s, Hmm.blank(2), 4).model))
 _register("fit_best_of_n", _trained(_best_of_two))
 _register("left_to_right_em", _trained(lambda s: training.baum_welch(s, initialize(MODEL, Topology("left_to_right")), 3, topology=Topology("left_to_right")).model))

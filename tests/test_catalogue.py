@@ -45,3 +45,10 @@ def test_runs(spark, name):
     found = df.collect()
     assert found
     assert not any(isinstance(v, float) and math.isnan(v) for r in found for v in r)
+
+
+def test_viterbi_training_ends_by_convergence(spark, monkeypatch):
+    done, train = [], catalogue.training.viterbi_training
+    monkeypatch.setattr(catalogue.training, "viterbi_training", lambda *a: done.append(train(*a)) or done[-1])
+    assert catalogue.QUERIES["viterbi_training_fit"](spark, str(DATA)).collect()
+    assert done[0].converged
