@@ -1,16 +1,18 @@
 """A content-addressed store of byte strings cut into content-defined chunks.
 
-Writing takes two passes over the items, neither of which shuffles the payload:
-
-1. every item is cut and hashed: its recipe is the list of its chunks' digests and sizes under a Merkle root.
-   Joins and aggregates over the digests alone find equal items and the chunks that several items (or one item
-   several times) hold, and name one holder for each: the least (key, place);
-2. items are cut again beside a small table of exceptions. A stored row holds the item's recipe, the chunks
-   that no other item has, and under `given` those it holds for others. Equal items and repeated chunks store
-   nothing, so each distinct chunk is in the store once (twice at most where a table repeats whole rows).
-
-Reading joins the given chunks to the recipes that lack them, puts the rest together from their own row, and
-checks every chunk's digest, the Merkle root and the item's SHA-256.
+Writing:
+
+1. every item is cut and hashed once: its recipe is the list of its chunks' digests and sizes under a Merkle root.
+   Items and recipes go to a scratch table in which each row has a number of its own;
+2. aggregates over digests alone elect the row that holds each distinct item and the (row, place) that holds each
+   distinct chunk, the least numbers. All joins are on row numbers, which are unique, so neither repeated keys, null
+   keys nor frequent chunks multiply rows or meet in one task;
+3. one row is stored for every item, in the order asked for: its recipe, the chunks that it alone has (`own`), and
+   under `given` those that it holds for others as well. Copies of an item store their recipe alone. So each distinct
+   chunk is in the store once, whatever repeats. The scratch table is then deleted.
+
+Reading uses the store's files only: given chunks are joined to the recipes that lack them, the rest is put together
+from the item's own row, and every chunk's digest, the Merkle root and the item's SHA-256 are checked.
 """
 
 from __future__ import annotations
@@ -19,18 +21,17 @@ import hashlib
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import accumulate
-from typing import Any
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, new_path
+from .common import discard, join_spread, materialize, new_path
 
 DIGEST = 20
+#: Bytes of a table of exceptions up to which it may be broadcast.
+BROADCAST_BYTES = 16 << 20
 _state = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _state = (_state ^ (_state >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
 #: One pseudorandom 32-bit number per byte value (a splitmix step of its index).
@@ -83,152 +84,163 @@ def manifest(size: int, root: bytes, digests: list[bytes], sizes: list[int]) ->
 
 @dataclass(frozen=True)
 class Store:
-    """recipes: (key, size, sha, root, digests, sizes) of every item; path: the stored rows."""
+    """A written store: one row for each item at `path`."""
 
-    recipes: DataFrame
     path: str
+    order: tuple[str, ...] = ()
 
+    def rows(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(_ROW).parquet(self.path)
 
-_RECIPE = "key long, size long, sha binary, root binary, digests array<binary>, sizes array<int>"
-_ROW = "key long, size long, sha binary, root binary, digests array<binary>, sizes array<int>, own array<binary>, given array<struct<digest: binary, chunk: binary>>"
+    def recipes(self, spark: SparkSession) -> DataFrame:
+        """(key, note, size, sha, file, place) of every item, as the files have them: `place` counts a file's rows."""
+        at = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("place")]
+        return self.rows(spark).select("key", "note", "size", "sha", *at)
 
 
-def _cut(data: bytes, cuts: Callable[[bytes], list[int]]) -> tuple[list[bytes], list[bytes]]:
-    ends = cuts(data)
-    chunks = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-    return chunks, [digest(x) for x in chunks]
+_ROW = (
+    "key long, note long, size long, sha binary, root binary, digests array<binary>, sizes array<int>, copy boolean, "
+    "own array<binary>, given array<struct<digest: binary, chunk: binary>>"
+)
 
+#: Arrow types of what describe() gives.
+DESCRIBED = {"size": pa.int64(), "sha": pa.binary(), "root": pa.binary(), "digests": pa.list_(pa.binary()), "sizes": pa.list_(pa.int32())}
+ITEMS = "key long, note long, data binary, size long, sha binary, root binary, digests array<binary>, sizes array<int>"
 
-def describe(data: bytes, cuts: Callable[[bytes], list[int]]) -> dict[str, Any]:
-    """An item's recipe but for its key."""
-    chunks, digests = _cut(data, cuts)
-    return {"size": len(data), "sha": hashlib.sha256(data).digest(), "root": merkle_root(digests), "digests": digests, "sizes": [len(c) for c in chunks]}
 
+def describe(data: bytes, cuts: Callable[[bytes], list[int]]) -> tuple[int, bytes, bytes, list[bytes], list[int]]:
+    """An item's recipe: size, sha, root, digests, sizes."""
+    ends = cuts(data)
+    sha = hashlib.sha256(data).digest()
+    if len(ends) < 2:
+        digests = [digest(data)] if ends else []
+        return len(data), sha, merkle_root(digests), digests, ends
+    starts = [0, *ends[:-1]]
+    digests = [digest(data[a:b]) for a, b in zip(starts, ends, strict=True)]
+    return len(data), sha, merkle_root(digests), digests, [b - a for a, b in zip(starts, ends, strict=True)]
 
-#: Arrow types of what describe() gives.
-DESCRIBED = {"size": pa.int64(), "sha": pa.binary(), "root": pa.binary(), "digests": pa.list_(pa.binary()), "sizes": pa.list_(pa.int32())}
 
+def item_batch(keys: pa.Array, notes: pa.Array, data: list[bytes], cuts: Callable[[bytes], list[int]]) -> pa.RecordBatch:
+    """Rows of ITEMS."""
+    described = zip(*(describe(x, cuts) for x in data), strict=True) if data else [[]] * len(DESCRIBED)
+    columns = [pa.array(list(c), kind) for c, kind in zip(described, DESCRIBED.values(), strict=True)]
+    return pa.RecordBatch.from_arrays([keys, notes, pa.array(data, pa.binary()), *columns], ["key", "note", "data", *DESCRIBED])
+
+
+def described_items(items: DataFrame, cuts: Callable[[bytes], list[int]]) -> DataFrame:
+    """Rows of ITEMS for items(key long, note long, data binary); null data counts as empty."""
 
-def _recipes(items: DataFrame, cuts: Callable[[bytes], list[int]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [describe(x.as_py(), cuts) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[c] for r in rows], kind) for c, kind in DESCRIBED.items())], ["key", *DESCRIBED])
-
-    return items.mapInArrow(run, _RECIPE)
-
-
-def _exceptions(recipes: DataFrame) -> DataFrame:
-    """(key, sha_, skip, omit, give): items that aren't stored, or not with all of their chunks to themselves."""
-    holders = materialize(recipes.groupBy("sha").agg(F.min("key").alias("key")), "holders")
-    first = recipes.join(holders, ["sha", "key"], "left_semi").dropDuplicates(["sha"])
-    refs = first.select("key", "sha", F.posexplode("digests").alias("place", "digest"))
-    shared = materialize(
-        refs.groupBy("digest").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("key", "place", "sha")).alias("holder")).where("m > 1").select("digest", "holder"), "shared"
-    )
-    mine = F.col("holder.key").eqNullSafe(F.col("key")) & (F.col("holder.place") == F.col("place")) & (F.col("holder.sha") == F.col("sha"))
-    part = refs.join(shared, "digest").groupBy("key", "sha").agg(
-        F.collect_list(F.when(~mine, F.col("place"))).alias("omit"), F.collect_list(F.when(mine, F.col("place"))).alias("give")
-    )
-    again = recipes.select("key", "sha").join(holders.select("sha", F.col("key").alias("holder")), "sha").where(~F.col("key").eqNullSafe(F.col("holder")))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield item_batch(part.column(0), part.column(1), [x.as_py() for x in part.column(2)], cuts)
+
+    return items.select("key", "note", F.coalesce("data", F.lit(b"")).alias("data")).mapInArrow(run, ITEMS)
+
+
+def _exceptions(items: DataFrame, name: str) -> DataFrame:
+    """(rid_, copy, omit, give): rows whose item another row holds, or that don't keep all chunks to themselves."""
+    holders = materialize(items.groupBy("sha").agg(F.min("rid").alias("rid")).select("rid"), f"{name}-holders")
+    copies = items.select("rid").join(holders, "rid", "left_anti")
+    refs = items.select("rid", "digests").join(holders, "rid", "left_semi").select("rid", F.posexplode("digests").alias("place", "digest"))
+    refs = materialize(refs, f"{name}-references")
+    first = refs.groupBy("digest").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("rid", "place")).alias("h"))
+    first = materialize(first.select("h.rid", "h.place", "m"), f"{name}-chunks")
+    omitted = refs.select("rid", "place").join(first, ["rid", "place"], "left_anti").withColumn("gives", F.lit(False))
+    given = first.where("m > 1").select("rid", "place", F.lit(True).alias("gives"))
+    places = lambda gives: F.collect_list(F.when(F.col("gives") == gives, F.col("place")))
+    part = omitted.union(given).groupBy("rid").agg(places(False).alias("omit"), places(True).alias("give"))  # one item's chunks
     none = F.array().cast("array<int>")
-    return part.select("key", F.col("sha").alias("sha_"), F.lit(False).alias("skip"), "omit", "give").union(
-        again.distinct().select("key", F.col("sha").alias("sha_"), F.lit(True), none, none)
-    )
+    out = part.select(F.col("rid").alias("rid_"), F.lit(False).alias("copy"), "omit", "give").union(copies.select("rid", F.lit(True), none, none))
+    out = materialize(out, f"{name}-exceptions")
+    for scratch in (holders, refs, first):
+        discard(scratch)
+    return out
 
 
 _GIVEN = pa.struct([("digest", pa.binary()), ("chunk", pa.binary())])
-_STORED = pa.schema([("key", pa.int64()), *DESCRIBED.items(), ("own", pa.list_(pa.binary())), ("given", pa.list_(_GIVEN))])
 
 
-def _all_own(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Stored rows of described items that keep all their chunks: these are slices of the data as it lies."""
-    data, sizes = batch.column("data"), batch.column("sizes")
-    first, flat = data.offset, sizes.flatten().to_numpy()
-    start = np.frombuffer(data.buffers()[1], np.int32)[first]
+def _stored(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Stored rows of items beside their exceptions. Chunks are slices of the data as it lies, null where omitted."""
+    data, sizes, digests = batch.column("data").cast(pa.binary()), batch.column("sizes"), batch.column("digests")
+    start = int(np.frombuffer(data.buffers()[1], np.int32)[data.offset])
+    flat = sizes.flatten().to_numpy()
     ends = np.concatenate([[start], start + np.cumsum(flat)]).astype(np.int32)
-    chunks = pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(ends), data.buffers()[2]])
     lists = np.concatenate([[0], np.cumsum(sizes.value_lengths().to_numpy())]).astype(np.int32)
+    here = np.ones(len(flat), bool)
+    copy = batch.column("copy").fill_null(False)
+    gives: list[list[dict[str, bytes]]] = [[]] * batch.num_rows
+    for row in np.flatnonzero(batch.column("copy").is_valid().to_numpy(zero_copy_only=False)):
+        at, n = int(lists[row]), int(lists[row + 1] - lists[row])
+        if copy[row].as_py():
+            here[at : at + n] = False
+            continue
+        omit, give = batch.column("omit")[row].as_py(), sorted(batch.column("give")[row].as_py())
+        here[[at + i for i in omit + give]] = False
+        own, value = digests[row].as_py(), data[row].as_py()
+        gives[row] = [{"digest": own[i], "chunk": value[ends[at + i] - ends[at] : ends[at + i + 1] - ends[at]]} for i in give]
+    valid = pa.py_buffer(np.packbits(here, bitorder="little").tobytes())
+    chunks = pa.Array.from_buffers(pa.binary(), len(flat), [valid, pa.py_buffer(ends), data.buffers()[2]])
     own = pa.ListArray.from_arrays(lists, chunks)
-    given = pa.ListArray.from_arrays(np.zeros(len(data) + 1, np.int32), pa.array([], _GIVEN))
-    return pa.RecordBatch.from_arrays([batch.column("key"), *(batch.column(c) for c in DESCRIBED), own, given], schema=_STORED)
+    kept = [batch.column(c) for c in ("key", "note", *DESCRIBED)]
+    return pa.RecordBatch.from_arrays([*kept, copy, own, pa.array(gives, pa.list_(_GIVEN))], ["key", "note", *DESCRIBED, "copy", "own", "given"])
+
+
+def write_store(described: DataFrame, name: str, order: tuple[str, ...] = ()) -> Store:
+    """Stores the items of `described` (ITEMS). With `order`, the files hold them in ascending order (nulls first) of
+    these columns, then of row number. Keys may be null or repeat, and equal rows may."""
+    spark = described.sparkSession
+    items = materialize(described.withColumn("rid", F.monotonically_increasing_id()), f"{name}-items")
+    except_ = _exceptions(items.select("rid", "sha", "digests"), name)
+    bytes_ = except_.agg(F.sum(32 + 8 * (F.size("omit") + F.size("give")))).first()[0] or 0
+    beside = items.join(F.broadcast(except_) if bytes_ <= BROADCAST_BYTES else except_, F.col("rid") == F.col("rid_"), "left")
+    if order:  # after the join, which may shuffle
+        by = [*(F.col(c).asc_nulls_first() for c in order), F.col("rid").asc()]
+        beside = beside.repartitionByRange(*by).sortWithinPartitions(*by)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                yield _stored(batch.slice(at, 1024))
 
-def write_store(items: DataFrame, cuts: Callable[[bytes], list[int]], name: str, arrange: Callable[[DataFrame], DataFrame] = lambda df: df) -> Store:
-    """Stores items(key long, data binary); `arrange` may order the items whose chunks are written.
+    path = new_path(spark, name)
+    beside.select("key", "note", "data", *DESCRIBED, "copy", "omit", "give").mapInArrow(run, _ROW).write.option("compression", "zstd").parquet(path)
+    discard(items)
+    discard(except_)
+    return Store(path, order)
 
-    Nulls in data count as empty; keys may be null or repeat. Items that come from a written table with the columns
-    of describe() beside them aren't cut and hashed again.
-    """
-    known = set(DESCRIBED) <= set(items.columns)
-    if known:
-        recipes = items.select("key", *DESCRIBED)
-    else:
-        items = items.select("key", F.coalesce("data", F.lit(b"")).alias("data"))
-        recipes = materialize(_recipes(items, cuts), f"{name}-recipes")
-    except_ = materialize(_exceptions(recipes), f"{name}-exceptions").withColumnRenamed("key", "key_")
-    small = except_.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    # arranged after the join, which may shuffle
-    beside = arrange(items.join(F.broadcast(except_) if small else except_, F.col("key").eqNullSafe(F.col("key_")), "left"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part, rows, places = batch.slice(at, 512), [], []
-                plain = pc.is_null(part.column("sha_")) if known else pa.array([False] * part.num_rows)
-                own_places = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
-                others = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
-                for place, x in zip(others, (part.filter(pc.invert(plain)) if known else part).to_pylist(), strict=True):
-                    data = x.pop("data")
-                    row = {c: x[c] for c in DESCRIBED} if known else describe(data, cuts)
-                    here = x["sha_"] == row["sha"]
-                    if here and x["skip"]:
-                        continue
-                    ends = list(accumulate(row["sizes"]))
-                    chunks = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-                    omit, give = (set(x["omit"]), set(x["give"])) if here else (set(), set())
-                    own = [None if i in omit or i in give else c for i, c in enumerate(chunks)]
-                    places.append(place)
-                    rows.append({"key": x["key"], **row, "own": own, "given": [{"digest": row["digests"][i], "chunk": chunks[i]} for i in sorted(give)]})
-                made = pa.RecordBatch.from_pylist(rows, _STORED)
-                if len(own_places):
-                    made = pa.concat_batches([_all_own(part.filter(plain)), made]) if rows else _all_own(part.filter(plain))
-                # in the order of the items
-                order = np.argsort(np.concatenate([own_places, np.array(places, np.int64)]))
-                yield made.take(pa.array(order)) if rows and len(own_places) else made
-
-    path = new_path(items.sparkSession, name)
-    beside.select("key", "data", "sha_", "skip", "omit", "give", *(DESCRIBED if known else ())).mapInArrow(run, _ROW).write.option("compression", "zstd").parquet(path)
-    return Store(recipes, path)
-
-
-def read_back(store: Store, finish: Callable[[bytes, bytes], tuple], columns: list[tuple[str, str, pa.DataType]]) -> DataFrame:
-    """(sha, *columns): finish(data, manifest) for each distinct stored item, rebuilt from its chunks and verified."""
-    spark = store.recipes.sparkSession
-    rows = spark.read.schema(_ROW).parquet(store.path)
+def read_back(store: Store, spark: SparkSession, finish: Callable[[bytes, bytes], tuple], columns: list[tuple[str, str, pa.DataType]]) -> DataFrame:
+    """(sha, *columns): finish(data, manifest) of each distinct stored item, rebuilt from its chunks and verified."""
+    rows = store.rows(spark).where("NOT copy")
     lacks = F.exists("own", lambda c: c.isNull())
-    given = rows.where(F.size("given") > 0).select(F.explode("given").alias("g")).select("g.digest", "g.chunk").dropDuplicates(["digest"])
-    refs = rows.where(lacks).select("sha", F.posexplode(F.arrays_zip("digests", "own")).alias("place", "z")).where("z.own IS NULL").select("sha", "place", F.col("z.digests").alias("digest")).distinct()
-    filled = refs.join(given, "digest").groupBy("sha").agg(F.collect_list(F.struct("place", "chunk")).alias("more"))  # as large as one item at most
+    given = rows.where(F.size("given") > 0).select(F.explode("given").alias("g")).select("g.digest", "g.chunk")
+    refs = rows.where(lacks).select("sha", F.posexplode(F.arrays_zip("digests", "own")).alias("place", "z"))
+    refs = refs.where("z.own IS NULL").select("sha", "place", F.col("z.digests").alias("digest"))
+    filled = join_spread(refs, given, "digest").groupBy("sha").agg(F.collect_list(F.struct("place", "chunk")).alias("more"))  # one item's chunks
     kind = "array<struct<place: int, chunk: binary>>"
-    whole = rows.where(~lacks).select("size", "sha", "root", "digests", "sizes", "own", F.array().cast(kind).alias("more"))
-    part = rows.where(lacks).join(filled, "sha").select("size", "sha", "root", "digests", "sizes", "own", F.col("more").cast(kind))
+    names = ["size", "sha", "root", "digests", "sizes", "own"]
+    whole = rows.where(~lacks).select(*names, F.array().cast(kind).alias("more"))
+    part = rows.where(lacks).join(filled, "sha").select(*names, F.col("more").cast(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                shas, found = [], []
-                for x in batch.slice(at, 512).to_pylist():
-                    chunks = x["own"]
-                    for more in x["more"]:
-                        chunks[more["place"]] = more["chunk"]
-                    data = b"".join(chunks)
-                    if [digest(c) for c in chunks] != x["digests"] or merkle_root(x["digests"]) != x["root"] or hashlib.sha256(data).digest() != x["sha"]:
+            for at in range(0, batch.num_rows, 256):
+                here = batch.slice(at, 256)
+                shas, found = here.column("sha").to_pylist(), []
+                each = zip(shas, *(here.column(c).to_pylist() for c in ("size", "root", "digests", "sizes", "own", "more")), strict=True)
+                for sha, size, root, digests, sizes, chunks, more in each:
+                    for m in more:
+                        chunks[m["place"]] = m["chunk"]
+                    data = chunks[0] if len(chunks) == 1 else b"".join(chunks)
+                    good = len(data) == size and [digest(c) for c in chunks] == digests and [len(c) for c in chunks] == sizes
+                    if not (good and merkle_root(digests) == root and hashlib.sha256(data).digest() == sha):
                         raise ValueError("a stored item doesn't match its manifest")
-                    shas.append(x["sha"])
-                    found.append(finish(data, manifest(x["size"], x["root"], x["digests"], x["sizes"])))
-                arrays = [pa.array([f[i] for f in found], kind) for i, (_, _, kind) in enumerate(columns)]
+                    found.append(finish(data, manifest(size, root, digests, sizes)))
+                arrays = [pa.array([f[i] for f in found], t) for i, (_, _, t) in enumerate(columns)]
                 yield pa.RecordBatch.from_arrays([pa.array(shas, pa.binary()), *arrays], ["sha", *(c[0] for c in columns)])
 
     schema = "sha binary, " + ", ".join(f"{n} {t}" for n, t, _ in columns)
-    return whole.union(part).mapInArrow(run, schema).dropDuplicates(["sha"])
+    return whole.union(part).mapInArrow(run, schema)

@@ -15,15 +15,21 @@ from pyspark.sql.types import DataType, StructField, StructType
 #: Rows up to which a one-column table of ids may be broadcast (8 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
+#: Rows of one key from which a join deals them out.
+HOT_ROWS = 4096
+
 _own_folder: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one of our own only where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir. Where that is unset: a temporary one in local mode (tests), an error on a
+    cluster, whose machines don't share local folders."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
-    app = spark.sparkContext.applicationId
-    return _own_folder.setdefault(app, tempfile.mkdtemp(prefix="statelattice-"))
+    context = spark.sparkContext
+    if not context.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder.setdefault(context.applicationId, tempfile.mkdtemp(prefix="statelattice-"))
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -38,6 +44,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes a table of materialize() of which nothing is read any more, whatever is still unevaluated."""
+    if files := table.inputFiles():
+        spark, folder = table.sparkSession, files[0].rsplit("/", 1)[0]
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left inner join right on `key`, of which right has no two rows alike.
+
+    A key with more than a ten-thousandth of left's rows (and HOT_ROWS at least) is dealt into parts, and its one row
+    of right is repeated for each of them, so no task gets all rows of a frequent key (left's rows must differ in other
+    columns to be dealt apart). There are 10,000 such keys at most, so that table is broadcast."""
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    hot_rows = max(HOT_ROWS, left.count() // 10_000)
+    hot = materialize(counts.where(F.col("__n") > hot_rows).select(key, F.ceil(F.col("__n") / hot_rows).cast("int").alias("__parts")), "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, key)
+    part = F.pmod(F.xxhash64(*(c for c in left.columns if c != key)), F.col("__parts")).cast("int")  # the same if a task runs again
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("__part", F.coalesce(part, F.lit(0))).drop("__parts")
+    parts = F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)
+    return dealt.join(right.join(F.broadcast(hot), key, "left").withColumn("__part", F.explode(parts)).drop("__parts"), [key, "__part"]).drop("__part")
+
+
 def only_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """Rows of df whose `column` is in the one-column table `ids`; broadcast only after a count of it."""
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunk_store import gear_cuts, read_back, write_store
+from .chunk_store import described_items, gear_cuts, read_back, write_store
+from .common import join_spread
 
 #: A payload is padded to a positive multiple of this.
 ALIGN = 64
@@ -43,15 +44,17 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The payload is the UTF-8 text and zero bytes up to a positive multiple of 64 (null and empty texts: 64
     zeros). It is stored as chunks that gear hashing cuts, each distinct chunk once; all figures but n_bytes come
-    from the bytes read back and verified. Equal texts have equal values. Null or repeated ids are kept as they
-    are, and other columns aren't read.
+    from the bytes read back and verified. Equal texts have equal values. Rows with null or repeated ids, and equal
+    rows, are items like others. Very long texts are many chunks of one item, and one item must fit into a task. An
+    empty table gives an empty result; other columns, whatever their names, aren't read.
     """
     raw = F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b""))
     n = F.octet_length(raw)
     padding = F.when(n == 0, ALIGN).otherwise(F.pmod(-n, F.lit(ALIGN)))
     payload = F.concat(raw, F.substring(F.lit(bytes(ALIGN)), F.lit(1), padding))
-    items = docs.select(F.col(id_col).cast("long").alias("key"), payload.alias("data"))
-    values = read_back(write_store(items, gear_cuts, "media"), _features, _VALUES).drop("sha")
-    # n_bytes isn't a function of the payload (a text may end in zero bytes), so it comes from the text itself
-    lengths = docs.select(F.col(id_col).cast("long").alias("doc_id"), n.cast("long").alias("n_bytes"), F.sha2(payload, 256).alias("payload_sha256"))
-    return lengths.join(values, "payload_sha256").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    # n_bytes isn't a function of the payload (a text may end in zero bytes), so it goes into the recipe
+    items = docs.select(F.col(id_col).cast("long").alias("key"), n.cast("long").alias("note"), payload.alias("data"))
+    store, spark = write_store(described_items(items, gear_cuts), "media"), docs.sparkSession
+    recipes = store.recipes(spark).select(F.col("key").alias("doc_id"), F.col("note").alias("n_bytes"), "sha", "file", "place")
+    values = read_back(store, spark, _features, _VALUES)
+    return join_spread(recipes, values, "sha").select("doc_id", "n_bytes", *(c[0] for c in _VALUES))

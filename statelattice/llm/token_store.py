@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 from functools import partial
@@ -13,15 +14,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .chunk_store import DESCRIBED, describe, gear_cuts, read_back, write_store
-from .common import materialize
+from .chunk_store import ITEMS, gear_cuts, item_batch, read_back, write_store
+from .common import join_spread, materialize
 
 #: Encoded words that a worker remembers, and the longest word it does (characters).
 WORDS, CHARS = 800_000, 64
-#: Fixed value: the pieces that the tokenizer's own split makes of a normalised text.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+# The normaliser and the pre-tokeniser for which words can be encoded one by one, and the pieces that
+# this pre-tokeniser makes of a normalised text.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+SPLIT = regex.compile(PIECES)
 #: Up to here (U+024F) every character is its own NFC form and lower case goes character by character.
 PLAIN = "\u024f"
+BEYOND = regex.compile("[^\\x00-\u024f]")
 
 
 def byte_alphabet() -> list[str]:
@@ -31,18 +43,27 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def by_words(path: str) -> bool:
+    """Whether a tokenizer file normalises and splits as NORMALIZER and PRE_TOKENIZER do, and its added tokens all
+    start with `<|`, so that its ids for a text are those of its words in turn."""
+    with open(path, encoding="utf-8") as file:
+        config = json.load(file)
+    plain = all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] and " " not in t["content"] for t in config["added_tokens"])
+    return config["normalizer"] == NORMALIZER and config["pre_tokenizer"] == PRE_TOKENIZER and plain and config["model"]["type"] == "BPE" and not config["model"]["dropout"]
+
+
 class WordEncoder(dict):
-    """Ids (as bytes) of words, for a tokenizer whose words end at white space.
+    """Ids (as bytes) of words, for a tokenizer whose words end at white space (by_words); of whole texts for others.
 
-    Such a tokenizer's ids for a text are those of its space-separated words in turn, so each distinct word is
-    encoded once. A word of plain characters is lower-cased and split here; what can't be split goes to the library's
-    BPE model. Any other word goes through the whole library pipeline.
+    Each distinct word is encoded once. A word of plain characters is lower-cased and split here, and what can't be
+    split goes to the library's BPE model. Any other word goes through the whole library pipeline.
     """
 
     def __init__(self, path: str, unit: str) -> None:
         super().__init__({"": b""})
-        self.tokenizer, self.letters = Tokenizer.from_file(path), byte_alphabet()
-        self.model = self.tokenizer.model
+        self.tokenizer, letters = Tokenizer.from_file(path), byte_alphabet()
+        self.model, self.by_words = self.tokenizer.model, by_words(path)
+        self.letters = {b: letters[b] for b in range(256)}
         self.packed = [x.tobytes() for x in np.arange(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=unit)]
 
     def trim(self) -> None:
@@ -51,33 +72,43 @@ class WordEncoder(dict):
             self.clear()
             self[""] = b""
 
+    def _library(self, text: str) -> bytes:
+        return b"".join([self.packed[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of what the pre-tokeniser leaves whole, in lower case."""
+        if not (piece.isascii() and piece.isalnum()):
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(piece)])
+
     def __missing__(self, word: str) -> bytes:
-        if not ((word.isascii() or max(word) <= PLAIN) and "<|" not in word):
-            ids = b"".join([self.packed[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
+        if "<|" in word or not (word.isascii() or max(word) <= PLAIN):
+            ids = self._library(word)
+        elif (low := word.lower()) != word:
+            ids = self[low]
+        elif word.isalpha():
+            ids = self._piece(word)
+        elif word[-1] in ".,;:!?" and word[:-1].isalpha():
+            ids = self[word[:-1]] + self[word[-1]]
         else:
-            low = word.lower()
-            if low.isalpha():
-                parts = [low]
-            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
-                parts = [low[:-1], low[-1]]
-            else:
-                parts = SPLIT.findall(low)
-            if parts == [word]:
-                text = word if word.isascii() and word.isalnum() else "".join([self.letters[b] for b in word.encode()])
-                ids = b"".join([self.packed[t.id] for t in self.model.tokenize(text)])
-            else:
-                ids = b"".join([self[p] for p in parts])
+            parts = SPLIT.findall(word)
+            ids = self._piece(word) if parts == [word] else b"".join([self[p] for p in parts])
         if len(word) <= CHARS and len(self) < WORDS:
             self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
+        if not self.by_words:
+            return self._library(text)
+        if not BEYOND.search(text):  # fewer distinct words in lower case
+            text = text.lower()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def encode_words(docs: DataFrame, path: str, end_id: int, cuts: Callable[[bytes], list[int]], unit: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, data, size, sha, root, digests, sizes) of docs: ids of the whole text and end_id as integers of type
-    `unit`, and their recipe in the chunk store. A null text has the end id alone."""
+    """docs as items of the chunk store: ids of the whole text and end_id as integers of type `unit`. A null text has
+    the end id alone."""
     end = np.array([end_id], unit).tobytes()
     memo = docs.sparkSession.sparkContext.broadcast({})  # one dict in each worker process, kept from task to task
 
@@ -90,27 +121,23 @@ def encode_words(docs: DataFrame, path: str, end_id: int, cuts: Callable[[bytes]
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = [encoder.encode((x.as_py() or b"").decode("utf-8", "replace")) + end for x in part.column(1)]
-                rows = [describe(x, cuts) for x in ids]
-                columns = [pa.array([r[c] for r in rows], kind) for c, kind in DESCRIBED.items()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), *columns], ["key", "data", *DESCRIBED])
+                yield item_batch(part.column(0), pa.nulls(len(ids), pa.int64()), ids, cuts)
 
     text = F.col(text_col).cast("string").cast("binary")
-    schema = "key long, data binary, size long, sha binary, root binary, digests array<binary>, sizes array<int>"
-    return docs.select(F.col(id_col).cast("long").alias("key"), text.alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("key"), text.alias("text")).mapInArrow(run, ITEMS)
 
 
-def _starts(rows: DataFrame) -> DataFrame:
-    """rows(doc_id, n_tokens, sha, ...) in ascending doc_id order with `start`, the sum of n_tokens before.
+def _starts(recipes: DataFrame, size: int) -> DataFrame:
+    """(doc_id, sha, start): the ids that the files hold before each item, `size` bytes each.
 
-    Range partitions are summed each by itself; only one sum per partition is gathered."""
-    order = [F.col("doc_id").asc_nulls_first(), "n_tokens", "sha", "tie"]
-    dealt = rows.withColumn("tie", F.monotonically_increasing_id())
-    dealt = materialize(materialize(dealt, "sizes").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "ordered")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = dealt.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("offset") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))
-    return dealt.join(F.broadcast(parts), "part").withColumn("start", start).drop("part", "offset", "tie")
+    Files are summed each by itself; only one sum per file is gathered."""
+    rows = recipes.withColumn("n", F.floor(F.col("size") / size).cast("long"))
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    before = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("file").agg(F.sum("n").alias("ids")).select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("offset"))
+    within = F.sum("n").over(Window.partitionBy("file").orderBy("place")) - F.col("n")
+    rows = rows.withColumn("within", within).join(F.broadcast(files), "file")  # one row a file
+    return rows.select(F.col("key").alias("doc_id"), "sha", (F.col("offset") + F.col("within")).alias("start"))
 
 
 def _figures(unit: str, data: bytes, recipe: bytes) -> tuple:
@@ -123,19 +150,16 @@ def token_files(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
 
     The id stream of all documents in ascending doc_id order (nulls first; rows that share an id by length and
     content) is cut per document by a rolling hash on id boundaries. Each distinct chunk is stored once, in that
-    order; recipes with Merkle roots rebuild and verify every document. A null or empty text has the end id alone.
+    order; every document has a recipe with a Merkle root in the files, in that order too, and all figures come from
+    these files, the ids rebuilt and verified. A null or empty text has the end id alone; very long texts are many
+    chunks of one item, and one item must fit into a task. Null and repeated ids and equal rows are items like others.
     An empty table gives an empty result; other columns aren't read.
     """
     size = Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
-    unit = "<u2" if max(size, end_id + 1) <= 1 << 16 else "<u4"
-    cuts = partial(gear_cuts, unit=np.dtype(unit).itemsize)
-    items = materialize(encode_words(docs, path, end_id, cuts, unit, id_col, text_col), "ids")
-
-    def ascending(df: DataFrame) -> DataFrame:
-        order = [F.col("key").asc_nulls_first(), "size", "sha"]
-        return df.repartitionByRange(*order).sortWithinPartitions(*order)
-
-    store = write_store(items, cuts, "tokens", ascending)
-    values = read_back(store, partial(_figures, unit), [("n_tokens", "long", pa.int64()), ("ids_crc32", "long", pa.int64())])
-    found = store.recipes.select(F.col("key").alias("doc_id"), "sha").join(values, "sha")
-    return _starts(found).select("doc_id", "start", "n_tokens", "ids_crc32")
+    unit = np.dtype("<u2" if max(size, end_id + 1) <= 1 << 16 else "<u4")
+    cuts = partial(gear_cuts, unit=unit.itemsize)
+    store = write_store(encode_words(docs, path, end_id, cuts, unit.str, id_col, text_col), "tokens", ("key", "size", "sha"))
+    spark = docs.sparkSession
+    values = read_back(store, spark, partial(_figures, unit.str), [("n_tokens", "long", pa.int64()), ("ids_crc32", "long", pa.int64())])
+    starts = materialize(_starts(store.recipes(spark), unit.itemsize), "token-starts")
+    return join_spread(starts, values, "sha").select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -15,8 +15,9 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from statelattice.llm import bpe, chunk_store, language_id, media, secrets, token_store
+from statelattice.llm import bpe, chunk_store, common, language_id, media, secrets, token_store
 
 P = pytest.importorskip("public_tokenizers")
 RANKS, WORDS = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
@@ -80,7 +81,7 @@ def test_token_files(spark):
     assert token_store.token_files(df.where("false"), WORDS, 1).count() == 0
 
 
-@pytest.mark.parametrize("most", [500_000, 0])
+@pytest.mark.parametrize("most", [1 << 24, -1])
 def test_token_files_are_in_order(spark, monkeypatch, most):
     rng = random.Random(2)
     words = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
@@ -89,7 +90,7 @@ def test_token_files_are_in_order(spark, monkeypatch, most):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     stores, write = [], token_store.write_store
     monkeypatch.setattr(token_store, "write_store", lambda *a: stores.append(write(*a)) or stores[-1])
-    monkeypatch.setattr(chunk_store, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(chunk_store, "BROADCAST_BYTES", most)
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -99,7 +100,9 @@ def test_token_files_are_in_order(spark, monkeypatch, most):
     files = [pq.read_table(p) for p in sorted(Path(stores[0].path).glob("part-*.parquet"))]
     keys = [-1 if k is None else k for t in files for k in t.column("key").to_pylist()]
     assert keys == sorted(keys) and any(g for t in files for g in t.column("given").to_pylist())
-    assert len(found) == len(rows)
+    assert len(found) == len(keys) == len(rows)
+    sizes = [n // 2 for t in files for n in t.column("size").to_pylist()]  # a recipe for every document
+    assert sorted((-1 if i is None else i, s, n) for i, s, n, _ in found) == sorted(zip(keys, np.cumsum([0, *sizes[:-1]]).tolist(), sizes, strict=True))
 
 
 def test_gear_cuts():
@@ -113,23 +116,64 @@ def test_gear_cuts():
     assert chunk_store.gear_cuts(b"") == [] and chunk_store.gear_cuts(b"a") == [1]
 
 
+KIND = [("data", "binary", chunk_store.pa.binary())]
+
+
+def stored(spark, items, name="test"):
+    df = spark.createDataFrame(items, "key long, data binary").withColumn("note", F.lit(None).cast("long"))
+    return chunk_store.write_store(chunk_store.described_items(df, chunk_store.gear_cuts), name)
+
+
+def chunks_of(spark, store):
+    rows = spark.read.parquet(store.path).collect()
+    return [bytes(c) for r in rows for c in r["own"] if c is not None] + [bytes(g["chunk"]) for r in rows for g in r["given"]]
+
+
 def test_store_keeps_each_chunk_once_and_notices_damage(spark):
     shared = random.Random(2).randbytes(60_000)
     items = [(1, shared), (2, shared), (3, b"head" + shared), (4, shared + b"tail"), (5, shared * 2), (6, b""), (7, None)]
-    df = spark.createDataFrame(items, "key long, data binary")
-    store = chunk_store.write_store(df, chunk_store.gear_cuts, "test")
-    kind = [("data", "binary", chunk_store.pa.binary())]
-    back = {bytes(r["data"]) for r in chunk_store.read_back(store, lambda data, recipe: (data,), kind).collect()}
+    store = stored(spark, items)
+    back = {bytes(r["data"]) for r in chunk_store.read_back(store, spark, lambda data, recipe: (data,), KIND).collect()}
     assert back == {d or b"" for _, d in items}
-    rows = spark.read.parquet(store.path).collect()
-    held = [bytes(c) for r in rows for c in r["own"] if c is not None] + [bytes(g["chunk"]) for r in rows for g in r["given"]]
+    held = chunks_of(spark, store)
     assert len(held) == len(set(held))
     assert sum(map(len, held)) < 2.5 * len(shared)
-    broken = spark.read.parquet(store.path).selectExpr("key", "size", "reverse(sha) sha", "root", "digests", "sizes", "own", "given")
+    broken = spark.read.parquet(store.path).selectExpr("key", "note", "size", "reverse(sha) sha", "root", "digests", "sizes", "copy", "own", "given")
     path = store.path + "-broken"
     broken.write.parquet(path)
     with pytest.raises(Exception, match="manifest"):
-        chunk_store.read_back(chunk_store.Store(store.recipes, path), lambda data, recipe: (data,), kind).collect()
+        chunk_store.read_back(chunk_store.Store(path), spark, lambda data, recipe: (data,), KIND).collect()
+
+
+def test_store_of_repeated_rows_and_ids(spark, monkeypatch):
+    """Equal rows, one key under many texts, and rows without a key all store each chunk once and lose nothing."""
+    rng = random.Random(4)
+    passage = rng.randbytes(20_000)
+    items = [(1, passage)] * 40 + [(None, passage)] * 40
+    items += [(key, rng.randbytes(300) + passage + rng.randbytes(300)) for key in (1, None) for _ in range(30)]
+    monkeypatch.setattr(common, "HOT_ROWS", 8)  # frequent digests are dealt out
+    store = stored(spark, items)
+    held = chunks_of(spark, store)
+    assert len(held) == len(set(held))
+    recipes = store.recipes(spark).collect()
+    assert len(recipes) == len(items)
+    back = {bytes(r["sha"]): bytes(r["data"]) for r in chunk_store.read_back(store, spark, lambda data, recipe: (data,), KIND).collect()}
+    assert sorted((r["key"] or 0, back[bytes(r["sha"])]) for r in recipes) == sorted((k or 0, d) for k, d in items)
+
+
+def test_join_spread(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    left = spark.range(500).selectExpr("id", "IF(id < 300, 7, id % 50) AS k")
+    right = spark.range(60).selectExpr("id AS k", "id * 2 AS v")
+    assert sorted(map(tuple, common.join_spread(left, right, "k").select("id", "k", "v").collect())) == sorted((i, k, 2 * k) for i in range(500) for k in [7 if i < 300 else i % 50])
+
+
+def test_other_tokenizers_go_through_the_library(spark):
+    path = P.path("byte_bpe_50k.json")
+    assert not token_store.by_words(path) and token_store.by_words(WORDS)
+    own = token_store.WordEncoder(path, "<u2")
+    for t in ("Some Text, twice  over\n", "é漢"):
+        assert np.frombuffer(own.encode(t), "<u2").tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def test_merkle_root():
