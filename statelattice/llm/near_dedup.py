@@ -1,25 +1,28 @@
 """MinHash near-duplicate detection with bottom-k sketches.
 
 Plan. Each document's shingles are hashed with one hash function; its sketch is the K smallest values.
-Documents with equal sets form one class. Inverted lists of retained values generate candidates:
+Documents with equal sets form one class, a node of the link graph. Inverted lists of retained values generate
+candidates:
 
 * a class is listed under the first values of its sketch only, rare values before frequent ones (any
   fixed order will do). Where the whole set is retained, two classes that reach the threshold must share
-  one of these (prefix filter), so nothing is lost; for larger sets the prefix is sized for sketches that
-  share half of their values, which a pair at similarity 0.8 misses with a chance below 1e-8;
-* lists of up to SHORT classes are joined with themselves, pairs that differ too much in size are left out,
-  the union sketch (the K smallest values of both) estimates the similarity, and pairs whose estimate isn't
-  far below the threshold are verified on their full sets;
-* longer lists (groups of near copies, passages that make up most of many documents) are compared in blocks
-  of bounded size, each pair on its full sets within a task; a block returns a spanning forest of its links,
-  never its pairs. Lists that overlap are merged first where that makes fewer comparisons.
+  one of these (prefix filter), so nothing is lost; for larger sets the prefix is sized for sketches that share
+  least_shared() values, which a pair at the threshold misses with a chance below MISS;
+* lists of up to SHORT classes are joined with themselves, pairs that differ too much in size are left out. Where
+  both sets are retained whole their similarity is exact; else the union sketch (the K smallest values of both)
+  estimates it, and pairs that share less than least_shared() of its values go. The rest is verified on full sets;
+* longer lists (groups of near copies, passages that make up most of many documents) are compared in blocks of
+  bounded size on full sets, each block returning a spanning forest of its links, never its pairs. First every
+  block by itself; then, of each list, only the classes that those links have not joined to its largest component
+  meet the others. Lists that overlap are merged first where that makes fewer comparisons.
 
 Components come from distributed star contraction. No list, link or component is gathered in one place.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -28,17 +31,34 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, only_ids
+from .common import BROADCAST_ROWS, components, join_spread, materialize, only_ids
 from .shingles import shingle_set
 
 #: Values that a sketch retains.
 K = 64
+#: Chance that a pair of large sets at the threshold isn't found.
+MISS = 2e-8
 #: Longest inverted list that is joined with itself; longer ones are compared in blocks.
 SHORT = 32
 #: Classes, and shingles, that a block holds at most (about).
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 20
 
 
+def least_shared(percent: int) -> int:
+    """The most values that two sketches at the threshold share but for a chance of MISS: the K smallest values of the
+    union are in both sets independently, each with a probability of percent / 100 at least."""
+    p, below = percent / 100, 0.0
+    for shared in range(K + 1):
+        below += comb(K, shared) * p**shared * (1 - p) ** (K - shared)
+        if below > MISS:
+            return shared
+    return K
+
+
+def _digest(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
 def _sketches(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n, digest, sketch) of docs(doc_id, text binary)."""
 
@@ -51,7 +71,7 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
                     [
                         part.column(0),
                         pa.array([len(x) for x in sets], pa.int64()),
-                        pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()),
+                        pa.array([_digest(x) for x in sets], pa.binary()),
                         pa.array([x[:K].astype(np.int64) for x in sets], pa.list_(pa.int64())),
                     ],
                     ["doc_id", "n", "digest", "sketch"],
@@ -60,17 +80,36 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, digest binary, sketch array<long>")
 
 
-def _full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(cid, hs) of docs(cid, text binary): each whole set as sorted 64-bit integers."""
+def _hashed(texts: DataFrame, width: int, kind: str) -> DataFrame:
+    """(cid, digest, hs) of texts(cid, text binary): each whole set as sorted 64-bit integers, and its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = pa.array([shingle_set(x.as_py(), width).tobytes() for x in part.column(1)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), sets], ["cid", "hs"])
+                sets = [shingle_set(x.as_py(), width) for x in part.column(1)]
+                columns = [part.column(0), pa.array([_digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["cid", "digest", "hs"])
+
+    return texts.mapInArrow(run, f"cid {kind}, digest binary, hs binary")
+
 
-    return docs.mapInArrow(run, "cid long, hs binary")
+def _full_sets(docs: DataFrame, classes: DataFrame, again: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(cid, hs), one row for each class in wanted(cid): its whole set, from a document that is in it.
+
+    classes(cid, doc_id, digest); again(doc_id): the ids of more than one row of docs, whose texts may differ."""
+    found = classes.select("cid", "doc_id", "digest").join(wanted, "cid", "left_semi")
+    repeated = not again.isEmpty()
+    once = found.join(again, "doc_id", "left_anti") if repeated else found
+    once = materialize(once.select("doc_id", "cid"), "wanted")
+    small = once.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = docs.join(F.broadcast(once) if small else once, "doc_id").select("cid", "text")
+    sets = _hashed(texts, width, "long").select("cid", "hs")
+    if repeated:  # those documents are hashed before it is known which of them is which class
+        twice = materialize(found.join(again, "doc_id", "left_semi"), "wanted-again")
+        own = _hashed(only_ids(docs, twice.select("doc_id").distinct(), "doc_id").select(F.col("doc_id").alias("cid"), "text"), width, "long")
+        sets = sets.union(own.select("digest", "hs").join(twice.select("digest", "cid"), "digest").select("cid", "hs").dropDuplicates(["cid"]))
+    return sets
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -90,12 +129,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _forest(percent: int):
-    """Links within a block, or between two, as a spanning forest."""
+    """Links within a block (side 0 alone), or between a block of side 0 and one of side 1, as a spanning forest."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.drop_duplicates("cid")
         sets = [np.frombuffer(x, np.uint64) for x in block["hs"]]
-        ids, part, n = block["cid"].to_numpy(), block["block"].to_numpy(), np.array([len(x) for x in sets])
+        ids, side, n = block["cid"].to_numpy(), block["side"].to_numpy(), np.array([len(x) for x in sets])
         rows = np.repeat(np.arange(len(sets)), n)
         values, inverse, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
         column = np.cumsum(counts > 1) - 1
@@ -110,9 +148,8 @@ def _forest(percent: int):
             wide[rows[lo:hi], cols[lo:hi] - start] = 1
             both += wide @ wide.T
         linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
-        one = block["i"].iloc[0] == block["j"].iloc[0]
-        if not one:
-            linked &= part[:, None] != part[None, :]
+        if side.any():
+            linked &= side[:, None] != side[None, :]
         left, out = np.ones(len(ids), bool), []
         for seed in range(len(ids)):  # breadth first
             if left[seed]:
@@ -128,8 +165,10 @@ def _forest(percent: int):
     return run
 
 
-def _long_lists(lists: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links among the classes of lists(v, cid, n, m), each list m long."""
+def _grouped(lists: DataFrame) -> DataFrame:
+    """(k, cid, nb, m) of lists(v, cid, n): the classes to compare with each other under a number k, in nb blocks.
+
+    Lists that share classes are merged where their union takes fewer comparisons than all of them."""
     lows = materialize(lists.groupBy("v").agg(F.min("cid").alias("low")), "lows")  # small beside the lists: joined without dealing these by v
     merged = components(lists.join(lows, "v").select(F.col("cid").alias("a"), F.col("low").alias("b")), "lists")
     member = materialize(lists.join(merged.withColumnRenamed("node", "cid"), "cid").select("v", "cid", "n", "root"), "members")
@@ -137,19 +176,42 @@ def _long_lists(lists: DataFrame, docs: DataFrame, width: int, percent: int) ->
     by_root = member.select("root", "cid", "n").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("rm"), F.sum("n").alias("rn"))
     cost = by_list.groupBy("root").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("cost")).join(by_root, "root")
     plan = by_list.join(cost, "root").withColumn("whole", F.col("rm").cast("double") * F.col("rm") <= F.col("cost"))
-    m, n = F.when(F.col("whole"), F.col("rm")).otherwise(F.col("m")), F.when(F.col("whole"), F.col("rn")).otherwise(F.col("n"))
-    plan = plan.select("root", "v", "whole", F.greatest(F.ceil(m / BLOCK_ROWS), F.ceil(n / BLOCK_SHINGLES)).cast("int").alias("nb"))
-    keyed = (
-        member.join(plan, ["root", "v"])
-        .select("whole", F.when(F.col("whole"), F.col("root")).otherwise(F.col("v")).alias("key"), "cid", "nb")
-        .distinct()
-        .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("whole", "key", "cid", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    )
-    wanted = member.select("cid").distinct()
-    sets = _full_sets(only_ids(docs.withColumnRenamed("doc_id", "cid"), wanted, "cid"), width)
-    return keyed.join(sets, "cid").groupBy("whole", "key", "i", "j").applyInPandas(_forest(percent), "a long, b long")
+    pick = lambda a, b: F.when(F.col("whole"), F.col(a)).otherwise(F.col(b))
+    blocks = F.greatest(F.ceil(pick("rm", "m") / BLOCK_ROWS), F.ceil(pick("rn", "n") / BLOCK_SHINGLES)).cast("int")
+    # of two lists with one number (a collision) the classes are compared as well, which does no harm
+    plan = plan.select("root", "v", F.xxhash64("whole", pick("root", "v")).alias("k"), blocks.alias("nb"), pick("rm", "m").alias("m"))
+    return materialize(member.join(plan, ["root", "v"]).select("k", "cid", "nb", "m").distinct(), "groups")
+
+
+def _long_lists(lists: DataFrame, links: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Links among the classes of lists(v, cid, n, m), each list m long; `links` are known already."""
+    group = _grouped(lists)
+    sets = materialize(sets_of(group.select("cid").distinct()), "long-sets")
+    block = F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int")
+    own = group.select("k", "cid", block.alias("i"), F.lit(0).alias("side"))
+    found = materialize(own.join(sets, "cid").groupBy("k", "i").applyInPandas(_forest(percent), "a long, b long"), "block-links")
+    wide = group.where("nb > 1")
+    if wide.isEmpty():
+        return found
+    joined = components(links.union(found), "joined").withColumnRenamed("node", "cid")
+    wide = materialize(wide.join(joined, "cid", "left").withColumn("part", F.coalesce("root", "cid")).drop("root"), "wide-groups")
+    parts = wide.groupBy("k", "part").agg(F.count(F.lit(1)).alias("size"))
+    largest = parts.groupBy("k").agg(F.max(F.struct("size", "part")).alias("x"), F.sum("size").alias("all"))
+    largest = largest.select("k", F.col("x.part").alias("main"), (F.col("all") - F.col("x.size")).alias("left")).where("left > 0")
+    open_ = materialize(join_spread(wide, largest, "k"), "open-groups").withColumn("no", F.ceil(F.col("left") * F.col("nb") / F.col("m")).cast("int"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    ones = open_.where(F.col("part") != F.col("main")).select("k", "cid", F.pmod(F.xxhash64("cid"), F.col("no")).cast("int").alias("j"), upto("nb").alias("i"), F.lit(0).alias("side"))
+    others = open_.select("k", "cid", upto("no").alias("j"), block.alias("i"), F.lit(1).alias("side"))
+    across = ones.unionByName(others).join(sets, "cid").groupBy("k", "i", "j").applyInPandas(_forest(percent), "a long, b long")
+    return found.union(across.where("a <> b"))
+
+
+def _shared_ids(rows: DataFrame, classes: DataFrame, again: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows(doc_id, digest) that share one of the ids in `again`."""
+    own = materialize(rows.join(again, "doc_id", "left_semi").select("doc_id", "digest").distinct(), "repeated")
+    own = materialize(own.join(classes.select("digest", "cid"), "digest").select("doc_id", "cid"), "repeated-classes")
+    low = own.groupBy("doc_id").agg(F.min("cid").alias("b"))
+    return join_spread(own, low, "doc_id").select(F.col("cid").alias("a"), "b").where("a <> b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -158,25 +220,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents are linked where 100 * intersection >= percent * union of their shingle sets; component_id is
     the smallest id that links reach, and kept marks that document. A null or wordless text has an empty set
     and is linked with nothing. A row without an id is kept, has no component_id and takes no part. Repeated
-    rows share a component. Rows that share an id but not a text count as one node of the link graph.
-    Other columns, whatever their names, aren't read. An empty table gives an empty result.
+    rows share a component. Rows that share an id but not a text are linked with each other. A very long text is
+    hashed whole. Other columns, whatever their names, aren't read. An empty table gives an empty result.
     """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    rows = materialize(_sketches(text, width), "sketches")
-    filled = rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes = materialize(filled.groupBy("digest", "n").agg(F.min("doc_id").alias("cid")), "classes")
-    sketch = materialize(
-        filled.join(classes.select("digest", F.col("cid").alias("doc_id")), ["digest", "doc_id"])
-        .select(F.col("doc_id").alias("cid"), "n", "sketch")
-        .dropDuplicates(["cid", "n"]),
-        "class-sketches",
-    )
+    rows = materialize(_sketches(text, width).withColumn("rid", F.monotonically_increasing_id()), "sketches")
+    takes_part = F.expr("n > 0 AND doc_id IS NOT NULL")
+    filled = rows.where(takes_part)
+    # a class goes by the number of a row of its least id
+    classes = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "rid")).alias("x")).select("digest", "x.doc_id", F.col("x.rid").alias("cid"))
+    classes = materialize(classes, "classes")
+    again = materialize(filled.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("doc_id"), "again")
+    sketch = filled.select(F.col("rid").alias("cid"), "n", "sketch").join(classes.select("cid"), "cid", "left_semi")
+    sketch = materialize(sketch, "class-sketches")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return _full_sets(text, classes, again, wanted, width)
 
     kept = sketch.select("cid", F.explode("sketch").alias("v"))
     hot = materialize(kept.groupBy("v").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > SHORT).select("v"), "frequent")
     hots = kept.join(hot, "v").groupBy("cid").agg(F.collect_set("v").alias("hots"))  # at most K each
-    size, need = F.size("sketch"), F.ceil(F.col("n") * percent / 100)
-    first = F.when(F.col("n") <= K * percent // 100, F.col("n") - need + 1).otherwise(size - size / 2 + 1).cast("int")
+    need, shared = F.ceil(F.col("n") * percent / 100), least_shared(percent)
+    # partners of a set of up to K * percent / 100 are retained whole as well
+    first = F.when(F.col("n") <= K * percent // 100, F.col("n") - need + 1).otherwise(F.greatest(F.lit(1), F.size("sketch") - shared + 1)).cast("int")
     hots_of = F.coalesce("hots", F.array().cast("array<long>"))
     ordered = F.concat(F.array_except("sketch", hots_of), F.array_intersect("sketch", hots_of))
     posts = sketch.join(hots, "cid", "left").select("cid", "n", F.explode(F.slice(ordered, F.lit(1), first)).alias("v"))
@@ -186,21 +252,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     short = lists.where(F.col("m") <= SHORT)
     a, b = short.select("v", F.col("cid").alias("a"), F.col("n").alias("na")), short.select("v", F.col("cid").alias("b"), F.col("n").alias("nb"))
     fits = (F.col("a") < F.col("b")) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    pairs = a.join(b, "v").where(fits).select("a", "b").distinct()
+    pairs = a.join(b, "v").where(fits).select("a", "b", "na", "nb").distinct()
     sa, sb = sketch.select(F.col("cid").alias("a"), F.col("sketch").alias("sa")), sketch.select(F.col("cid").alias("b"), F.col("sketch").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    exact = both * 100 >= (F.col("na") + F.col("nb") - both) * percent
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
-    near = F.size(F.array_intersect(F.array_intersect(union, F.col("sa")), F.col("sb"))) * 2 >= F.size(union)
-    likely = materialize(pairs.join(sa, "a").join(sb, "b").where(near).select("a", "b").distinct(), "candidates")
-    named = text.withColumnRenamed("doc_id", "cid")
-    links = _verified(likely, _full_sets(only_ids(named, likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid"), width), percent)
+    near = F.size(F.array_intersect(F.array_intersect(union, F.col("sa")), F.col("sb"))) >= shared
+    whole = (F.col("na") <= K) & (F.col("nb") <= K)
+    judged = pairs.join(sa, "a").join(sb, "b").withColumn("whole", whole).where(F.when(F.col("whole"), exact).otherwise(near))
+    likely = materialize(judged.select("a", "b", "whole"), "candidates")
+    open_ = likely.where("NOT whole").select("a", "b")
+    links = _verified(open_, sets_of(open_.select(F.explode(F.array("a", "b")).alias("cid")).distinct()), percent)
+    links = materialize(links.union(likely.where("whole").select("a", "b")), "pair-links")
+    if not again.isEmpty():
+        links = links.union(_shared_ids(filled, classes, again))
     if not (long := lists.where(F.col("m") > SHORT)).isEmpty():
-        links = links.union(_long_lists(long, text, width, percent))
+        links = links.union(_long_lists(long, links, sets_of, percent))
     roots = components(links, "links").select(F.col("node").alias("cid"), "root")
-    found = classes.join(roots, "cid", "left").select("digest", "n", F.coalesce("root", "cid").alias("root"))
-    alone = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))
-    return (
-        rows.select("doc_id", "n", "digest")
-        .join(found, ["digest", "n"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    named = classes.join(roots, "cid", "left").select("digest", "doc_id", F.coalesce("root", "cid").alias("root"))
+    named = materialize(named, "class-roots")
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    found = materialize(join_spread(named.select("digest", "root"), least, "root").select("digest", "component_id"), "class-components")
+    joined = join_spread(filled.select("doc_id", "n", "digest", "rid"), found, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = rows.where(~takes_part).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return joined.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

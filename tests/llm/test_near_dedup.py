@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from statelattice.llm import near_dedup
@@ -81,6 +82,38 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert near_duplicates(df.where("false")).count() == 0
 
 
+def test_shared_ids(spark):
+    """One id with several texts links them; the links of each of its texts count, and equal rows change nothing."""
+    rng = random.Random(9)
+    words = lambda: [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
+    a, b, c = words(), words(), words()
+    rows = [(5, a), (5, b), (6, [*a, "x"]), (7, [*b, "y"]), (9, c), (8, [*c, "z"]), (8, a[:20] + c[:20])] + [(11, [*c, "q", "r"])] * 3
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").repartition(3)
+    for limit in (32, 1):
+        near_dedup.SHORT, before = limit, near_dedup.SHORT
+        try:
+            found = sorted((r["doc_id"], r["component_id"]) for r in near_duplicates(df).collect())
+        finally:
+            near_dedup.SHORT = before
+        assert found == [(5, 5), (5, 5), (6, 5), (7, 5), (8, 8), (8, 8), (9, 8), (11, 8), (11, 8), (11, 8)]
+
+
+@pytest.mark.parametrize("size", [52, 64, 80, 150, 600])
+def test_sketches_find_pairs_at_the_threshold(size):
+    """Of pairs at 0.8, whose sets are too large to be retained whole, the prefixes and the estimate lose none."""
+    rng = np.random.default_rng(size)
+    shared = near_dedup.least_shared(80)
+    both = -(-8 * size // 9)  # of two sets of this size: 0.8 of their union at least
+    for _ in range(2000):
+        h = rng.integers(0, 1 << 63, 2 * size - both, dtype=np.uint64)
+        a, b = np.sort(h[:size])[: near_dedup.K], np.sort(np.concatenate([h[:both], h[size:]]))[: near_dedup.K]
+        union = np.unique(np.concatenate([a, b]))[: near_dedup.K]
+        assert len(np.intersect1d(np.intersect1d(a, b), union)) >= min(shared, len(union) // 2)
+        first = lambda x: x[::-1][: len(x) - shared + 1]  # any fixed order
+        assert len(np.intersect1d(first(a), first(b)))
+    assert (near_dedup.least_shared(80), near_dedup.least_shared(60)) == (32, 20)
+
+
 def test_shingles():
     assert len(shingle_set(b"a b c", 4)) == 1 and len(shingle_set(b"", 4)) == len(shingle_set(None, 4)) == 0
     assert (shingle_set(b"A B c d E", 4) == shingle_set(b"a b\tC d\x0be", 4)).all()
