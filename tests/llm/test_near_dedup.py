@@ -111,7 +111,7 @@ def test_sketches_find_pairs_at_the_threshold(size):
         assert len(np.intersect1d(np.intersect1d(a, b), union)) >= min(shared, len(union) // 2)
         first = lambda x: x[::-1][: len(x) - shared + 1]  # any fixed order
         assert len(np.intersect1d(first(a), first(b)))
-    assert (near_dedup.least_shared(80), near_dedup.least_shared(60)) == (32, 20)
+    assert (near_dedup.least_shared(80), near_dedup.least_shared(60)) == (32, 17)
 
 
 def test_shingles():
