@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Generator
 
 import numpy as np
 
@@ -185,15 +185,63 @@ def beta_i(x, a: float, b: float):  # noqa: ANN001, ANN201
     return float(out) if out.ndim == 0 else out
 
 
-def newton(step: Callable[[float], tuple[float, float]], start: float, floor: float, rounds: int, tolerance: float) -> float:
-    """Newton's method for step(x) = (f, f'), held above 0 at `floor`; stops on a small step or a flat slope."""
-    x = start
-    for _ in range(rounds):
-        f, slope = step(x)
-        if abs(slope) < 1e-15:
-            break
-        move = f / slope
-        x = x - move if x - move > 0 else floor
-        if abs(move) < tolerance * x:
-            break
-    return x
+Search = Generator[list[float], list[float], float]
+
+
+def root_search(start: float, low: float, high: float, tolerance: float = 1e-12) -> Search:
+    """The place in [low, high] where a function of a positive number turns from negative to positive.
+
+    A coroutine: it yields several places at a time and is sent the function's values there, so that one pass over the
+    data answers a whole round. A ladder of powers of four about `start` climbs until it holds the root; then each
+    round takes a finer ladder about the root of a curve through the places nearest to it. The end of the range is
+    returned where the function doesn't change sign. Values that aren't finite are passed over."""
+    known: dict[float, float] = {}
+    wanted = sorted({min(max(start * 4.0**i, low), high) for i in range(-3, 4)})
+    guess = start
+    for _ in range(60):
+        for x, f in zip(wanted, (yield wanted), strict=True):
+            if math.isfinite(f):
+                known[x] = f
+        below, above = [x for x in known if known[x] < 0], [x for x in known if known[x] >= 0]
+        if not known:
+            return start
+        if not above or not below:
+            edge, limit = (max(below), high) if below else (min(above), low)
+            if edge == limit:
+                return limit
+            out = 4.0 if below else 0.25
+            wanted = sorted({min(max(edge * out**i, low), high) for i in range(1, 8)})
+            continue
+        a, b = max(below), min(above)
+        if a > b or b - a <= tolerance * b or known[b] == 0:
+            return b
+        near = sorted(known, key=lambda x: abs(math.log(x) - math.log(a) / 2 - math.log(b) / 2))[:4]
+        last, guess = guess, _through(near, [known[x] for x in near])
+        if not a < guess < b:
+            guess = math.sqrt(a * b)
+        elif abs(guess - last) <= tolerance * guess:
+            return guess
+        width = math.log(b / a)
+        wanted = sorted({x for u in (-0.2, -1e-2, -1e-4, 0.0, 1e-4, 1e-2, 0.2) if a < (x := guess * math.exp(u * width)) < b} | {math.sqrt(a * b)} - {a, b})
+    return guess
+
+
+def _through(xs: list[float], fs: list[float]) -> float:
+    """Where a polynomial of ln x in f through the given points has f = 0 (Neville's scheme)."""
+    at = [math.log(x) for x in xs]
+    for size in range(1, len(xs)):
+        for i in range(len(xs) - size):
+            gap = fs[i] - fs[i + size]
+            at[i] = (fs[i] * at[i + 1] - fs[i + size] * at[i]) / gap if gap else math.inf
+    return math.exp(at[0]) if abs(at[0]) < 700 else math.inf
+
+
+def solve(f: Callable[[float], float], start: float, low: float, high: float) -> float:
+    """root_search for a function that is at hand."""
+    search = root_search(start, low, high)
+    try:
+        wanted = next(search)
+        while True:
+            wanted = search.send([f(x) for x in wanted])
+    except StopIteration as end:
+        return end.value

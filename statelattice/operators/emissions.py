@@ -3,7 +3,8 @@
 A family is an immutable set of parameters with three forms that share one definition: its log-density (a Catalyst
 expression or a NumPy one, see functions.algebra), the statistics that a fit needs (aggregates, so Spark combines
 them map-side), and the driver-side solution. A fit is a coroutine: it yields the statistics it wants, is sent their
-values, and returns the fitted emission; most ask once, Weibull and negative binomial once per Newton step.
+values, and returns the fitted emission; most ask once, Weibull and negative binomial once per round of a root search,
+for several candidates at a time.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from ..functions.algebra import Arrays, Columns
-from ..functions.special import INF, ZERO, digamma, newton, trigamma
+from ..functions.special import INF, ZERO, digamma, solve, trigamma
 
 #: A statistic: how values combine ("sum", "min" or "max") and the value of an observation x of weight w.
 Stat = tuple[str, Callable[[Any, Any, Any], Any]]
@@ -355,8 +356,8 @@ class Gamma(Emission):
         gap = math.log(mean) - s["lx"] / s["w"]
         if gap <= 0:
             return Gamma(1.0, mean)
-        seed = (3 - gap + math.sqrt((gap - 3) ** 2 + 24 * gap)) / (12 * gap)
-        k = newton(lambda k: (math.log(k) - digamma(k) - gap, 1 / k - trigamma(k)), seed, 1e-10, 20, 1e-11)
+        # ln k - digamma(k) falls from infinity to 0, as 1 / (2 k) for large k
+        k = solve(lambda k: gap - math.log(k) + digamma(k), 0.5 / gap, 1e-10, 1e15)
         return Gamma(k, mean / k) if _positive(k, mean / k) else self.reset()
 
 
@@ -464,20 +465,37 @@ class Beta(Emission):
             variance *= w / (w - 1)
         if variance <= ZERO or mean <= ZERO or mean >= 1 or (factor := mean * (1 - mean) / variance - 1) <= ZERO:
             return self.reset()
-        a, b, lx, ly = mean * factor, (1 - mean) * factor, s["lx"] / w, s["ly"] / w
-        for _ in range(200):
-            both, slope = digamma(a + b), trigamma(a + b)
-            ha, hb = trigamma(a) - slope, trigamma(b) - slope
-            if ha <= 0 or hb <= 0:
-                break
-            na = max(a - (digamma(a) - both - lx) / ha, 1e-10)
-            nb = max(b - (digamma(b) - both - ly) / hb, 1e-10)
-            moved, a, b = abs(na - a) + abs(nb - b), na, nb
-            if moved < 1e-10 * (a + b):
-                break
+        a, b = _beta_shapes(mean * factor, (1 - mean) * factor, s["lx"] / w, s["ly"] / w)
         return Beta(a, b) if all(math.isfinite(v) and ZERO < v < special.MAX_PARAMETER for v in (a, b)) else self.reset()
 
 
+def _beta_shapes(a: float, b: float, lx: float, ly: float) -> tuple[float, float]:
+    """The shapes whose expected ln x and ln(1 - x) are lx and ly.
+
+    They maximise a lx + b ly - ln B(a, b), which is concave: Newton steps with the full matrix of second derivatives,
+    halved until they stay in range and don't lose height."""
+
+    def height(a: float, b: float) -> float:
+        return a * lx + b * ly - special.lgamma(a) - special.lgamma(b) + special.lgamma(a + b)
+
+    now = height(a, b)
+    for _ in range(200):
+        common, bend = digamma(a + b), trigamma(a + b)
+        rise = np.array([lx - digamma(a) + common, ly - digamma(b) + common])
+        curve = np.array([[trigamma(a) - bend, -bend], [-bend, trigamma(b) - bend]])
+        if not np.isfinite(curve).all() or np.linalg.det(curve) <= 0:
+            break
+        da, db = np.linalg.solve(curve, rise)
+        part = 1.0
+        while part > 1e-12 and (a + part * da <= 0 or b + part * db <= 0 or height(a + part * da, b + part * db) < now - 1e-13 * (1 + abs(now))):
+            part /= 2
+        a, b = a + part * da, b + part * db
+        now = height(a, b)
+        if abs(da) <= 1e-12 * a and abs(db) <= 1e-12 * b or part <= 1e-12:
+            break
+    return float(a), float(b)
+
+
 @register_emission
 @dataclass(frozen=True)
 class Uniform(Emission):
@@ -556,7 +574,8 @@ class Weibull(Emission):
 
     def fitting(self, weighted):
         s = yield {
-            "n": COUNT, "all": TOTAL, "w": _weigh(_above), "x": _weigh(_above, lambda o, x: x), "xx": _weigh(_above, lambda o, x: x * x), "lx": _weigh(_above, lambda o, x: o.log(x)),
+            "n": COUNT, "all": TOTAL, "w": _weigh(_above), "lx": _weigh(_above, lambda o, x: o.log(x)), "llx": _weigh(_above, lambda o, x: o.log(x) * o.log(x)),
+            "top": ("max", lambda o, x, w: o.where(_above(o, x) & (w > 0), o.log(o.where(x > 0, x, 1.0)), o.const(-INF))),
         }
         if not weighted:
             if s["n"] < 2:
@@ -565,41 +584,31 @@ class Weibull(Emission):
                 raise ValueError("Weibull: observations that aren't positive")
         elif not s["all"] >= ZERO:
             return self
-        w = s["w"]
+        w, top = s["w"], s["top"]
         if w < ZERO:
             return self.reset()
-        mean, log_mean = s["x"] / w, s["lx"] / w
-        variance = s["xx"] / w - mean * mean
-        if not weighted:
-            variance *= w / (w - 1)
-        k = 1.0
-        if variance > ZERO and mean > ZERO:
-            cv = math.sqrt(variance) / mean
-            k = 1 / (6 * cv * cv) if cv < 0.2 else (1.2 / cv) ** 1.086 if cv < 1 else 1 / cv
-            k = min(max(k, special.MIN_PARAMETER), special.MAX_PARAMETER)
-        seed = k
-
-        def powers(k: float) -> dict[str, Stat]:
-            grown = lambda o, x: o.exp(o.most(o.least(k * o.log(x), 700.0), -700.0))
-            return {f"s{r}": _weigh(_above, (lambda r: lambda o, x: grown(o, x) * _power(o.log(x), r))(r)) for r in range(3)}
-
-        for _ in range(100):  # the profile score rises in k, so Newton's steps settle
-            p = yield powers(k)
-            if not (math.isfinite(p["s0"]) and p["s0"] > 0):
-                break
-            mean_k = p["s1"] / p["s0"]
-            step = (mean_k - 1 / k - log_mean) / (p["s2"] / p["s0"] - mean_k * mean_k + 1 / (k * k))
-            k = max(k - step, 1e-8)
-            if abs(step) < 1e-11 * k:
-                break
-        k = k if _positive(k) else seed
-        p = yield powers(k)
-        scale = math.exp(math.log(p["s0"] / w) / k) if p["s0"] > 0 else 1.0
-        return Weibull(k, scale) if all(math.isfinite(v) and ZERO < v < special.MAX_PARAMETER for v in (k, scale)) else self.reset()
+        log_mean = s["lx"] / w
+        # ln x has the variance pi^2 / (6 k^2)
+        spread = s["llx"] / w - log_mean * log_mean
+        seed = math.pi / math.sqrt(6 * spread) if spread > 1e-12 else 1.0
 
+        def powers(k: float, i: int) -> dict[str, Stat]:
+            # (x / largest x)^k: no power overflows
+            grown = lambda o, x: o.exp(o.most(k * (o.log(x) - top), -700.0))
+            return {f"a{i}": _weigh(_above, grown), f"b{i}": _weigh(_above, lambda o, x: grown(o, x) * (o.log(x) - top))}
 
-def _power(x: Any, r: int) -> Any:
-    return 1.0 if r == 0 else x if r == 1 else x * x
+        search = special.root_search(seed, special.MIN_PARAMETER, special.MAX_PARAMETER)
+        try:
+            ks = next(search)
+            while True:
+                p = yield {n: stat for i, k in enumerate(ks) for n, stat in powers(k, i).items()}
+                # the profile score rises in k
+                ks = search.send([p[f"b{i}"] / p[f"a{i}"] + top - 1 / k - log_mean if p[f"a{i}"] > 0 else math.nan for i, k in enumerate(ks)])
+        except StopIteration as end:
+            k = end.value
+        p = yield powers(k, 0)
+        scale = math.exp(top + math.log(p["a0"] / w) / k) if p["a0"] > 0 else 1.0
+        return Weibull(k, scale) if all(math.isfinite(v) and ZERO < v < special.MAX_PARAMETER for v in (k, scale)) else self.reset()
 
 
 @register_emission
@@ -729,8 +738,9 @@ class StudentT(Emission):
         variance = (s["edd"] - s["ed"] * d) / total
         if not _positive(variance):
             return failed
-        c = digamma((v + 1) / 2) - s["lz"] / total - s["e"] / total
-        df = newton(lambda u: (math.log(u / 2) + 1 - digamma(u / 2) + c, 1 / u - 0.5 * trigamma(u / 2)), v, 0.1, 30, 1e-10)
+        # with h half the new df, ln h - digamma(h) must come to what the data leave open
+        open_ = (s["lz"] + s["e"]) / total - digamma((v + 1) / 2) - 1
+        df = 2 * solve(lambda h: open_ - math.log(h) + digamma(h), v / 2, special.MIN_DF / 2, special.MAX_DF / 2)
         return StudentT(min(max(df, special.MIN_DF), special.MAX_DF), m + d, math.sqrt(variance))
 
 
@@ -771,8 +781,8 @@ class ChiSquared(Emission):
         if not s["w"] >= ZERO:
             return self
         want = s["lx"] / s["w"] - math.log(2)
-        half = newton(lambda g: (digamma(g) - want, trigamma(g)), max(s["x"] / s["w"] / 2, 0.5), 1e-10, 20, 1e-10)
-        return ChiSquared(min(max(2 * half, special.MIN_DF), special.MAX_DF))
+        half = solve(lambda g: digamma(g) - want, max(s["x"] / s["w"] / 2, special.MIN_DF), special.MIN_DF / 2, special.MAX_DF / 2)
+        return ChiSquared(2 * half)
 
 
 @register_emission
@@ -823,23 +833,12 @@ def wrap_angle(x: float) -> float:
 
 
 def concentration(r: float) -> float:
-    """The von Mises kappa of mean resultant length r: a rational start and Newton steps."""
+    """The von Mises kappa of mean resultant length r."""
     if r <= 0:
         return 0.0
     if r >= 1:
         return special.MAX_PARAMETER
-    if r < 0.53:
-        kappa = r * (2 + r * r * (1 + 5 / 6 * r * r))
-    elif r < 0.85:
-        kappa = 1.39 * r + 0.43 / (1 - r) - 0.4
-    else:
-        kappa = 1 / (r * (r - 1) * (r - 3))
-
-    def step(k: float) -> tuple[float, float]:
-        a = special.bessel_ratio(k)
-        return a - r, 1 - a * a - a / k
-
-    return newton(step, kappa, 1e-12, 20, 1e-12)
+    return solve(lambda k: special.bessel_ratio(k) - r, r / (1 - r), 1e-12, special.MAX_PARAMETER)
 
 
 @register_emission
@@ -1041,35 +1040,29 @@ class NegativeBinomial(Emission):
             variance *= w / (w - 1)
         if variance <= mean or mean <= 0:
             return self.reset()
-        r = mean * mean / (variance - mean)
-        for _ in range(200):
-            # psi(k + r) - psi(r) and its slope, summed over the data at the present r
-            at = r
-            g = yield {"f": _weigh(ok, lambda o, x: _psi_gap(o, o.half_away(x), at, 0)), "s": _weigh(ok, lambda o, x: _psi_gap(o, o.half_away(x), at, 1))}
-            slope = g["s"] / w + mean / (r * (r + mean))
-            if abs(slope) < 1e-15:
-                break
-            step = (g["f"] / w + math.log(r) - math.log(r + mean)) / slope
-            r = r - step if r - step > 0 else 1e-6
-            if abs(step) < 1e-11 * r:
-                break
+        search = special.root_search(mean * mean / (variance - mean), 1e-6, 1e9)
+        try:
+            rs = next(search)
+            while True:
+                # psi(k + r) - psi(r) summed over the data; the score falls in r
+                gaps = yield {f"f{i}": _weigh(ok, (lambda r: lambda o, x: _psi_gap(o, o.half_away(x), r))(r)) for i, r in enumerate(rs)}
+                rs = search.send([math.log1p(mean / r) - gaps[f"f{i}"] / w for i, r in enumerate(rs)])
+        except StopIteration as end:
+            r = end.value
         p = r / (r + mean)
         return NegativeBinomial(r, p) if _positive(r) and ZERO < p <= 1 else self.reset()
 
 
-def _psi_gap(o: Any, k: Any, r: float, order: int) -> Any:
-    """psi(k + r) - psi(r), or the same of its derivative, by the asymptotic series past eight steps up."""
+def _psi_gap(o: Any, k: Any, r: float) -> Any:
+    """psi(k + r) - psi(r), by the asymptotic series past eight steps up."""
     y = k + (r + 8.0)
-    base = digamma(r) if order == 0 else trigamma(r)
     steps = None
     for i in range(8):
-        term = 1.0 / (k + (r + i)) if order == 0 else 1.0 / ((k + (r + i)) * (k + (r + i)))
+        term = 1.0 / (k + (r + i))
         steps = term if steps is None else steps + term
     inverse = 1.0 / (y * y)
     series = None
     for j in range(len(special.BERNOULLI), 0, -1):
-        b = special.BERNOULLI[j - 1] / (2 * j) if order == 0 else special.BERNOULLI[j - 1]
+        b = special.BERNOULLI[j - 1] / (2 * j)
         series = b * inverse if series is None else (series + b) * inverse
-    if order == 0:
-        return o.log(y) - 0.5 / y - series - steps - base
-    return 1.0 / y + 0.5 * inverse + series / y + steps - base
+    return o.log(y) - 0.5 / y - series - steps - digamma(r)

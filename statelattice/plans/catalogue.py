@@ -391,7 +391,7 @@ _LX = "ln(CASE WHEN x > 0 THEN x ELSE 1 END)"
 STATISTICS: dict[str, dict[str, str]] = {
     "gamma": {"n": "count(*)", "all": "sum(w)", "w": _SW("x > 0"), "x": _SW("x > 0", "x"), "lx": _SW("x > 0", _LX)},
     "beta": {"n": "count(*)", "all": "sum(w)", "w": "sum(w)", "x": "sum(w * x)", "xx": "sum(w * x * x)", "lx": "sum(w * ln(x))", "ly": "sum(w * ln(1 - x))"},
-    "weibull": {"n": "count(*)", "all": "sum(w)", "w": _SW("x > 0"), "x": _SW("x > 0", "x"), "xx": _SW("x > 0", "x * x"), "lx": _SW("x > 0", _LX)},
+    "weibull": {"n": "count(*)", "all": "sum(w)", "w": _SW("x > 0"), "lx": _SW("x > 0", _LX), "llx": _SW("x > 0", f"{_LX} * {_LX}"), "top": "max(CASE WHEN x > 0 THEN ln(x) END)"},
     "chi_squared": {"n": "count(*)", "bad": "0", "w": "sum(w)", "x": "sum(w * x)", "lx": "sum(w * ln(x))"},
     "von_mises": {"n": "count(*)", "w": "sum(w)", "s": "sum(w * sin(x))", "c": "sum(w * cos(x))"},
     "negative_binomial": {"n": "count(*)", "all": "sum(w)", "w": "sum(w)", "k": "sum(w * x)", "kk": "sum(w * x * x)"},
