@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import special
+from .logspace import let
 
 
 class _Columns:
@@ -62,16 +63,20 @@ class _Columns:
 
     @staticmethod
     def lgamma(x: Column) -> Column:
-        """ln gamma(x), x > 0: eight steps of the recurrence and Stirling's series."""
-        y = x + 8.0
-        inverse = 1.0 / (y * y)
-        series = F.lit(0.0)
-        for k in range(len(special.BERNOULLI), 0, -1):
-            series = series * inverse + F.lit(special.BERNOULLI[k - 1] / (2 * k * (2 * k - 1)))
-        product = x
-        for i in range(1, 8):
-            product = product * (x + float(i))
-        return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + series / y - F.ln(product)
+        """ln gamma(x), x > 0: eight steps of the recurrence and Stirling's series. x is bound once."""
+
+        def body(x: Column) -> Column:
+            y = x + 8.0
+            inverse = 1.0 / (y * y)
+            series = F.lit(0.0)
+            for k in range(len(special.BERNOULLI), 0, -1):
+                series = series * inverse + F.lit(special.BERNOULLI[k - 1] / (2 * k * (2 * k - 1)))
+            product = x
+            for i in range(1, 8):
+                product = product * (x + float(i))
+            return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + series / y - F.ln(product)
+
+        return let(x, body)
 
 
 Columns = _Columns()
