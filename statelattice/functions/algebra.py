@@ -53,6 +53,8 @@ class _Columns:
     def pick(values: list[float], index: Column) -> Column:
         return F.element_at(F.array(*(F.lit(float(v)) for v in values)), (index + 1).cast("int"))
 
+    bind = staticmethod(let)
+
     @staticmethod
     def least(a: Column, b: float) -> Column:
         return F.least(a, F.lit(float(b)))
@@ -129,5 +131,9 @@ class Arrays:
     def pick(values: list[float], index: np.ndarray) -> np.ndarray:
         return np.asarray(values)[np.clip(np.nan_to_num(index), 0, len(values) - 1).astype(int)]
 
+    @staticmethod
+    def bind(value: np.ndarray, body: Any) -> np.ndarray:
+        return body(value)
+
     least, most = staticmethod(np.minimum), staticmethod(np.maximum)
     lgamma = staticmethod(special.lgamma)

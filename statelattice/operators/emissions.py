@@ -106,6 +106,10 @@ class Emission:
     def cdf(self, x: Any) -> np.ndarray:
         raise NotImplementedError
 
+    def cdf_column(self, x: Column) -> Column | None:
+        """The distribution function as an expression, for the families that have one in closed form."""
+        return None
+
     def moments(self) -> dict[str, float]:
         """mean, variance, sd and what else the family defines."""
         mean, variance, more = self._moments()
@@ -294,6 +298,9 @@ class Exponential(Emission):
     def cdf(self, x):
         return -np.expm1(-self.lambda_ * np.maximum(np.asarray(x, float), 0))
 
+    def cdf_column(self, x):
+        return -F.expm1(-self.lambda_ * F.greatest(x, F.lit(0.0)))
+
     def _moments(self):
         return 1 / self.lambda_, 1 / self.lambda_**2, {}
 
@@ -512,6 +519,9 @@ class Uniform(Emission):
     def cdf(self, x):
         return np.clip((np.asarray(x, float) - self.a) / (self.b - self.a), 0, 1)
 
+    def cdf_column(self, x):
+        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - self.a) / (self.b - self.a)))
+
     def _moments(self):
         return (self.a + self.b) / 2, (self.b - self.a) ** 2 / 12, {}
 
@@ -565,6 +575,9 @@ class Weibull(Emission):
     def cdf(self, x):
         return -np.expm1(-((np.maximum(np.asarray(x, float), 0) / self.lambda_) ** self.k))
 
+    def cdf_column(self, x):
+        return -F.expm1(-F.pow(F.greatest(x, F.lit(0.0)) / self.lambda_, F.lit(float(self.k))))
+
     def _moments(self):
         g1, g2 = (math.exp(special.lgamma(1 + i / self.k)) for i in (1, 2))
         return self.lambda_ * g1, self.lambda_**2 * (g2 - g1 * g1), {}
@@ -627,6 +640,9 @@ class Pareto(Emission):
     def cdf(self, x):
         return 1 - (self.xm / np.maximum(np.asarray(x, float), self.xm)) ** self.k
 
+    def cdf_column(self, x):
+        return 1 - F.pow(self.xm / F.greatest(x, F.lit(float(self.xm))), F.lit(float(self.k)))
+
     def _moments(self):
         k, m = self.k, self.xm
         mean = k * m / (k - 1) if k > 1 else INF
@@ -667,6 +683,10 @@ class Rayleigh(Emission):
         x = np.maximum(np.asarray(x, float), 0)
         return -np.expm1(-x * x / (2 * self.sigma**2))
 
+    def cdf_column(self, x):
+        above = F.greatest(x, F.lit(0.0))
+        return -F.expm1(-above * above / (2 * self.sigma**2))
+
     def _moments(self):
         s = self.sigma
         return s * math.sqrt(math.pi / 2), (4 - math.pi) / 2 * s * s, {"mode": s, "median": s * math.sqrt(2 * math.log(2))}
@@ -882,6 +902,11 @@ class Discrete(Emission):
         steps = np.concatenate([[0.0], np.minimum(np.cumsum(self.probs), 1)])
         return steps[np.clip(np.floor(np.nan_to_num(np.asarray(x, float))) + 1, 0, len(self.probs)).astype(int)]
 
+    def cdf_column(self, x):
+        steps = [0.0, *np.minimum(np.cumsum(self.probs), 1).tolist()]
+        place = F.least(F.lit(len(self.probs)), F.greatest(F.lit(0), F.floor(x) + 1)).cast("int")
+        return F.element_at(F.array(*map(F.lit, steps)), place + 1)
+
     def _moments(self):
         p, k = np.array(self.probs), np.arange(len(self.probs))
         mean = float(p @ k)
@@ -922,8 +947,9 @@ class Poisson(Emission):
         return o.where(o.finite(x) & (x >= 0) & (o.floor(x) == x), x * math.log(self.lambda_) - self.lambda_ - o.lgamma(x + 1.0), o.never)
 
     def cdf(self, x):
-        k = np.floor(np.asarray(x, float))
-        return np.where(k < 0, 0.0, 1 - np.vectorize(lambda a: special.gamma_p(a, self.lambda_), otypes=[float])(np.maximum(k, 0) + 1))
+        k, at = np.unique(np.floor(np.asarray(x, float)), return_inverse=True)
+        steps = [0.0 if v < 0 else v if math.isnan(v) else 1 - special.gamma_p(v + 1, self.lambda_) if v < INF else 1.0 for v in k]
+        return np.array(steps, float)[at].reshape(np.shape(x))
 
     def _moments(self):
         return self.lambda_, self.lambda_, {}
@@ -1004,12 +1030,15 @@ class NegativeBinomial(Emission):
         return _positive(self.r) and 0 < self.p <= 1
 
     def log_density(self, o, x):
-        k = o.half_away(x)
-        kk = o.where(k >= 0, k, 0.0)
         log_q = math.log1p(-self.p) if self.p < 1 else -INF
-        fails = o.where(kk == 0, 0.0, o.where(kk > 0, kk, 1.0) * log_q)
-        body = o.lgamma(kk + self.r) - o.lgamma(kk + 1.0) - special.lgamma(self.r) + self.r * math.log(self.p) + fails
-        return o.where(o.finite(x) & (k >= 0), body, o.never)
+
+        def body(k):
+            kk = o.where(k >= 0, k, 0.0)
+            fails = o.where(kk == 0, 0.0, o.where(kk > 0, kk, 1.0) * log_q)
+            inside = o.lgamma(kk + self.r) - o.lgamma(kk + 1.0) - special.lgamma(self.r) + self.r * math.log(self.p) + fails
+            return o.where(o.finite(x) & (k >= 0), inside, o.never)
+
+        return o.bind(o.half_away(x), body)
 
     def cdf(self, x):
         """Summed up to 1000."""
@@ -1045,7 +1074,7 @@ class NegativeBinomial(Emission):
             rs = next(search)
             while True:
                 # psi(k + r) - psi(r) summed over the data; the score falls in r
-                gaps = yield {f"f{i}": _weigh(ok, (lambda r: lambda o, x: _psi_gap(o, o.half_away(x), r))(r)) for i, r in enumerate(rs)}
+                gaps = yield {f"f{i}": _weigh(ok, (lambda r: lambda o, x: o.bind(o.half_away(x), lambda k: _psi_gap(o, k, r)))(r)) for i, r in enumerate(rs)}
                 rs = search.send([math.log1p(mean / r) - gaps[f"f{i}"] / w for i, r in enumerate(rs)])
         except StopIteration as end:
             r = end.value

@@ -232,6 +232,31 @@ def total_log_likelihood(scores: DataFrame) -> DataFrame:
     return scores.agg(F.count(F.lit(1)).alias("n_sequences"), F.sum("n").cast("long").alias("n_observations"), F.coalesce(F.sum("logp"), F.lit(0.0)).alias("logp"))
 
 
+def total_log_likelihoods(sequences: DataFrame, models: dict[Any, Hmm]) -> dict[Any, tuple[int, float]]:
+    """(observations, log-likelihood) of all sequences under each model, in one pass over them."""
+    if not models:
+        return {}
+    listed = list(models.items())
+    for _, model in listed:
+        model.require_initialized()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, logp = 0, np.zeros(len(listed))
+        for batch in batches:
+            xs = _lists(batch.column(0), listed[0][1])
+            lengths = np.array([len(s) for s in xs], int)
+            n += int(lengths.sum())
+            for i, (_, model) in enumerate(listed):
+                for part in kernels.blocks(lengths, model.states):
+                    own = [xs[j] for j in part]
+                    logp[i] += kernels.log_likelihood(kernels.forward(model, kernels.emissions(model, own), lengths[part])).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(listed)), pa.int32()), pa.array([n] * len(listed), pa.int64()), pa.array(logp, pa.float64())], ["i", "n", "logp"])
+
+    found = _filled(sequences).select("xs").mapInArrow(run, "i int, n long, logp double").groupBy("i").agg(F.sum("n").alias("n"), F.sum("logp").alias("logp")).collect()  # one row a model
+    by = {r["i"]: r for r in found}
+    return {name: (by[i]["n"], by[i]["logp"]) if by else (0, 0.0) for i, (name, _) in enumerate(listed)}
+
+
 # -- anomaly scores --------------------------------------------------------------------------------------------
 
 #: The score of an impossible sequence, and the thresholds in standard deviations.

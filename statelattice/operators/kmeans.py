@@ -25,15 +25,20 @@ def seed_centres(points: DataFrame, k: int, seed: int = 0) -> list[list[float]]:
     those before. Points are ranked by hashed exponential clocks, so a choice is one aggregate."""
     if k < 1 or points.limit(k).count() < k:
         raise ValueError("there are fewer points than clusters")
+    # equal points share a clock, which runs as many times as fast
+    distinct = points.groupBy("x").agg(F.count(F.lit(1)).alias("n")).cache()
     centres: list[list[float]] = []
-    for i in range(k):
-        uniform = (F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "x"), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
-        weight = F.lit(1.0) if not centres else F.array_min(F.array(*(squared_distance(F.col("x"), c) for c in centres)))
-        clock = F.when(weight > 0, -F.ln(uniform) / weight)
-        found = points.select("x", clock.alias("c")).agg(F.min_by("x", "c")).first()[0]
-        if found is None:  # all points are centres already
-            found = points.agg(F.min("x")).first()[0]
-        centres.append([float(v) for v in found])
+    try:
+        for i in range(k):
+            uniform = (F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "x"), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+            weight = F.lit(1.0) if not centres else F.array_min(F.array(*(squared_distance(F.col("x"), c) for c in centres)))
+            clock = F.when(weight > 0, -F.ln(uniform) / (weight * F.col("n")))
+            found = distinct.select("x", clock.alias("c")).agg(F.min_by("x", "c")).first()[0]
+            if found is None:  # all points are centres already
+                found = distinct.agg(F.min("x")).first()[0]
+            centres.append([float(v) for v in found])
+    finally:
+        distinct.unpersist()
     return centres
 
 

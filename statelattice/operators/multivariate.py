@@ -19,14 +19,28 @@ MAX_DIM = 1024
 
 
 def _part(o: Any, x: Any, d: int) -> Any:
-    """Component d of vectors."""
-    return x[..., d] if o is Arrays else x[d]
+    """Component d of vectors; NULL where a column's vector has none (_ragged counts these)."""
+    if o is not Arrays:
+        return F.get(x, F.lit(d))
+    if d >= x.shape[-1]:
+        raise ValueError("a vector is shorter than the model's dimension")
+    return x[..., d]
 
 
 def _size_is(o: Any, x: Any, dim: int) -> Any:
     return np.full(x.shape[:-1], x.shape[-1] == dim) if o is Arrays else F.size(x) == dim
 
 
+def _ragged(dim: int) -> Stat:
+    """Vectors of another size than the model's."""
+    return "sum", lambda o, x, w: o.where(_size_is(o, x, dim), 0.0, 1.0)
+
+
+def _same_size(s: dict[str, float]) -> None:
+    if s["ragged"]:
+        raise ValueError(f"{s['ragged']:.0f} vectors differ in size from the model")
+
+
 class _Vector(Emission):
     multivariate: ClassVar[bool] = True
 
@@ -96,11 +110,12 @@ class DiagonalGaussian(_Vector):
         return rng.normal(self.mean, np.sqrt(self.var), (n, self.dim))
 
     def fitting(self, weighted) -> Fit:
-        want: dict[str, Stat] = {"n": COUNT, "w": TOTAL}
+        want: dict[str, Stat] = {"n": COUNT, "w": TOTAL, "ragged": _ragged(self.dim)}
         for d in range(self.dim):
             want[f"d{d}"] = ("sum", (lambda d: lambda o, x, w: w * (_part(o, x, d) - self.mean[d]))(d))
             want[f"dd{d}"] = ("sum", (lambda d: lambda o, x, w: w * (_part(o, x, d) - self.mean[d]) * (_part(o, x, d) - self.mean[d]))(d))
         s = yield want
+        _same_size(s)
         if not weighted and s["n"] < 2:
             return self.reset()
         if not s["w"] >= ZERO:
@@ -187,12 +202,13 @@ class FullCovarianceGaussian(_Vector):
 
     def fitting(self, weighted) -> Fit:
         c = self.mean
-        want: dict[str, Stat] = {"n": COUNT, "w": TOTAL}
+        want: dict[str, Stat] = {"n": COUNT, "w": TOTAL, "ragged": _ragged(self.dim)}
         for i in range(self.dim):
             want[f"d{i}"] = ("sum", (lambda i: lambda o, x, w: w * (_part(o, x, i) - c[i]))(i))
             for j in range(i + 1):
                 want[f"c{i}_{j}"] = ("sum", (lambda i, j: lambda o, x, w: w * (_part(o, x, i) - c[i]) * (_part(o, x, j) - c[j]))(i, j))
         s = yield want
+        _same_size(s)
         if not weighted and s["n"] < 2:
             return self.reset()
         if not s["w"] >= ZERO:
@@ -273,7 +289,8 @@ class IndependentComponents(_Vector):
             def on(d: int, value: Any) -> Any:
                 return lambda o, x, w: value(o, _part(o, x, d), w)
 
-            got = yield {f"{d}_{name}": (how, on(d, value)) for d, want in wants.items() for name, (how, value) in want.items()}
+            got = yield {"ragged": _ragged(self.dim)} | {f"{d}_{name}": (how, on(d, value)) for d, want in wants.items() for name, (how, value) in want.items()}
+            _same_size(got)
             again = {}
             for d, want in wants.items():
                 try:

@@ -27,26 +27,35 @@ def randomized(sequences: DataFrame, model: Hmm, seed: int, restart: int) -> Hmm
 
 
 def fit_best_of_n(sequences: DataFrame, model: Hmm, restarts: int, seed: int = 0, max_iterations: int = 500) -> training.Training:
-    """Restart 0 is the model as given; others start from random scalar emissions or k-means (vectors). A restart
+    """Restart 0 is the model as given; others start from random scalar emissions or k-means (vectors). All train side
+    by side, so the number of jobs is that of the longest. A restart
     that fails or ends without a log-likelihood is left out; the last failure is raised if none is left."""
     if restarts < 1:
         raise ValueError("restarts must be at least 1")
     if not inference._filled(sequences).limit(1).count():
         raise ValueError("there are no observations")
-    best: training.Training | None = None
-    top, failure = -math.inf, None
+    starts: dict[int, Hmm] = {}
+    failure: Exception | None = None
     for r in range(restarts):
         try:
-            start = model if r == 0 else kmeans.kmeans_init(sequences, model, seed + r) if model.multivariate else randomized(sequences, model, seed, r)
-            done = training.baum_welch(sequences, start, max_iterations)
-            logp = inference.total_log_likelihood(inference.score(sequences, done.model)).first()["logp"]
+            starts[r] = model if r == 0 else kmeans.kmeans_init(sequences, model, seed + r) if model.multivariate else randomized(sequences, model, seed, r)
         except (ValueError, ArithmeticError) as e:
             failure = e
-            continue
+    done: dict[int, training.Training] = {}
+    for r, t in training.baum_welch_many(sequences, starts, max_iterations).items() if starts else ():
+        if isinstance(t, ValueError):
+            failure = t
+        else:
+            done[r] = t
+    totals = inference.total_log_likelihoods(sequences, {r: t.model for r, t in done.items()})
+    best: training.Training | None = None
+    top = -math.inf
+    for r, t in done.items():
+        logp = totals[r][1]
         if math.isnan(logp):
             failure = ValueError("a restart ended without a log-likelihood")
         elif best is None or logp > top:
-            best, top = training.Training(done.model, (*done.history, logp), done.converged), logp
+            best, top = training.Training(t.model, (*t.history, logp), t.converged, t.reached_max_iterations), logp
     if best is None:
         raise failure or ValueError("no restart gave a model")
     return best

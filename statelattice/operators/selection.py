@@ -40,9 +40,9 @@ def aicc(logp: float, k: int, n: int) -> float:
 
 def evaluate(sequences: DataFrame, model: Hmm) -> Criteria:
     """Criteria of a model, scalar or multivariate, over all observations."""
-    total = inference.total_log_likelihood(inference.score(sequences, model)).first()
-    n, k = total["n_observations"] or 0, free_parameters(model)
-    return Criteria(aic(total["logp"], k), bic(total["logp"], k, n) if n else math.nan, aicc(total["logp"], k, n))
+    n, logp = inference.total_log_likelihoods(sequences, {0: model})[0]
+    k = free_parameters(model)
+    return Criteria(aic(logp, k), bic(logp, k, n) if n else math.nan, aicc(logp, k, n))
 
 
 def with_criteria(models: DataFrame) -> DataFrame:
@@ -54,9 +54,7 @@ def with_criteria(models: DataFrame) -> DataFrame:
 
 
 def compare(sequences: DataFrame, models: dict[str, Hmm]) -> DataFrame:
-    """(model, logp, k, n, aic, bic, aicc): one row for each model."""
-    parts = [inference.total_log_likelihood(inference.score(sequences, m)).select(F.lit(name).alias("model"), "logp", F.lit(free_parameters(m)).alias("k"), F.col("n_observations").alias("n")) for name, m in models.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return with_criteria(out)
+    """(model, logp, k, n, aic, bic, aicc): one row for each model, all scored in one pass over the sequences."""
+    totals = inference.total_log_likelihoods(sequences, models)
+    rows = [(name, float(logp), free_parameters(models[name]), n or None) for name, (n, logp) in totals.items()]
+    return with_criteria(sequences.sparkSession.createDataFrame(rows, "model string, logp double, k int, n long"))

@@ -11,6 +11,7 @@ Sequence tables are (seq_id, xs). Cache them: each iteration reads them anew, an
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -40,57 +41,69 @@ class Expectation:
     occupancy: np.ndarray
 
 
-def _reduce(sequences: DataFrame, model: Hmm, wants: dict[int, dict[str, Stat]]) -> tuple[Expectation, dict[int, dict[str, float]]]:
-    n = model.states
-    keys = [(i, name, how) for i, want in wants.items() for name, (how, _) in want.items()]
+Request = tuple[Hmm, dict[int, dict[str, Stat]]]
+
+
+def _reduce(sequences: DataFrame, requests: dict[int, Request]) -> dict[int, tuple[Expectation, dict[int, dict[str, float]]]]:
+    """The expectation step of several models, and further statistics under their posteriors, in one job."""
+    first = {"sum": 0.0, "min": math.inf, "max": -math.inf}
+    merge = {"sum": lambda p, q: p + q, "min": min, "max": max}
+    keys = {r: [(i, name, how) for i, want in wants.items() for name, (how, _) in want.items()] for r, (_, wants) in requests.items()}
     # sums: sequences, logp, initial, transitions, leaving, occupancy, then the emission statistics
-    width = 2 + n + n * n + n + n
+    width = {r: 2 + 3 * model.states + model.states**2 for r, (model, _) in requests.items()}
+    any_model = next(iter(requests.values()))[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width)
-        stats = np.array([{"sum": 0.0, "min": math.inf, "max": -math.inf}[how] for _, _, how in keys])
+        total = {r: np.zeros(w) for r, w in width.items()}
+        stats = {r: np.array([first[how] for _, _, how in k]) for r, k in keys.items()}
         for batch in batches:
-            xs = inference._lists(batch.column(0), model)
+            xs = inference._lists(batch.column(0), any_model)
             sizes = np.array([len(s) for s in xs], int)
-            for part in kernels.blocks(sizes, n):
-                own, lengths = [xs[i] for i in part], sizes[part]
-                b = kernels.emissions(model, own)
-                a = kernels.forward(model, b, lengths)
-                logp = kernels.log_likelihood(a)
-                ok = np.isfinite(logp)
-                if not ok.any():
-                    continue
-                own, lengths, b, a, logp = [s for s, k in zip(own, ok, strict=True) if k], lengths[ok], b[ok], a[ok], logp[ok]
-                beta = kernels.backward(model, b, lengths)
-                gamma = kernels.posteriors(a, beta, logp)
-                t = np.arange(b.shape[1])[None, :]
-                here, leaves = t < lengths[:, None], t < lengths[:, None] - 1
-                xi = kernels.transitions(model, a, b, beta, logp, lengths)
-                total += np.concatenate([[len(own), logp.sum()], gamma[:, 0].sum(0), xi.reshape(-1), gamma[leaves].sum(0), gamma[here].sum(0)])
-                if keys:
-                    x, w = np.concatenate(own), gamma[here]
-                    found = {i: of_arrays(want, x, w[:, i]) for i, want in wants.items()}
-                    for at, (i, name, how) in enumerate(keys):
-                        stats[at] = {"sum": lambda p, q: p + q, "min": min, "max": max}[how](stats[at], found[i][name])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width + len(keys)), pa.int32()), pa.array(np.concatenate([total, stats]), pa.float64())], ["k", "v"])
-
-    rows = inference._filled(sequences).select("xs").mapInArrow(run, "k int, v double")
-    found = rows.groupBy("k").agg(F.sum("v").alias("sum"), F.min("v").alias("min"), F.max("v").alias("max")).collect()  # one row a statistic
-    by = {r["k"]: r for r in found}
-    v = np.array([by[k]["sum"] if by else 0.0 for k in range(width)])
-    cut = np.cumsum([2, n, n * n, n])
-    parts = np.split(v, cut)
-    expected = Expectation(int(round(v[0])), float(v[1]), parts[1], parts[2].reshape(n, n), parts[3], parts[4])
-    values: dict[int, dict[str, float]] = {i: {} for i in wants}
-    for at, (i, name, how) in enumerate(keys):
-        values[i][name] = by[width + at][how] if by else {"sum": 0.0, "min": math.inf, "max": -math.inf}[how]
-    return expected, values
+            for part in kernels.blocks(sizes, max(m.states for m, _ in requests.values())):
+                for r, (model, wants) in requests.items():
+                    own, lengths = [xs[i] for i in part], sizes[part]
+                    b = kernels.emissions(model, own)
+                    a = kernels.forward(model, b, lengths)
+                    logp = kernels.log_likelihood(a)
+                    ok = np.isfinite(logp)
+                    if not ok.any():
+                        continue
+                    own, lengths, b, a, logp = [s for s, k in zip(own, ok, strict=True) if k], lengths[ok], b[ok], a[ok], logp[ok]
+                    beta = kernels.backward(model, b, lengths)
+                    gamma = kernels.posteriors(a, beta, logp)
+                    t = np.arange(b.shape[1])[None, :]
+                    here, leaves = t < lengths[:, None], t < lengths[:, None] - 1
+                    xi = kernels.transitions(model, a, b, beta, logp, lengths)
+                    total[r] += np.concatenate([[len(own), logp.sum()], gamma[:, 0].sum(0), xi.reshape(-1), gamma[leaves].sum(0), gamma[here].sum(0)])
+                    if keys[r]:
+                        x, w = np.concatenate(own), gamma[here]
+                        found = {i: of_arrays(want, x, w[:, i]) for i, want in wants.items()}
+                        for at, (i, name, how) in enumerate(keys[r]):
+                            stats[r][at] = merge[how](stats[r][at], found[i][name])
+        for r in requests:
+            n = width[r] + len(keys[r])
+            columns = [pa.array(np.full(n, r), pa.int32()), pa.array(np.arange(n), pa.int32()), pa.array(np.concatenate([total[r], stats[r]]), pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["r", "k", "v"])
+
+    rows = inference._filled(sequences).select("xs").mapInArrow(run, "r int, k int, v double")
+    found = rows.groupBy("r", "k").agg(F.sum("v").alias("sum"), F.min("v").alias("min"), F.max("v").alias("max")).collect()  # one row a statistic
+    by = {(x["r"], x["k"]): x for x in found}
+    out = {}
+    for r, (model, wants) in requests.items():
+        n = model.states
+        v = np.array([by[r, k]["sum"] if by else 0.0 for k in range(width[r])])
+        parts = np.split(v, np.cumsum([2, n, n * n, n]))
+        values: dict[int, dict[str, float]] = {i: {} for i in wants}
+        for at, (i, name, how) in enumerate(keys[r]):
+            values[i][name] = by[r, width[r] + at][how] if by else first[how]
+        out[r] = Expectation(int(round(v[0])), float(v[1]), parts[1], parts[2].reshape(n, n), parts[3], parts[4]), values
+    return out
 
 
 def expectation(sequences: DataFrame, model: Hmm) -> Expectation:
     """The expectation step alone."""
     model.require_initialized()
-    return _reduce(sequences, model, {})[0]
+    return _reduce(sequences, {0: (model, {})})[0][0]
 
 
 def _share(counts: np.ndarray, pseudo: float = 0.0) -> np.ndarray:
@@ -112,35 +125,56 @@ class Training:
     model: Hmm
     history: tuple[float, ...] = field(default=())
     converged: bool = False
+    reached_max_iterations: bool = False
 
     @property
     def logp(self) -> float:
         return self.history[-1] if self.history else -math.inf
 
 
-def baum_welch_step(sequences: DataFrame, model: Hmm, pseudo_count: float = 0.0, topology: Topology | None = None) -> Step:
-    """One pass of expectation-maximisation. With pseudo_count > 0, symmetric Dirichlet priors on the initial and
-    transition probabilities and on Discrete emissions (MAP). Raises if no sequence has a finite likelihood."""
+def _steps(sequences: DataFrame, models: dict[int, Hmm], pseudo_count: float, topology: Topology | None) -> dict[int, Step | ValueError]:
+    """One pass of expectation-maximisation for each model, all in the same jobs: a Step, or why there is none."""
+    expected: dict[int, Expectation] = {}
+
+    def answer(wants: dict[Any, dict[str, Stat]]) -> dict[Any, dict[str, float]]:
+        asking = {r: (models[r], {i: want for (q, i), want in wants.items() if q == r}) for r in {q for q, _ in wants}}
+        found = _reduce(sequences, asking)
+        for r, (e, _) in found.items():
+            expected.setdefault(r, e)
+        return {(r, i): found[r][1][i] for r, i in wants}
+
+    fitted = fit_many({(r, i): e for r, m in models.items() for i, e in enumerate(m.emissions)}, answer, weighted=True)
+    out: dict[int, Step | ValueError] = {}
+    for r, model in models.items():
+        e = expected[r]
+        if not e.sequences:
+            out[r] = ValueError("no sequence has a finite likelihood under the model")
+            continue
+        pi = _share(e.initial, pseudo_count)
+        # rows are divided by what left the state, which is their sum up to rounding
+        left = e.leaving + pseudo_count * model.states
+        trans = np.array([(row + pseudo_count) / n if n >= ZERO else np.full(model.states, 1 / model.states) for row, n in zip(e.transitions, left, strict=True)])
+        emissions = [smooth(fitted[r, i], e.occupancy[i], pseudo_count) for i in range(model.states)]
+        new = Hmm(tuple(pi), tuple(map(tuple, trans)), tuple(emissions))
+        out[r] = Step(enforce(new, topology) if topology else new, e.logp)
+    return out
+
+
+def _check(pseudo_count: float, *models: Hmm) -> None:
     if not (math.isfinite(pseudo_count) and pseudo_count >= 0):
         raise ValueError("pseudo_count must be finite and not negative")
-    model.require_initialized()
-    first: list[Expectation] = []
+    for model in models:
+        model.require_initialized()
 
-    def answer(wants: dict[Any, dict[str, Stat]]) -> dict[Any, dict[str, float]]:
-        expected, values = _reduce(sequences, model, wants)
-        first.append(expected)
-        return values
-
-    fitted = fit_many(dict(enumerate(model.emissions)), answer, weighted=True)
-    expected = first[0]
-    if not expected.sequences:
-        raise ValueError("no sequence has a finite likelihood under the model")
-    pi = _share(expected.initial, pseudo_count)
-    # rows are divided by what left the state, which is their sum up to rounding
-    trans = np.array([(row + pseudo_count) / (out + pseudo_count * model.states) if out + pseudo_count * model.states >= ZERO else np.full(model.states, 1 / model.states) for row, out in zip(expected.transitions, expected.leaving, strict=True)])
-    emissions = [smooth(fitted[i], expected.occupancy[i], pseudo_count) for i in range(model.states)]
-    new = Hmm(tuple(pi), tuple(map(tuple, trans)), tuple(emissions))
-    return Step(enforce(new, topology) if topology else new, expected.logp)
+
+def baum_welch_step(sequences: DataFrame, model: Hmm, pseudo_count: float = 0.0, topology: Topology | None = None) -> Step:
+    """One pass of expectation-maximisation. With pseudo_count > 0, symmetric Dirichlet priors on the initial and
+    transition probabilities and on Discrete emissions (MAP). Raises if no sequence has a finite likelihood."""
+    _check(pseudo_count, model)
+    step = _steps(sequences, {0: model}, pseudo_count, topology)[0]
+    if isinstance(step, ValueError):
+        raise step
+    return step
 
 
 def smooth(emission: Emission, weight: float, pseudo_count: float) -> Emission:
@@ -159,18 +193,37 @@ def log_prior(model: Hmm, pseudo_count: float) -> float:
     return pseudo_count * float(safe_log(np.array(values)).sum())
 
 
+def baum_welch_many(
+    sequences: DataFrame, models: dict[int, Hmm], max_iterations: int = 500, tolerance: float = 3e-7, pseudo_count: float = 0.0, topology: Topology | None = None
+) -> dict[int, Training | ValueError]:
+    """baum_welch from several models side by side: an iteration is one job however many they are. A model that has
+    converged, or can't go on, drops out of the jobs."""
+    _check(pseudo_count, *models.values())
+    now, history = dict(models), {r: [] for r in models}
+    done: dict[int, Training | ValueError] = {}
+    for _ in range(max_iterations):
+        going = {r: m for r, m in now.items() if r not in done}
+        if not going:
+            break
+        for r, step in _steps(sequences, going, pseudo_count, topology).items():
+            if isinstance(step, ValueError):
+                done[r] = step
+                continue
+            now[r], own = step.model, history[r]
+            own.append(step.logp)
+            if len(own) > 1 and math.isfinite(own[-2]) and abs(own[-1] - own[-2]) <= tolerance * (abs(own[-1]) + 1):
+                done[r] = Training(now[r], tuple(own), True)
+    return {r: done.get(r, Training(now[r], tuple(history[r]), False, True)) for r in models}
+
+
 def baum_welch(
     sequences: DataFrame, model: Hmm, max_iterations: int = 500, tolerance: float = 3e-7, pseudo_count: float = 0.0, topology: Topology | None = None
 ) -> Training:
     """Steps until the log-likelihood changes by no more than tolerance, relative to its size plus one."""
-    history: list[float] = []
-    for _ in range(max_iterations):
-        step = baum_welch_step(sequences, model, pseudo_count, topology)
-        model = step.model
-        history.append(step.logp)
-        if len(history) > 1 and math.isfinite(history[-2]) and abs(history[-1] - history[-2]) <= tolerance * (abs(history[-1]) + 1):
-            return Training(model, tuple(history), True)
-    return Training(model, tuple(history), False)
+    done = baum_welch_many(sequences, {0: model}, max_iterations, tolerance, pseudo_count, topology)[0]
+    if isinstance(done, ValueError):
+        raise done
+    return done
 
 
 # -- hard assignments ------------------------------------------------------------------------------------------
@@ -208,13 +261,13 @@ def hard_counts(steps: DataFrame) -> DataFrame:
 def _maximise(steps: DataFrame, model: Hmm, starts_of: float | None = None) -> Hmm:
     n = model.states
     initial, moves, seen = np.zeros(n), np.zeros((n, n)), np.zeros(n)
-    for r in hard_counts(steps).collect():  # states * (states + 1) rows at most
-        if r["following"] is None:
-            initial[r["state"]] = r["n"]
-        else:
-            moves[r["state"], r["following"]] = r["n"]
-    for r in steps.groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect():
-        seen[r["state"]] = r["n"]
+    counts = steps.groupBy("state", "following", (F.col("t") == 0).alias("first")).agg(F.count(F.lit(1)).alias("n"))
+    for r in counts.collect():  # 2 * states * (states + 1) rows at most
+        seen[r["state"]] += r["n"]
+        if r["first"]:
+            initial[r["state"]] += r["n"]
+        if r["following"] is not None:
+            moves[r["state"], r["following"]] += r["n"]
     pi = initial / starts_of if starts_of else _share(initial)
     trans = np.array([_share(row) for row in moves])
     fitted = fit_groups(steps, {i: e for i, e in enumerate(model.emissions) if seen[i]}, "state", "x")
@@ -246,7 +299,7 @@ def viterbi_training(sequences: DataFrame, model: Hmm, config: HardConfig = BALA
         last = history[-config.window :]
         if len(last) == config.window and all(abs(b - a) < config.tolerance for a, b in zip(last, last[1:], strict=False)):
             return Training(model, tuple(history), True)
-    return Training(model, tuple(history), False)
+    return Training(model, tuple(history), False, True)
 
 
 def even_paths(sequences: DataFrame, states: int) -> DataFrame:
@@ -254,7 +307,8 @@ def even_paths(sequences: DataFrame, states: int) -> DataFrame:
 
     The sequences' offsets are sums over range partitions of the ids; one sum a partition is gathered."""
     sizes = inference._filled(sequences).select("seq_id", F.size("xs").cast("long").alias("n"))
-    dealt = sizes.repartitionByRange(F.col("seq_id")).sortWithinPartitions("seq_id").withColumn("part", F.spark_partition_id()).cache()
+    # checkpointed: a partition that is computed again must keep its number
+    dealt = _cut(sizes.repartitionByRange(F.col("seq_id")).sortWithinPartitions("seq_id").withColumn("part", F.spark_partition_id()))
     parts = dealt.groupBy("part").agg(F.sum("n").alias("m"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
@@ -273,28 +327,27 @@ def segmental_k_means(sequences: DataFrame, model: Hmm, max_iterations: int = 10
     lists = float(sequences.count())
     if not lists:
         raise ValueError("there are no sequences")
-    paths = even_paths(sequences, model.states).cache()
+    paths = even_paths(sequences, model.states)
     for _ in range(max_iterations):
         model = _maximise(_assigned(sequences, paths), model, lists)
         try:
             found = inference.viterbi(sequences, model).where(F.col("logp") > F.lit(-math.inf)).select("seq_id", F.col("path").alias("new"))
         except ValueError:
             break
-        both = paths.join(found, "seq_id", "left").select("seq_id", F.coalesce("new", "path").alias("path"), (F.coalesce("new", "path") != F.col("path")).alias("moved")).cache()
-        moved = both.agg(F.max(F.col("moved").cast("int"))).first()[0]
-        paths.unpersist()
-        # rows of paths only: the chain of joins would grow with the iterations
-        paths = _cut(both.select("seq_id", "path"))
-        if not moved:
+        both = paths.join(found, "seq_id", "left").select("seq_id", F.coalesce("new", "path").alias("path"), (F.coalesce("new", "path") != F.col("path")).alias("moved"))
+        both = _cut(both)  # the chain of joins would grow with the iterations
+        paths = both.select("seq_id", "path")
+        if not both.agg(F.max(F.col("moved").cast("int"))).first()[0]:
             return Training(model, (), True)
-    return Training(model, (), False)
+    return Training(model, (), False, True)
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, written to the checkpoint folder where the session has one."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None and spark.conf.get("spark.checkpoint.dir", None) is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="statelattice-"))
+    """df without its lineage, written to the checkpoint folder: spark.checkpoint.dir, or in local mode (tests) a
+    temporary one of our own; on a cluster without one this raises."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None and df.sparkSession.conf.get("spark.checkpoint.dir", None) is None:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="statelattice-"))
     return df.checkpoint()

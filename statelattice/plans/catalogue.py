@@ -40,6 +40,7 @@ from ..operators.topology import Topology, enforce, initialize
 from ..functions import linalg, special
 from ..sources import model_json, model_text
 from ..sources.sequences import day_angle, event_sequences, gaps, order_sequences
+from .numeric_sql import CDF, FITS, MOMENTS, fit_sql, num
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,10 +62,6 @@ def s6(sql: str) -> str:
     return f"CASE WHEN ({sql}) = CAST('-Infinity' AS DOUBLE) THEN {NEVER} ELSE round({sql}, 6) + 0.0 END"
 
 
-def num(value: float) -> str:
-    return f"CAST('{float(value)!r}' AS DOUBLE)"
-
-
 # -- models of the queries -------------------------------------------------------------------------------------
 
 #: Two regimes of ln(1 + value) in the events table.
@@ -194,8 +191,10 @@ def _total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = _log_values(spark, sf_dir).select("seq_id", F.slice("xs", 1, 5).alias("xs"))
-    return inference.score(short, MODEL).select("seq_id", (F.round(F.exp("logp") * 1e6, 6) + F.lit(0.0)).alias("probability_e6"))
+    """The probability of each whole sequence as mantissa * 10^exponent."""
+    rows = inference.score(_log_values(spark, sf_dir), MODEL).select("seq_id", F.exp("logp").alias("p"))
+    rows = rows.withColumn("exponent", F.floor(F.log10("p")).cast("int"))
+    return rows.select("seq_id", F.round(F.col("p") / F.pow(F.lit(10.0), F.col("exponent")), 6).alias("mantissa"), "exponent")
 
 
 def _arrow_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +252,7 @@ _register("forward_loglik_discrete", _scored(TYPES, "type"), _score_sql(TYPES, "
 _register("forward_loglik_total", _total, _with(_E, _F) + f"SELECT count(*) AS n_sequences, CAST(sum(n) AS BIGINT) AS n_observations, {s6('sum(logp)')} AS logp FROM l")
 _register(
     "sequence_probability", _probability,
-    _with(_E, _F) + f"SELECT seq_id, round(exp({_add('a0', 'a1')}) * 1e6, 6) + 0.0 AS probability_e6 FROM f WHERE t = least(last, 4)",
+    _with(_E, _F) + "SELECT seq_id, round(exp(logp) / pow(10.0, floor(log10(exp(logp)))), 6) AS mantissa, CAST(floor(log10(exp(logp))) AS INTEGER) AS exponent FROM l",
 )
 _register("forward_variables", _lattice("forward"), _with(_E, _F) + _both_states("f", ["a0", "a1"]))
 _register("backward_variables", _lattice("backward"), _with(_E, _B) + _both_states("h", ["g0", "g1"]))
@@ -405,8 +404,9 @@ for _name, (_e, _what) in CASES.items():
     _register(f"logpdf_{_name}", _logpdf(_e, _what), f"{_rows_sql(_what)} SELECT id, {s6(LOGPDF[_e.tag](_e, 'x'))} AS logpdf FROM o")
     _source = "positive" if _name in ("weibull", "rayleigh") else _what
     _plain, _weighted = CLOSED.get(_name, (None, None))
-    _register(f"fit_{_name}", _fit(_e.reset() if _name != "discrete" else Discrete(), _source, False), _named(_source, _plain, "parameter") if _plain else None)
-    _register(f"weighted_fit_{_name}", _fit(_e.reset() if _name != "discrete" else Discrete(), _source, True), _named(_source, _weighted, "parameter") if _weighted else None)
+    for _prefix, _closed, _uses in (("fit", _plain, False), ("weighted_fit", _weighted, True)):
+        _sql = fit_sql(_name, _rows_sql(_source), _uses, s6) if _name in FITS else _named(_source, _closed, "parameter")
+        _register(f"{_prefix}_{_name}", _fit(_e.reset() if _name != "discrete" else Discrete(), _source, _uses), _sql)
     if _name in STATISTICS:
         _register(f"stats_{_name}", _statistics(_e, _what), _named(_what, STATISTICS[_name], "statistic"))
 
@@ -421,21 +421,15 @@ def _cdf(e: Emission, what: str) -> Query:
 
             return pd.Series(e.cdf(x.to_numpy()))
 
-        return _observed(spark, sf_dir, what).select("id", r6(cdf("x")).alias("cdf"))
+        rows = _observed(spark, sf_dir, what)
+        found = e.cdf_column(F.col("x"))  # where the family has an expression, no Python worker starts
+        return rows.select("id", r6(cdf("x") if found is None else found).alias("cdf"))
 
     return query
 
 
-CDF_SQL: dict[str, Callable[[Any], str]] = {
-    "exponential": lambda e: f"1 - exp(-{num(e.lambda_)} * x)",
-    "uniform": lambda e: f"least(1, greatest(0, (x - {num(e.a)}) / ({num(e.b)} - {num(e.a)})))",
-    "weibull": lambda e: f"1 - exp(-pow(x / {num(e.lambda_)}, {num(e.k)}))",
-    "pareto": lambda e: f"1 - pow({num(e.xm)} / greatest(x, {num(e.xm)}), {num(e.k)})",
-    "rayleigh": lambda e: f"1 - exp(-x * x / {num(2 * e.sigma**2)})",
-    "discrete": lambda e: "CASE " + " ".join(f"WHEN x < {i + 1} THEN {num(sum(e.probs[: i + 1]))}" for i in range(len(e.probs))) + " ELSE 1 END",
-}
 for _name, (_e, _what) in CASES.items():
-    _register(f"cdf_{_name}", _cdf(_e, _what), f"{_rows_sql(_what)} SELECT id, {s6(CDF_SQL[_name](_e))} AS cdf FROM o" if _name in CDF_SQL else None)
+    _register(f"cdf_{_name}", _cdf(_e, _what), f"{_rows_sql(_what)} SELECT id, {s6(CDF[_name](_e))} AS cdf FROM o")
 
 
 def _moments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -443,7 +437,16 @@ def _moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "family string, moment string, value double").select("family", "moment", r6(F.col("value")).alias("value"))
 
 
-_register("emission_moments", _moments)
+def _moments_sql() -> str:
+    parts = []
+    for name, (e, _) in CASES.items():
+        values = MOMENTS[name](e)
+        values |= {"sd": f"sqrt({values['variance']})"} if "variance" in values else {}
+        parts += [f"SELECT '{name}' AS family, '{k}' AS moment, {s6(f'CAST({v} AS DOUBLE)')} AS value" for k, v in values.items()]
+    return " UNION ALL ".join(parts)
+
+
+_register("emission_moments", _moments, _moments_sql())
 
 # -- hard assignments ------------------------------------------------------------------------------------------
 
@@ -557,7 +560,7 @@ _register("map_one_iter", _em_step(2.0), _step_sql(2.0))
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
     seqs = _log_values(spark, sf_dir).cache()
-    done = training.baum_welch(seqs, MODEL, max_iterations=8)
+    done = training.baum_welch(seqs, MODEL)
     seqs.unpersist()
     return spark.createDataFrame([(i, v) for i, v in enumerate(done.history)], "iteration int, logp double").select("iteration", r6(F.col("logp")).alias("logp"))
 
@@ -572,17 +575,17 @@ def _trained(train: Callable[[DataFrame], Hmm]) -> Query:
     return query
 
 
-def _best_of_two(seqs: DataFrame) -> Hmm:
+def _best_of_three(seqs: DataFrame) -> Hmm:
     from ..operators.restarts import fit_best_of_n
 
-    return fit_best_of_n(seqs, MODEL, 2, seed=1, max_iterations=5).model
+    return fit_best_of_n(seqs, MODEL, 3, seed=1).model
 
 
 _register("baum_welch_history", _history)
 _register("viterbi_training_fit", _trained(lambda s: training.viterbi_training(s, MODEL, training.BALANCED).model))
-_register("segmental_kmeans_fit", _trained(lambda s: training.segmental_k_means(s, Hmm.blank(2), 4).model))
-_register("fit_best_of_n", _trained(_best_of_two))
-_register("left_to_right_em", _trained(lambda s: training.baum_welch(s, initialize(MODEL, Topology("left_to_right")), 3, topology=Topology("left_to_right")).model))
+_register("segmental_kmeans_fit", _trained(lambda s: training.segmental_k_means(s, Hmm.blank(2)).model))
+_register("fit_best_of_n", _trained(_best_of_three))
+_register("left_to_right_em", _trained(lambda s: training.baum_welch(s, initialize(MODEL, Topology("left_to_right")), topology=Topology("left_to_right")).model))
 
 
 def _log_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -731,16 +734,17 @@ _register("forward_loglik_vector", _vector_score, _with(_VECTOR_E, _forward_sql(
 
 def _vector_em(spark: SparkSession, sf_dir: str) -> DataFrame:
     seqs = event_sequences(spark, sf_dir, "vector").cache()
-    model = training.baum_welch(seqs, kmeans.kmeans_init(seqs, VECTOR, seed=3, max_iterations=5), 3).model
+    model = training.baum_welch(seqs, kmeans.kmeans_init(seqs, VECTOR, seed=3)).model
     seqs.unpersist()
     return spark.createDataFrame([(i, d, m, v) for i, e in enumerate(model.emissions) for d, (m, v) in enumerate(zip(e.mean, e.var, strict=True))], "state int, d int, mean double, variance double")
 
 
-CENTRES = [[0.1, 0.0, -0.1, 0.05], [-0.1, 0.1, 0.0, 0.0], [0.0, -0.1, 0.1, -0.1]]
+#: Three centres in the 64 dimensions of the embeddings.
+CENTRES = [[((7 * i + 3 * d) % 11 - 5) / 50 for d in range(64)] for i in range(3)]
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("x"))
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
 
 
 def _assign(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -755,18 +759,57 @@ def _centres(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir).select("x").cache()
-    centres = kmeans.lloyd(points, kmeans.seed_centres(points, 3, seed=2), 10)
+    centres = kmeans.lloyd(points, kmeans.seed_centres(points, 3, seed=2))
     return spark.createDataFrame([(i, d, float(v)) for i, c in enumerate(centres) for d, v in enumerate(c)], "cluster int, d int, mean double")
 
 
 _DISTANCES = [" + ".join(f"pow(CAST(embedding[{d + 1}] AS DOUBLE) - {num(v)}, 2)" for d, v in enumerate(c)) for c in CENTRES]
 _NEAR = f"p AS (SELECT vec_id, embedding, {', '.join(f'{s} AS d{i}' for i, s in enumerate(_DISTANCES))} FROM embeddings), a AS (SELECT vec_id, embedding, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS cluster FROM p)"
 _register("kmeans_assign", _assign, f"WITH {_NEAR} SELECT vec_id, cluster FROM a")
-_register("kmeans_update", _centres, f"WITH {_NEAR} " + " UNION ALL ".join(f"SELECT cluster, {d} AS d, {s6(f'avg(CAST(embedding[{d + 1}] AS DOUBLE))')} AS mean FROM a GROUP BY cluster" for d in range(4)))
+_register("kmeans_update", _centres, f"WITH {_NEAR} SELECT cluster, CAST(d AS INTEGER) AS d, {s6('avg(CAST(embedding[d + 1] AS DOUBLE))')} AS mean FROM a, range(64) AS t(d) GROUP BY cluster, d")
 _register("kmeans_fit", _kmeans_fit)
 _register("vector_em_from_kmeans", _vector_em)
 _register("sample_sequences", _samples)
-_register("model_round_trip", _round_trip)
+_ROUND = [("gaussian", True), ("discrete", True), *((n, True) for n in CASES if n not in ("gaussian", "discrete")), ("vector", None)]
+_register(
+    "model_round_trip", _round_trip,
+    "SELECT * FROM (VALUES " + ", ".join(f"('{n}', true, {'true' if t else 'CAST(NULL AS BOOLEAN)'})" for n, t in _ROUND) + ") AS v(model, same, text_same)",
+)
+
+
+def _effect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(inference.effect_size(_labelled(spark, sf_dir), "odd"),)], "d double").select(r6(F.col("d")).alias("cohens_d"))
+
+
+_register(
+    "effect_size", _effect,
+    _with(_E, _F, _N) + f"SELECT {s6('(avg(score) FILTER (WHERE NOT odd) - avg(score) FILTER (WHERE odd)) / sqrt((var_pop(score) FILTER (WHERE odd) + var_pop(score) FILTER (WHERE NOT odd)) / 2)')} AS cohens_d FROM q",
+)
+
+
+def _discrete_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One MAP step of a model of Discrete emissions: the pseudo-counts smooth these as well."""
+    model = training.baum_welch_step(event_sequences(spark, sf_dir, "type"), TYPES, 2.0).model
+    rows = [("pi", i, 0, p) for i, p in enumerate(model.pi)] + [("trans", i, j, p) for i, r in enumerate(model.trans) for j, p in enumerate(r)]
+    rows += [("probs", i, j, p) for i, e in enumerate(model.emissions) for j, p in enumerate(e.probs)]
+    return spark.createDataFrame(rows, "name string, i int, j int, value double").select("name", "i", "j", r6(F.col("value")).alias("value"))
+
+
+def _discrete_map_sql(c: float) -> str:
+    xi = [(i, j, f"sum(exp(a.a{i} + {num(TYPES.log_trans[i][j])} + b.b{j} + b.g{j} - a.logp))") for i in (0, 1) for j in (0, 1)]
+    moves = "x AS (SELECT " + ", ".join(f"{v} AS x{i}{j}" for i, j, v in xi) + " FROM c AS a JOIN c AS b ON b.seq_id = a.seq_id AND b.t = a.t + 1)"
+    seen = ", ".join(f"sum(CASE WHEN o.x = {k} THEN p{i} ELSE 0 END) AS s{i}{k}" for i in (0, 1) for k in range(5))
+    sums = f"""g AS (SELECT sum(CASE WHEN c.t = 0 THEN p0 ELSE 0 END) AS i0, sum(CASE WHEN c.t = 0 THEN p1 ELSE 0 END) AS i1,
+ sum(CASE WHEN c.t < c.last THEN p0 ELSE 0 END) AS l0, sum(CASE WHEN c.t < c.last THEN p1 ELSE 0 END) AS l1, sum(p0) AS o0, sum(p1) AS o1, {seen}
+ FROM c JOIN o ON o.seq_id = c.seq_id AND o.t = c.t)"""
+    values = [("pi", i, 0, f"(i{i} + {c}) / (i0 + i1 + {2 * c})") for i in (0, 1)]
+    values += [("trans", i, j, f"(x{i}{j} + {c}) / (l{i} + {2 * c})") for i in (0, 1) for j in (0, 1)]
+    values += [("probs", i, k, f"(s{i}{k} + {c}) / (o{i} + {5 * c})") for i in (0, 1) for k in range(5)]
+    parts = _steps_sql(TYPES, "type"), _forward_sql(TYPES), _backward_sql(TYPES), _G.replace("c AS (", "c AS MATERIALIZED (")
+    return _with(*parts, moves, sums) + _unpivot(values, "g, x")
+
+
+_register("map_discrete_one_iter", _discrete_map, _discrete_map_sql(2.0))
 
 
 def _order_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
