@@ -1,17 +1,19 @@
 """Secret scanning: fixed patterns, and tokens that a battery of randomness tests accepts.
 
-A token of the base64 alphabets gets an encoding from its characters (hex, base32 or base64; one that is all
-letters or all digits has none). For its symbols the battery takes
+A token of TOKEN_CHARS characters or more gets an encoding from its characters: hex, base32, base36 (each in either
+case), base62 or base64 (with + and / or - and _). Tokens with such signs that aren't base64 are split at them, and all
+at `=`. A token needs digits and letters: words and numbers have no encoding. For its symbols the battery takes
 
 * chi-squared against a uniform alphabet,
 * the runs test about the middle of the alphabet,
 * the lag-1 serial correlation,
 
-and the token looks random unless one of them rejects it (Bonferroni over the three, level REJECT). That alone
-would accept short ordinary words, so a second p-value asks how often ordinary text of the same length has as few
-coinciding symbols: the null distribution comes from the symbol frequencies of the whole corpus, and so it sharpens
-with length. Benjamini-Hochberg at level FDR within bands of length turns these into one cut-off per band.
-Everything that is gathered is of fixed size: 128 symbol counts, and counts of p-values by band and bin.
+and combines them (Bonferroni) to one p-value of randomness; below REJECT the token is left. That alone would accept
+short ordinary words, so discoveries are controlled against ordinary text: under the first-order transition counts of
+the whole corpus but for these tokens, the likelihood ratio of text to uniform symbols is a valid p-value (its inverse
+has a mean of 1 over text), and it falls with length. Weighted Benjamini-Hochberg at level FDR within bands of length, the weights being
+twice the battery's p-values, turns these into one cut-off per band; every token with an encoding counts as a test.
+Everything that is gathered is of fixed size: 128 x 128 pair counts, and counts of p-values by band and bin.
 """
 
 from __future__ import annotations
@@ -37,12 +39,25 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KEYWORDS = ("passw", "secret", "token", "key")
 
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Shortest token that is tested: 16 symbols of hex are 64 bits, and shorter runs hold hardly any evidence.
+TOKEN_CHARS = 16
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % TOKEN_CHARS)
+SIGNS = re.compile(r"[+/_-]+")
+_DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Encodings in the order in which they are tried.
 ALPHABETS = {
-    "hex": "0123456789abcdef",
-    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "hex": _DIGITS + _LOWER[:6],
+    "HEX": _DIGITS + _UPPER[:6],
+    "base32": _LOWER + "234567",
+    "BASE32": _UPPER + "234567",
+    "base36": _DIGITS + _LOWER,
+    "BASE36": _DIGITS + _UPPER,
+    "base62": _UPPER + _LOWER + _DIGITS,
+    "base64": _UPPER + _LOWER + _DIGITS + "+/",
+    "base64url": _UPPER + _LOWER + _DIGITS + "-_",
 }
+_SETS = {name: frozenset(alphabet) for name, alphabet in ALPHABETS.items()}
+_PLACES = {name: {c: i for i, c in enumerate(alphabet)} for name, alphabet in ALPHABETS.items()}
 REJECT, FDR = 0.01, 0.01
 #: P-values are counted in bins of a tenth of a decade; lengths in bands by powers of the square root of 2.
 BINS, BANDS = 400, 40
@@ -58,39 +73,52 @@ def base_spans(text: str) -> list[Span]:
         out += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         out += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    for run in TOKEN.finditer(text):  # a run of 24 hex digits lies within one of these
+    for run in RUN.finditer(text):  # a run of 24 hex digits lies within one of these
         if run.end() - run.start() >= 24:
             out += [("hex", run.start() + m.start(), run.start() + m.end()) for m in HEX.finditer(run[0]) if m.end() - m.start() >= 24]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
 def encoding_of(token: str) -> tuple[str, np.ndarray] | None:
-    """The encoding that the characters suggest and the symbols' places in its alphabet."""
-    body = token.rstrip("=").replace("-", "+").replace("_", "/")
-    chars = set(body)
-    digit, upper, lower = (bool(chars & set(x)) for x in ("0123456789", ALPHABETS["base64"][:26], ALPHABETS["base64"][26:52]))
-    if chars <= set(ALPHABETS["hex"]) and digit and lower:
-        name = "hex"
-    elif chars <= set(ALPHABETS["hex"].upper()) and digit and upper:
-        name, body = "hex", body.lower()
-    elif chars <= set(ALPHABETS["base32"]) and digit and upper:
-        name = "base32"
-    elif digit and upper and lower:
-        name = "base64"
-    else:
+    """The first encoding whose alphabet has all characters, and the symbols' places in it; none for a token without
+    digits or without letters, and base64 with signs only where both cases and digits occur."""
+    chars = set(token)
+    digit, upper, lower = (not chars.isdisjoint(x) for x in (_DIGITS, _UPPER, _LOWER))
+    if not digit or not (upper or lower):
         return None
-    place = {c: i for i, c in enumerate(ALPHABETS[name])}
-    if "=" in body:
-        return None
-    return name, np.array([place[c] for c in body])
+    for name, alphabet in _SETS.items():
+        if chars <= alphabet:
+            if name.startswith("base64") and not (upper and lower):
+                return None
+            return name, np.array([_PLACES[name][c] for c in token])
+    return None
+
+
+def _tokens(text: str) -> Iterator[tuple[int, int, str, np.ndarray]]:
+    """(start, end, encoding, symbols) of every token with an encoding; `end` takes in padding."""
+    for run in RUN.finditer(text):
+        at = run.start()
+        for piece in run[0].split("="):
+            here, at = at, at + len(piece) + 1
+            if len(piece) < TOKEN_CHARS:
+                continue
+            if found := encoding_of(piece):
+                end = here + len(piece)
+                while end < run.end() and end < here + len(piece) + 2 and text[end] == "=" and (end + 1 == run.end() or text[end + 1] == "="):
+                    end += 1
+                yield here, end, *found
+                continue
+            for part in re.finditer(r"[A-Za-z0-9]{%d,}" % TOKEN_CHARS, piece):
+                if found := encoding_of(part[0]):
+                    yield here + part.start(), here + part.end(), *found
 
 
 def _two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def looks_random(symbols: np.ndarray, size: int) -> bool:
-    """Whether none of the battery's tests rejects uniform, independent symbols."""
+def randomness_p(symbols: np.ndarray, size: int) -> float:
+    """The battery's p-value that the symbols are uniform and independent: three times the least of its three."""
     n = len(symbols)
     counts = np.bincount(symbols, minlength=size)
     chi = size / n * float((counts.astype(float) ** 2).sum()) - n
@@ -108,7 +136,7 @@ def looks_random(symbols: np.ndarray, size: int) -> bool:
     x = symbols - symbols.mean()
     total = float((x * x).sum())
     p_serial = _two_sided((float((x[1:] * x[:-1]).sum()) / total + 1 / n) * math.sqrt(n)) if total else 0.0
-    return 3 * min(p_chi, p_runs, p_serial) >= REJECT
+    return min(1.0, 3 * min(p_chi, p_runs, p_serial))
 
 
 def band_of(n: int) -> int:
@@ -117,28 +145,41 @@ def band_of(n: int) -> int:
 
 @dataclass(frozen=True)
 class Model:
-    """Symbol counts of the corpus (ASCII) and the largest accepted p-value by band of length (0: none)."""
+    """Counts of ASCII characters after one another in the corpus, and the largest accepted p-value by band of length
+    (0: none)."""
 
-    symbols: tuple[int, ...]
+    pairs: np.ndarray  # 128 x 128
     cuts: tuple[float, ...]
 
 
-def text_p(symbols: np.ndarray, name: str, counts: np.ndarray) -> float:
-    """How often as many symbols of ordinary text have as few coincidences (equal pairs)."""
-    q = counts[[ord(c) for c in ALPHABETS[name]]] + 1.0
-    q = q / q.sum()
-    n, q2, q3 = len(symbols), float((q**2).sum()), float((q**3).sum())
-    own = np.bincount(symbols).astype(float)
-    pairs = n * (n - 1) / 2
-    var = pairs * (q2 - q2**2) + n * (n - 1) * (n - 2) * (q3 - q2**2)
-    return 0.5 * math.erfc(-((own * (own - 1) / 2).sum() - pairs * q2) / math.sqrt(2 * var)) if var > 0 else 1.0
+class TextNull:
+    """Log-probabilities of symbols in ordinary text, for each encoding."""
+
+    def __init__(self, pairs: np.ndarray) -> None:
+        self.pairs, self.known = pairs.astype(float), {}
+
+    def of(self, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """ln of (first symbol; symbol after symbol) given that all are of the encoding's alphabet."""
+        if name not in self.known:
+            at = np.array([ord(c) for c in ALPHABETS[name]])
+            alone = self.pairs[:, at].sum(0) + 1
+            alone /= alone.sum()
+            after = self.pairs[np.ix_(at, at)] + alone  # one more observation a row, dealt as the symbols are
+            self.known[name] = np.log(alone), np.log(after / after.sum(1, keepdims=True))
+        return self.known[name]
 
+    def p(self, symbols: np.ndarray, name: str) -> float:
+        """The likelihood ratio of text to uniform symbols, 1 at most: over text its inverse has a mean of 1, so it is
+        this small or smaller with no more than this probability."""
+        first, after = self.of(name)
+        text = float(first[symbols[0]] + after[symbols[:-1], symbols[1:]].sum())
+        return math.exp(min(0.0, max(-690.0, text + len(symbols) * math.log(len(ALPHABETS[name])))))
 
-def _candidates(text: str) -> Iterator[tuple[int, int, str, np.ndarray]]:
-    for m in TOKEN.finditer(text):
-        found = encoding_of(m[0])
-        if found and len(found[1]) >= 16 and looks_random(found[1], len(ALPHABETS[found[0]])):
-            yield m.start(), m.end(), *found
+
+def discovery_p(symbols: np.ndarray, name: str, null: TextNull) -> float:
+    """The text null's p-value over its weight, twice the battery's; 1 where the battery rejects."""
+    random = randomness_p(symbols, len(ALPHABETS[name]))
+    return 1.0 if random < REJECT else min(1.0, null.p(symbols, name) / (2 * random))
 
 
 def _bin(p: float) -> int:
@@ -149,49 +190,68 @@ def _text(docs: DataFrame, text_col: str):
     return F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("text")
 
 
+def _ordinary(raw: bytes) -> bytes:
+    """A text without its tokens, which would make themselves look ordinary."""
+    text, at, out = raw.decode("utf-8", "replace"), 0, []
+    for start, end, _, _ in _tokens(text):
+        out.append(text[at:start])
+        at = end
+    return "\n".join([*out, text[at:]]).encode() if out else raw
+
+
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
-    """The model of docs: one pass for symbol counts, one for the p-values of all tokens that look random."""
+    """The model of docs: one pass for pair counts, one for the p-values of all tokens that have an encoding."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(128, np.int64)
+        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_py(), np.uint8), minlength=256)[:128]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(128), pa.int32()), pa.array(total, pa.int64())], ["symbol", "n"])
+            for at in range(0, batch.num_rows, 64):
+                raw = np.frombuffer(b"\n".join([_ordinary(x.as_py()) for x in batch.column(0).slice(at, 64)]), np.uint8)
+                for start in range(0, len(raw) - 1, 1 << 22):  # very long texts in parts that overlap by one
+                    part = raw[start : start + (1 << 22) + 1].astype(np.int64)
+                    total += np.bincount(part[:-1] << 8 | part[1:], minlength=1 << 16)
+        pairs = np.flatnonzero(total.reshape(256, 256)[:128, :128])
+        yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.int32()), pa.array(total.reshape(256, 256)[:128, :128].reshape(-1)[pairs], pa.int64())], ["pair", "n"])
 
     texts = docs.select(_text(docs, text_col))
-    counts = np.zeros(128, np.int64)
-    for symbol, n in texts.mapInArrow(count, "symbol int, n long").groupBy("symbol").agg(F.sum("n")).collect():  # 128 rows
-        counts[symbol] = n
+    pairs = np.zeros(1 << 14, np.int64)
+    for pair, n in texts.mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n")).collect():  # 16,384 rows at most
+        pairs[pair] = n
+    pairs = pairs.reshape(128, 128)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BANDS, BINS + 1), np.int64)
+        null, total = TextNull(pairs), np.zeros((BANDS, BINS + 1), np.int64)
         for batch in batches:
             for x in batch.column(0):
-                for _, _, name, symbols in _candidates(x.as_py().decode("utf-8", "replace")):
-                    total[band_of(len(symbols)), _bin(text_p(symbols, name, counts))] += 1
+                for _, _, name, symbols in _tokens(x.as_py().decode("utf-8", "replace")):
+                    total[band_of(len(symbols)), _bin(discovery_p(symbols, name, null))] += 1
         band, at = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(band, pa.int32()), pa.array(at, pa.int32()), pa.array(total[band, at], pa.int64())], ["band", "bin", "n"])
 
-    cuts = [0.0] * BANDS
     found = texts.mapInArrow(test, "band int, bin int, n long").groupBy("band", "bin").agg(F.sum("n").alias("n")).collect()  # BANDS * BINS at most
+    return Model(pairs, cuts_of([(r["band"], r["bin"], r["n"]) for r in found]))
+
+
+def cuts_of(counted: list[tuple[int, int, int]]) -> tuple[float, ...]:
+    """Benjamini-Hochberg's largest accepted p-value of each band, from (band, bin, tests)."""
+    cuts = [0.0] * BANDS
     for band in range(BANDS):
-        own = {r["bin"]: r["n"] for r in found if r["band"] == band}
+        own = {at: n for b, at, n in counted if b == band}
         total, seen = sum(own.values()), 0
         for at in sorted(own, reverse=True):
             seen += own[at]
             if (p := 10 ** (-at / 10)) <= FDR * seen / total:
                 cuts[band] = p
-    return Model(tuple(int(x) for x in counts), tuple(cuts))
+    return tuple(cuts)
 
 
-def all_spans(text: str, model: Model, counts: np.ndarray) -> tuple[list[Span], list[Span]]:
+def all_spans(text: str, model: Model, null: TextNull) -> tuple[list[Span], list[Span]]:
     """The base spans; these and the random tokens that touch none of them, by start and kind."""
     base = base_spans(text)
     extra: list[Span] = []
-    for start, end, name, symbols in _candidates(text):
+    for start, end, name, symbols in _tokens(text):
         cut = model.cuts[band_of(len(symbols))]
-        if cut and 10 ** (-_bin(text_p(symbols, name, counts)) / 10) <= cut and not any(a < end and start < b for _, a, b in base):
+        if cut and 10 ** (-_bin(discovery_p(symbols, name, null)) / 10) <= cut and not any(a < end and start < b for _, a, b in base):
             extra.append(("random", start, end))
     return base, sorted(base + extra, key=lambda s: (s[1], KINDS.index(s[0])))
 
@@ -204,17 +264,18 @@ def find_secrets(docs: DataFrame, model: Model | None = None, id_col: str = "doc
     """One row for each row of docs: doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans.
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind as listed in KINDS, joined by
-    commas; base_sha256 is over those of the first three kinds. Null and empty texts have none. Null or repeated
-    ids are kept as they are; other columns aren't read. Without a model, one is fitted on docs.
+    commas; base_sha256 is over those of the first three kinds. Null and empty texts have none, and very long ones are
+    read whole. Null or repeated ids are kept as they are; other columns, whatever their names, aren't read. An empty
+    table gives an empty result. Without a model, one is fitted on docs.
     """
     model = model or fit(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.array(model.symbols)
+        null = TextNull(model.pairs)
         for batch in batches:
             rows = []
             for x in batch.column(1):
-                base, spans = all_spans(x.as_py().decode("utf-8", "replace"), model, counts)
+                base, spans = all_spans(x.as_py().decode("utf-8", "replace"), model, null)
                 kinds = [s[0] for s in spans]
                 rows.append([*(kinds.count(k) for k in KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)])
             types = [pa.int64()] * 4 + [pa.string()] * 2
@@ -227,16 +288,17 @@ def find_secrets(docs: DataFrame, model: Model | None = None, id_col: str = "doc
 
 
 def redact_secrets(docs: DataFrame, model: Model | None = None, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of its texts replaced by `mark`; null texts stay null, other columns as they are."""
+    """docs with every span of its texts replaced by `mark`, overlapping ones once; null texts stay null, other columns
+    and all rows as they are. Very long texts are read whole; an empty table gives an empty result."""
     model = model or fit(docs, text_col)
 
-    symbols = np.array(model.symbols)
+    null = TextNull(model.pairs)
 
     def one(text: str | None) -> tuple:
         if text is None:
             return (None,)
         out, at = [], 0
-        for _, a, b in all_spans(text, model, symbols)[1]:
+        for _, a, b in all_spans(text, model, null)[1]:
             if a >= at:
                 out += [text[at:a], mark]
             at = max(at, b)

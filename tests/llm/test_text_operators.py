@@ -265,6 +265,91 @@ def test_secret_edges(spark):
     assert secrets.redact_secrets(df).columns == df.columns
 
 
+def slow_random_spans(texts):
+    """The random spans of all texts, one character at a time."""
+    import math
+
+    signs, plain = "+/_-=", set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    pairs = np.zeros((128, 128))
+
+    def runs(text, allowed):
+        at = 0
+        while at < len(text):
+            end = at
+            while end < len(text) and text[end] in allowed:
+                end += 1
+            if end > at:
+                yield at, end
+            at = max(end, at + 1)
+
+    def encoded(token):
+        found = next((n for n, letters in secrets.ALPHABETS.items() if set(token) <= set(letters)), None)
+        kinds = any(c.isdigit() for c in token), any(c.isupper() for c in token), any(c.islower() for c in token)
+        if found is None or not kinds[0] or not (kinds[1] or kinds[2]) or (found.startswith("base64") and not all(kinds)):
+            return None
+        return found
+
+    def judged(token):
+        letters = secrets.ALPHABETS[encoded(token)]
+        q = np.array([sum(pairs[x, ord(c)] for x in range(128)) + 1 for c in letters])
+        q /= q.sum()
+        log = math.log(q[letters.index(token[0])])
+        for a, b in zip(token, token[1:], strict=False):
+            row = np.array([pairs[ord(a), ord(c)] for c in letters]) + q
+            log += math.log(row[letters.index(b)] / row.sum())
+        text = min(1.0, math.exp(log + len(token) * math.log(len(letters))))
+        random_p = secrets.randomness_p(np.array([letters.index(c) for c in token]), len(letters))
+        return 1.0 if random_p < 0.01 else min(1.0, text / (2 * random_p))
+
+    tests = []
+    for i, text in enumerate(texts):
+        for a, b in runs(text or "", plain | set(signs)):
+            if b - a < 16:
+                continue
+            for c, d in runs(text, plain | set("+/_-")):
+                if not (a <= c and d <= b and d - c >= 16):
+                    continue
+                if encoded(text[c:d]):
+                    tests.append((i, c, b if text[d:b] in ("=", "==") else d, d))
+                    continue
+                tests += [(i, e, f, f) for e, f in runs(text, plain) if c <= e and f <= d and f - e >= 16 and encoded(text[e:f])]
+    kept = []
+    for i, text in enumerate(texts):
+        at = 0
+        for _, a, b, _ in sorted(t for t in tests if t[0] == i):
+            kept.append(text[at:a])
+            at = b
+        kept.append((text or "")[at:])
+    raw = "\n".join(kept).encode()
+    for a, b in zip(raw, raw[1:], strict=False):
+        if a < 128 and b < 128:
+            pairs[a, b] += 1
+    tests = [(i, a, b, end - a, judged(texts[i][a:end])) for i, a, b, end in tests]
+    out = {}
+    for band in {secrets.band_of(n) for *_, n, _ in tests}:
+        own = sorted((secrets._bin(t[4]), t) for t in tests if secrets.band_of(t[3]) == band)[::-1]
+        best = max((k + 1 for k, (at, _) in enumerate(own) if 10 ** (-at / 10) <= 0.01 * (sum(x >= at for x, _ in own)) / len(own)), default=0)
+        for _, (i, a, b, _, _) in own[:best]:
+            if not any(x < b and a < y for _, x, y in secrets.base_spans(texts[i])):
+                out.setdefault(i, []).append((a, b))
+    return out
+
+
+def test_random_spans_equal_the_slow_way(spark):
+    rng = random.Random(12)
+    prose = lambda: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(30))
+    draw = lambda name, n: "".join(rng.choice(secrets.ALPHABETS[name]) for _ in range(n))
+    texts = [None, "", *(prose() for _ in range(40))]
+    for name in secrets.ALPHABETS:
+        texts += [f"{prose()} {draw(name, n)} {prose()}" for n in (16, 22, 40)]
+    texts += [f"DB_CRED={draw('base62', 40)}", f"x={draw('base36', 40)}==", f"{draw('base64', 43)}= {prose()}", f"see /usr/lib/{prose().replace(' ', '/')}", "getThingNumber2OfTheListOfThings " * 3, "20240113120055123456 " + prose()]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    found = {r["doc_id"]: [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("random")] for r in secrets.find_secrets(df).collect()}
+    slow = slow_random_spans(texts)
+    assert {i: x for i, x in found.items() if x} == {i: sorted(x) for i, x in slow.items()}
+    assert sum(map(len, found.values())) >= 24
+
+
 # -- languages -------------------------------------------------------------------------------------------------
 
 LETTERS = {"aa": "abcdeaeiab", "bb": "klmnouklmo", "cc": "rstuvyrsty"}
@@ -303,3 +388,22 @@ def test_language_edges(spark, spoken):
     assert language_id.predict(unlabelled).select("lang_pred").distinct().collect()[0][0] == "und"
     assert language_id.predict(df.where("false")).count() == 0
     assert language_id.identify(df, language_id.fit(df)).columns[:3] == ["doc_id", "text", "lang"]
+
+
+def test_shares_equal_a_search_of_the_simplex():
+    """EM's shares and the choice of languages, against all mixtures in steps of a hundredth."""
+    rng = np.random.default_rng(3)
+    loglik = np.log(rng.dirichlet(np.full(language_id.BUCKETS, 0.02), 3).T + 1e-9).astype(np.float32)
+    model = language_id.Model(("aa", "bb", "cc"), loglik)
+    for text in ("some words of this and that " * 4, "a", "quite another text, with other letters: xyz qrs", "dies und das und jenes " * 9):
+        pred, score, shares = language_id.infer(text, model)
+        found, counts = np.unique(language_id.trigrams(text), return_counts=True)
+        weight, like = counts * language_id.EVIDENCE, np.exp(loglik[found].astype(float))
+        height = lambda s: float(weight @ np.log(like @ np.array(s)))
+        grid = [(a / 100, b / 100, (100 - a - b) / 100) for a in range(101) for b in range(101 - a)]
+        size = lambda s: sum(x > 0 for x in s)
+        cost = max(1.0, np.log(weight.sum()))
+        best = max(grid, key=lambda s: height(s) - cost * (size(s) - 1))
+        own = [shares.get(x, 0.0) for x in model.languages]
+        assert pred == model.languages[int(np.argmax(own))] and score == pytest.approx(max(own))
+        assert height(own) - cost * (size(own) - 1) >= height(best) - cost * (size(best) - 1) - 0.02
