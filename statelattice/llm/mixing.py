@@ -44,7 +44,8 @@ def with_permuted(rows: DataFrame, name: str, i: Column, n: Column, key: list[Co
     """rows with column `name`: the place of i in a keyed pseudorandom permutation of 0 .. n - 1 (back: the inverse).
 
     The network covers a*b >= n places with a = ceil(sqrt(n)); results from n on go round again. There are fewer
-    than a such places, so WALK steps always end for n <= WALK**2, and fail with a chance below WALK**-WALK beyond.
+    than a such places, so WALK steps always end for n <= WALK**2; beyond, a walk that doesn't (a chance below
+    WALK**-WALK) raises.
     The first two passes are projections, round by round; the few rows that need more go through a fold.
     """
     rows = rows.withColumns({"__x": i.cast("long"), "__n": n.cast("long")}).withColumn("__a", F.ceil(F.sqrt(F.col("__n").cast("double"))).cast("long"))
@@ -58,7 +59,8 @@ def with_permuted(rows: DataFrame, name: str, i: Column, n: Column, key: list[Co
             rows = rows.withColumn(mine, F.pmod(F.col(mine) - step if back else F.col(mine) + step, base))
         turned = right * a + left
         rows = rows.withColumn("__x", turned if first else F.when(x < F.col("__n"), x).otherwise(turned))
-    on = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), x, lambda y, _: F.when(y < F.col("__n"), y).otherwise(_feistel(y, a, b, key, back)))
+    ended = lambda y: F.when(y < F.col("__n"), y).otherwise(F.raise_error(F.lit("a walk of the block permutation did not end")).cast("long"))
+    on = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), x, lambda y, _: F.when(y < F.col("__n"), y).otherwise(_feistel(y, a, b, key, back)), ended)
     return rows.withColumn(name, F.when(x < F.col("__n"), x).otherwise(on)).drop("__x", "__n", "__a", "__b", "__l", "__r")
 
 
@@ -196,7 +198,8 @@ def mix_parts(
     """(doc_id, source, tie, size, copies, parts): what mix_sources counts, as the words themselves.
 
     parts has a struct (copy, round, from, to) for each longest run of words from .. to - 1 (counted from 0) that one
-    time round the source's blocks takes from one of the `copies` equal rows. Rows of which nothing is taken go.
+    time round the source's blocks takes from one of the `copies` equal rows. Rows of which nothing is taken go. Nulls,
+    repeated rows, clashing columns and empty tables are as in mix_sources.
     """
     drawn = _drawn(docs, weights, share, most, seed, id_col, text_col, source_col).where(F.col("to") > F.col("from"))
     parts = F.array_sort(F.collect_list(F.struct("copy", "round", "from", "to")))
@@ -212,7 +215,8 @@ def mix_parts(
 def drawn_documents(docs: DataFrame, parts: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """A row of docs for each of the parts, with its words as the text and the white space before each; a part that
     is the whole document has the text as it is. parts: mix_parts(docs), materialised; of rows that are equal in id,
-    source and text, one stands for all."""
+    source and text, one stands for all. Null texts and texts without words aren't drawn and go; no column name clashes,
+    as long as none starts with two underscores; an empty table gives an empty result."""
     text = F.col(text_col).cast("string")
     keyed = parts.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("tie").alias("__tie"), F.col("size").alias("__size"), F.col("copies").alias("__copies"), F.col("parts").alias("__parts"))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source"))
@@ -226,17 +230,3 @@ def drawn_documents(docs: DataFrame, parts: DataFrame, id_col: str = "doc_id", t
     some = F.flatten(F.transform(F.array(words), lambda w: F.transform("__parts", lambda p: F.when(whole(p), text).otherwise(cut(w, p)))))
     texts = F.when(F.forall("__parts", whole), F.transform("__parts", lambda p: text)).otherwise(some)
     return rows.withColumn(text_col, F.explode(texts)).select(*docs.columns)
-
-
-def mixed_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs as the mix takes them: as many whole copies as `taken` holds, then its remainder as the
-    first words of the text. Documents of which nothing is taken go. mixed: mix_sources(docs); equal rows of docs
-    are expected to be gone (near-duplicate removal), others of an id are told apart by their text."""
-    keyed = mixed.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), "size", "taken").where("taken > 0")
-    text = F.col(text_col).cast("string")
-    rows = docs.join(keyed, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__tie")))
-    whole, rest = F.floor(F.col("taken") / F.col("size")), F.pmod("taken", "size")
-    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
-    words = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"))
-    cut = F.when(F.col("__part") < 0, text).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("__part").cast("int")), ""))
-    return rows.withColumn("__part", F.explode(copies)).withColumn(text_col, cut).select(*docs.columns)

@@ -133,11 +133,41 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return rows.where(F.col("version") == version).select("slot", "shard")
 
 
+def latest_map(spark: SparkSession, path: str) -> SlotMap | None:
+    """The latest version at `path`; None where there is none."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    rows = spark.read.schema("slot int, shard int, version long").parquet(path)
+    version = rows.agg(F.max("version")).first()[0]
+    shard_of = [r["shard"] for r in rows.where(F.col("version") == version).orderBy("slot").collect()]  # one row a slot
+    return SlotMap(version, max(shard_of) + 1, tuple(shard_of))
+
+
+def edited(spark: SparkSession, path: str, shards: int, load: dict[int, int], slots: int = SLOTS) -> SlotMap:
+    """The map at `path` brought to `shards` shards of near equal load, every version saved there: the first one if
+    there is none, one for each shard by which it grows, and one for the moves that even the load out."""
+    now = latest_map(spark, path)
+    if now is None:
+        now = first_map(shards, slots)
+        save_map(spark, now, path)
+    if len(now.shard_of) != slots or now.shards > shards:
+        raise ValueError(f"the map at {path} has {len(now.shard_of)} slots and {now.shards} shards")
+    while now.shards < shards:
+        now = grow(now, load)
+        save_map(spark, now, path)
+    even = rebalance(now, load)
+    if even.edits:
+        save_map(spark, even, path)
+        return even
+    return now
+
+
 def virtual_slot(*key: str | Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(slots)).cast("int")
 
 
-def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot.
 
     size is the UTF-8 length of the text (null: 0) plus OVERHEAD; text_crc32 is over the UTF-8 text (null counts as
@@ -156,10 +186,8 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
     sums = slim.groupBy("virtual_slot", "part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     sums = materialize(sums, "shard-slots")  # SLOTS * SPREAD rows at most
     load = {r["virtual_slot"]: r["bytes"] for r in sums.groupBy("virtual_slot").agg(F.sum("bytes").alias("bytes")).collect()}
-    path = new_path(spark, "slot-map")
-    initial = first_map(shards, slots)
-    save_map(spark, initial, path)
-    save_map(spark, rebalance(initial, load), path)
+    path = map_path or new_path(spark, "slot-map")
+    edited(spark, path, shards, load, slots)
     placed = load_map(spark, path).withColumnRenamed("slot", "virtual_slot")
     before = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.join(F.broadcast(placed), "virtual_slot").withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0)))

@@ -130,12 +130,6 @@ def test_draws_are_multinomial_in_expectation_and_exact_in_total(spark):
         assert sorted(r["nth"] for r in slots.where(F.col("sid") == sid).collect()) == list(range(n))
 
 
-def test_mixed_documents(spark):
-    df = spark.createDataFrame([(1, " one  two\tthree", "a"), (2, "four five", "b"), (3, "", "b")], "doc_id long, text string, source string")
-    mixed = mixing.mix_sources(df, [1]).withColumn("taken", F.when(F.col("doc_id") == 1, 5).otherwise(0).cast("long"))
-    assert sorted(r["text"] for r in mixing.mixed_documents(df, mixed).collect()) == [" one  two", " one  two\tthree"]
-
-
 def test_drawn_documents_are_the_drawn_blocks(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(f"d{i}w{j}" for j in range(rng.choice([0, 3, 200, 900, 3000]))), rng.choice(["a", "b", "b", None])) for i in range(120)]
@@ -235,3 +229,47 @@ def test_snapshots_collapse(spark):
         want = "".join(f"<|im_start|>{r or ''}\n{x or ''}<|im_end|>\n" for r, x in s)
         assert found[c]["chat"] == (want if kept[c] else None)
     assert chat.format_chats(df.where("false")).count() == 0
+
+
+def test_stored_map_is_edited_and_grown(spark, tmp_path):
+    path = str(tmp_path / "map")
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, "x" * rng.randint(0, 400)) for i in range(2000)], "doc_id long, text string")
+    place = lambda shards: {r["doc_id"]: r for r in sharding.shard_by_bytes(df, shards, slots=256, map_path=path).collect()}
+    three = place(3)
+    version = sharding.latest_map(spark, path).version
+    assert {i: r["shard"] for i, r in place(3).items()} == {i: r["shard"] for i, r in three.items()}  # even already: no new version
+    assert sharding.latest_map(spark, path).version == version
+    four = place(4)
+    now = sharding.latest_map(spark, path)
+    assert now.shards == 4 and now.version > version
+    held = {v: {r["slot"]: r["shard"] for r in sharding.load_map(spark, path, v).collect()} for v in range(1, now.version + 1)}
+    assert all(len(m) == 256 for m in held.values())
+    for rows, m in ((three, held[version]), (four, held[now.version])):  # records are where the map says
+        assert all(m[r["virtual_slot"]] == r["shard"] for r in rows.values())
+    grown = {s: b for s, b in held[version + 1].items() if b != held[version][s]}
+    assert grown and set(grown.values()) == {3}  # growing moves slots to the new shard only
+    with pytest.raises(ValueError, match="shards"):
+        place(2)
+
+
+def test_taken_equals_counting_words_by_hand(spark):
+    """`taken` from the drawn blocks, word by word: blocks of each source by the order in which documents lie."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(rng.choice([0, 3, 300, 900]))), rng.choice(["a", "b", None])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix_sources(df, [3, 1, 2]).collect()}
+    parts = mixing.mix_parts(df, [3, 1, 2]).cache()
+    words = {i: t.split() for i, t, _ in rows}
+    counted, seen = {i: 0 for i in words}, {}
+    for r in mixing.drawn_documents(df, parts).collect():
+        own = r["text"].split()
+        counted[r["doc_id"]] += len(own)
+        at = words[r["doc_id"]].index(own[0])
+        assert words[r["doc_id"]][at : at + len(own)] == own  # a run of the document's words
+        for w in own:
+            seen[w] = seen.get(w, 0) + 1
+    assert counted == taken and max(seen.values()) <= 2
+    for source in ("a", "b", None):
+        own = [r for r in mixing.mix_sources(df, [3, 1, 2]).collect() if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 0.5
