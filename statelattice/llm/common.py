@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import Any
 
 import pyarrow as pa
@@ -32,24 +34,61 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder.setdefault(context.applicationId, tempfile.mkdtemp(prefix="statelattice-"))
 
 
+def _own_tables(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/statelattice/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/statelattice/{name}-{uuid.uuid4().hex}"
+    return f"{_own_tables(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that this application's operators have written to the shared folder. For when their results
+    have been written elsewhere: results that are still to be evaluated read these tables."""
+    _delete(spark, _own_tables(spark))
+
+
+_made: ContextVar[list[str] | None] = ContextVar("tables of the operator that is running", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[set[str]]:
+    """Deletes the tables that materialize() writes within, but for the folders in the set that this gives."""
+    before, made, kept = _made.get(), [], set()
+    mark = _made.set(made)
+    try:
+        yield kept
+    finally:
+        _made.reset(mark)
+        for folder in made:
+            if folder not in kept:
+                _delete(spark, folder)
+            elif before is not None:
+                before.append(folder)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: cuts the lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, kept: set[str] | None = None) -> DataFrame:
+    """df, written to the shared folder and read again: cuts the lineage and survives lost executors. With `kept`, the
+    table outlives the scratch() that this set is from."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
+    if kept is not None:
+        kept.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(table: DataFrame) -> None:
     """Deletes a table of materialize() of which nothing is read any more, whatever is still unevaluated."""
     if files := table.inputFiles():
-        spark, folder = table.sparkSession, files[0].rsplit("/", 1)[0]
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(table.sparkSession, files[0].rsplit("/", 1)[0])
 
 
 def join_spread(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -31,11 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, components, join_spread, materialize, only_ids
+from .common import BROADCAST_ROWS, components, join_spread, materialize, only_ids, scratch
 from .shingles import shingle_set
 
 #: Values that a sketch retains.
 K = 64
+#: Rows that are in the link graph.
+TAKES_PART = "n > 0 AND doc_id IS NOT NULL"
 #: Chance that a pair of large sets at the threshold isn't found.
 MISS = 2e-8
 #: Longest inverted list that is joined with itself; longer ones are compared in blocks.
@@ -214,19 +216,10 @@ def _shared_ids(rows: DataFrame, classes: DataFrame, again: DataFrame) -> DataFr
     return join_spread(own, low, "doc_id").select(F.col("cid").alias("a"), "b").where("a <> b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): one row for each row of docs.
-
-    Documents are linked where 100 * intersection >= percent * union of their shingle sets; component_id is
-    the smallest id that links reach, and kept marks that document. A null or wordless text has an empty set
-    and is linked with nothing. A row without an id is kept, has no component_id and takes no part. Repeated
-    rows share a component. Rows that share an id but not a text are linked with each other. A very long text is
-    hashed whole. Other columns, whatever their names, aren't read. An empty table gives an empty result.
-    """
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    rows = materialize(_sketches(text, width).withColumn("rid", F.monotonically_increasing_id()), "sketches")
-    takes_part = F.expr("n > 0 AND doc_id IS NOT NULL")
-    filled = rows.where(takes_part)
+def _components(text: DataFrame, width: int, percent: int, kept: set[str]) -> tuple[DataFrame, DataFrame]:
+    """Sketched rows of text(doc_id, text), and (digest, component_id) of those that take part; both are `kept`."""
+    rows = materialize(_sketches(text, width).withColumn("rid", F.monotonically_increasing_id()), "sketches", kept)
+    filled = rows.where(TAKES_PART)
     # a class goes by the number of a row of its least id
     classes = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "rid")).alias("x")).select("digest", "x.doc_id", F.col("x.rid").alias("cid"))
     classes = materialize(classes, "classes")
@@ -237,9 +230,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def sets_of(wanted: DataFrame) -> DataFrame:
         return _full_sets(text, classes, again, wanted, width)
 
-    kept = sketch.select("cid", F.explode("sketch").alias("v"))
-    hot = materialize(kept.groupBy("v").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > SHORT).select("v"), "frequent")
-    hots = kept.join(hot, "v").groupBy("cid").agg(F.collect_set("v").alias("hots"))  # at most K each
+    retained = sketch.select("cid", F.explode("sketch").alias("v"))
+    hot = materialize(retained.groupBy("v").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > SHORT).select("v"), "frequent")
+    hots = retained.join(hot, "v").groupBy("cid").agg(F.collect_set("v").alias("hots"))  # at most K each
     need, shared = F.ceil(F.col("n") * percent / 100), least_shared(percent)
     # partners of a set of up to K * percent / 100 are retained whole as well
     first = F.when(F.col("n") <= K * percent // 100, F.col("n") - need + 1).otherwise(F.greatest(F.lit(1), F.size("sketch") - shared + 1)).cast("int")
@@ -272,7 +265,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classes.join(roots, "cid", "left").select("digest", "doc_id", F.coalesce("root", "cid").alias("root"))
     named = materialize(named, "class-roots")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = materialize(join_spread(named.select("digest", "root"), least, "root").select("digest", "component_id"), "class-components")
+    found = materialize(join_spread(named.select("digest", "root"), least, "root").select("digest", "component_id"), "class-components", kept)
+    return rows, found
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): one row for each row of docs.
+
+    Documents are linked where 100 * intersection >= percent * union of their shingle sets; component_id is
+    the smallest id that links reach, and kept marks that document. A null or wordless text has an empty set
+    and is linked with nothing. A row without an id is kept, has no component_id and takes no part. Repeated
+    rows share a component. Rows that share an id but not a text are linked with each other. A very long text is
+    hashed whole. Other columns, whatever their names, aren't read. An empty table gives an empty result.
+    """
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    with scratch(docs.sparkSession) as kept:
+        rows, found = _components(text, width, percent, kept)
+    takes_part = F.expr(TAKES_PART)
+    filled = rows.where(takes_part)
     joined = join_spread(filled.select("doc_id", "n", "digest", "rid"), found, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where(~takes_part).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return joined.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

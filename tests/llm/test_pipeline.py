@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statelattice.llm import queries
-from statelattice.llm.common import materialize
+from statelattice.llm.common import materialize, scratch
 from statelattice.llm.near_dedup import near_duplicates
 
 DATA = Path("/root/testdata/sf0.001")
@@ -59,6 +59,52 @@ def test_empty_pipeline(spark):
     assert docs.count() == 0
 
 
+def test_clashing_columns(spark):
+    rows = [(i, " ".join(f"w{i}x{k % 50}" for k in range(300)), "en", f"s{i % 2}", 1, 7, 8, "t", 9, "p") for i in range(12)]
+    wide = SCHEMA + ", size int, taken int, tie string, copies int, parts string"
+    docs = spark.createDataFrame(rows, wide)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, ""), "clash")
+        assert docs.dtypes == spark.createDataFrame([], wide).dtypes, name
+        assert docs.count() and docs.where("size <> 7 OR taken <> 8 OR tie <> 't'").isEmpty()
+
+
+def test_scratch_tables_go(spark):
+    with scratch(spark) as kept:
+        gone = materialize(spark.range(3), "gone")
+        stays = materialize(spark.range(4), "stays", kept)
+    assert stays.count() == 4 and not Path(gone.inputFiles()[0].removeprefix("file:")).exists()
+
+
+#: The columns that each query returns at least.
+RETURNED = {
+    "op1_near_dedup": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    "op2_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op3_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op4_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op5_top_k": "query_id bigint, rank int, vec_id bigint, distance int",
+    "op6_secrets": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
+    "op7_chat": "conv_id bigint, n_turns bigint, kept boolean, chat_md5 string",
+    "op8_media": "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string",
+    "op9_token_files": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+    "op10_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+}
+
+
+@pytest.mark.parametrize("name", RETURNED)
+def test_queries_return_their_columns(spark, tmp_path, name):
+    texts = [None, "", "some words here, and more of them", "some words here, and more of them", "x" * 30_000, "é 漢"]
+    docs = spark.createDataFrame([(i if i < 5 else None, t, "en", "s", 3) for i, t in enumerate(texts)], SCHEMA)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(100 * i, [float(i - k) for k in range(64)], 1) for i in range(3)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "bot", None)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    out = queries.QUERIES[name](spark, str(tmp_path))
+    kinds = dict(out.dtypes)
+    assert {c: kinds.get(c) for c in (x.split()[0] for x in RETURNED[name].split(", "))} == {c: k for c, k in (x.split() for x in RETURNED[name].split(", "))}
+    rows = out.collect()
+    assert len(rows) == {"op5_top_k": 9, "op7_chat": 2}.get(name, len(texts))
+
+
 def test_queries_cover_the_operators():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.ORACLES) <= set(queries.QUERIES)
