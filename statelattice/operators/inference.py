@@ -1,8 +1,8 @@
 """Scoring and decoding of sequence tables (seq_id, xs).
 
-Small models are scored by a fold in Catalyst: no Python worker starts, and only the present step's values are kept,
-however long a sequence is. Everything that needs whole lattices (backward values, posteriors, paths), and larger
-models, runs in NumPy over Arrow batches, many sequences at a time. See plans.policy for the choice.
+Scores come from NumPy over Arrow batches, many sequences at a time, or from a fold in Catalyst: no Python worker
+starts, and only the present step's values are kept, however long a sequence is. See plans.policy for the choice.
+Everything that needs whole lattices (backward values, posteriors, paths) runs in NumPy.
 
 Empty and NULL sequences have no result rows. NULL inside a sequence counts as NaN, which no emission supports.
 """

@@ -176,7 +176,7 @@ def _log_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(model: Hmm, what: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return inference.score(event_sequences(spark, sf_dir, what), model).select("seq_id", "n", r6(F.col("logp")).alias("logp"))
+        return inference.score(event_sequences(spark, sf_dir, what), model, fold=True).select("seq_id", "n", r6(F.col("logp")).alias("logp"))
 
     return query
 
@@ -220,7 +220,7 @@ def _path(decode: Callable[[DataFrame, Hmm], DataFrame]) -> Query:
 
 
 def _viterbi_logprob(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inference.viterbi_score(_log_values(spark, sf_dir), MODEL).select("seq_id", "n", r6(F.col("logp")).alias("logp"))
+    return inference.viterbi_score(_log_values(spark, sf_dir), MODEL, fold=True).select("seq_id", "n", r6(F.col("logp")).alias("logp"))
 
 
 def _normalized(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,3 +176,18 @@ def test_null_observations_are_left_out(spark):
     df = spark.createDataFrame([(1.0,), (None,), (3.0,)], "x double")
     assert fit_column(df, Gaussian(), "x") == Gaussian(2.0, 1.0)
     assert df.select(Gaussian().column(F.col("x")).alias("p")).where("p IS NULL").count() == 0
+
+
+@pytest.mark.parametrize("root", [1e-9, 0.003, 1.0, 77.7, 1e8])
+@pytest.mark.parametrize("start", [1e-3, 1.0, 1e4])
+def test_root_search(root, start):
+    rounds = []
+
+    def f(x):
+        rounds.append(x)
+        return math.log(x / root) * (1 + 0.3 * math.sin(x))
+
+    assert special.solve(f, start, 1e-12, 1e12) == pytest.approx(root, rel=1e-10)
+    assert len(rounds) < 150
+    assert special.solve(lambda x: -1.0, 1.0, 1e-3, 1e3) == 1e3 and special.solve(lambda x: 1.0, 1.0, 1e-3, 1e3) == 1e-3
+    assert special.solve(lambda x: math.nan, 2.0, 1e-3, 1e3) == 2.0

@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 
 from statelattice.operators import inference, kmeans, restarts, sampling, selection, training
-from statelattice.operators.emissions import Discrete, Gaussian, NegativeBinomial, Poisson, Weibull
+from statelattice.operators.emissions import Discrete, Gaussian, NegativeBinomial, Poisson, Weibull, fit_column
 from statelattice.operators.model import Hmm
-from statelattice.operators.multivariate import DiagonalGaussian, FullCovarianceGaussian
+from statelattice.operators.multivariate import DiagonalGaussian, FullCovarianceGaussian, IndependentComponents
 from statelattice.operators.topology import Topology, enforce, initialize
 
 # 107 yearly counts of large earthquakes, a public series used in many texts on hidden Markov models.
@@ -210,3 +210,32 @@ def test_best_of_n(spark, sequences):
         restarts.fit_best_of_n(few, START, 0)
     with pytest.raises(ValueError):
         restarts.fit_best_of_n(few.where("false"), START, 1)
+
+
+def test_restarts_train_in_common_jobs(spark, monkeypatch):
+    """The number of expectation jobs is that of the restart that takes longest, not the sum over restarts."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, [float(v) for v in rng.normal(3 * (i % 2), 1, 40)]) for i in range(8)], "seq_id long, xs array<double>").cache()
+    model = Hmm((0.5, 0.5), ((0.9, 0.1), (0.1, 0.9)), (Gaussian(0.0, 1.0), Gaussian(1.0, 1.0)))
+    alone = [training.baum_welch(df, m, 12) for m in (model, restarts.randomized(df, model, 5, 1), restarts.randomized(df, model, 5, 2))]
+    jobs, reduce_ = [], training._reduce
+    monkeypatch.setattr(training, "_reduce", lambda *a: jobs.append(len(a[1])) or reduce_(*a))
+    best = restarts.fit_best_of_n(df, model, 3, seed=5, max_iterations=12)
+    assert len(jobs) == max(len(t.history) for t in alone) and jobs[0] == 3
+    found = [inference.total_log_likelihoods(df, {0: t.model})[0][1] for t in alone]
+    assert best.logp == pytest.approx(max(found)) and best.reached_max_iterations == (not best.converged)
+
+
+def test_vectors_of_other_sizes_are_refused(spark):
+    for rows in ([[1.0, 2.0], [3.0, 4.0], [5.0, 6.0, 100.0]], [[1.0, 2.0], [3.0]]):
+        df = spark.createDataFrame([(r,) for r in rows], "x array<double>")
+        for start in (DiagonalGaussian((0, 0), (1, 1)), FullCovarianceGaussian((0, 0), ((1, 0), (0, 1))), IndependentComponents((Gaussian(), Gaussian()))):
+            with pytest.raises(ValueError, match="vectors differ in size"):
+                fit_column(df, start, "x")
+
+
+def test_equal_points_count_in_seeding(spark):
+    """A point that is held by nearly all rows is nearly always the first centre."""
+    points = spark.createDataFrame([([0.0],)] * 300 + [([float(i)],) for i in range(1, 4)], "x array<double>")
+    firsts = [kmeans.seed_centres(points, 1, seed=s)[0][0] for s in range(12)]
+    assert firsts.count(0.0) >= 10
