@@ -195,7 +195,7 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
     nth = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "size", "text_crc32"))
     return (
         slim.withColumn("nth", nth)
-        .join(F.broadcast(starts), ["virtual_slot", "part"])
+        .join(starts, ["virtual_slot", "part"])  # both are dealt by these keys; broadcast only where Spark finds it small
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
     )
 
