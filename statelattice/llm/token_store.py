@@ -18,7 +18,9 @@ from .chunk_store import ITEMS, gear_cuts, item_batch, read_back, write_store
 from .common import join_spread, materialize
 
 #: Encoded words that a worker remembers, and the longest word it does (characters).
-WORDS, CHARS = 800_000, 64
+WORDS, CHARS = 1_000_000, 64
+#: Bytes of text from which texts are encoded together, and rows at most.
+TOGETHER, ROWS = 6 << 20, 4096
 # The normaliser and the pre-tokeniser for which words can be encoded one by one, and the pieces that
 # this pre-tokeniser makes of a normalised text.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -31,9 +33,32 @@ PRE_TOKENIZER = {
     ],
 }
 SPLIT = regex.compile(PIECES)
-#: Up to here (U+024F) every character is its own NFC form and lower case goes character by character.
-PLAIN = "\u024f"
-BEYOND = regex.compile("[^\\x00-\u024f]")
+#: Up to here (U+023F) every character is its own NFC form and lower case goes character by character; in UTF-8, no
+#: byte of them is above PLAIN_BYTE and each byte of the characters beyond starts with one that is.
+PLAIN, PLAIN_BYTE = "\u023f", 0xC8
+
+# Bytes of plain text by kind: white space, letters, digits, signs, and those whose kind isn't plain from the byte alone
+# or which may be part of a piece of two kinds (the apostrophe).
+SPACE, LETTER, DIGIT, SIGN, UNCLEAR = range(5)
+KIND = np.full(256, UNCLEAR, np.uint8)
+KIND[0x21:0x7F] = SIGN
+KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+KIND[0x30:0x3A] = DIGIT
+KIND[[*range(9, 14), 0x20]] = SPACE
+KIND[ord("'")] = UNCLEAR
+
+
+def _parts_here() -> np.ndarray:
+    """Whether a part of a text starts between bytes of two kinds, at 8 * kind before + kind after: where PIECES surely
+    ends a piece, and never beside what is unclear but for white space."""
+    out = np.zeros(64, bool)
+    for a in range(5):
+        for b in range(1, 5):
+            out[8 * a + b] = a == SPACE or (UNCLEAR not in (a, b) and (a != b or a == DIGIT))
+    return out
+
+
+STARTS = _parts_here()
 
 
 def byte_alphabet() -> list[str]:
@@ -55,7 +80,7 @@ def by_words(path: str) -> bool:
 class WordEncoder(dict):
     """Ids (as bytes) of words, for a tokenizer whose words end at white space (by_words); of whole texts for others.
 
-    Each distinct word is encoded once. A word of plain characters is lower-cased and split here, and what can't be
+    Each distinct word is encoded once; plain texts are cut and looked up many at a time (encode_all). A word of plain characters is lower-cased and split here, and what can't be
     split goes to the library's BPE model. Any other word goes through the whole library pipeline.
     """
 
@@ -99,11 +124,55 @@ class WordEncoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        if not self.by_words:
-            return self._library(text)
-        if not BEYOND.search(text):  # fewer distinct words in lower case
-            text = text.lower()
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if self.by_words else self._library(text)
+
+    def _together(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of plain texts in lower case, without `<|`: each distinct part of theirs is looked up once."""
+        data = np.frombuffer(b" ".join([b"", *texts]), np.uint8)
+        kind = KIND[data]
+        starts = np.concatenate([[False], STARTS[(kind[:-1] << 3) | kind[1:]]])
+        ends = np.cumsum([1 + len(x) for x in texts])
+        last = np.searchsorted(np.flatnonzero(starts), ends)  # parts up to the end of each text
+        solid = kind != SPACE
+        offsets = np.append(np.flatnonzero(starts[solid]), np.count_nonzero(solid)).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data[solid])]).dictionary_encode()
+        ids = pa.array(list(map(self.__getitem__, parts.dictionary.to_numpy(zero_copy_only=False).tolist())), pa.binary()).take(parts.indices)
+        at = np.append(0, np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1)[last]) if len(ids) else np.zeros(len(texts) + 1, np.int32)
+        joined = ids.buffers()[2].to_pybytes() if len(ids) else b""
+        return [joined[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text (UTF-8; what isn't counts as U+FFFD)."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        owners: list[int] = []
+        held: list[bytes] = []
+
+        def finish() -> None:
+            for i, ids in zip(owners, self._together(held) if held else [], strict=True):
+                out[i].append(ids)
+            owners.clear()
+            held.clear()
+
+        room = TOGETHER
+        for i, text in enumerate(texts):
+            plain = text.isascii() or np.frombuffer(text, np.uint8).max() <= PLAIN_BYTE
+            if not (self.by_words and plain) or b"<|" in text:
+                out[i].append(self.encode(text.decode("utf-8", "replace")))
+                continue
+            text = text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
+            at = 0
+            while at < len(text):  # a very long text goes on at white space
+                end = text.find(b" ", at + TOGETHER) if len(text) - at > TOGETHER else -1
+                end = len(text) if end < 0 else end
+                owners.append(i)
+                held.append(text[at:end])
+                room -= end - at
+                at = end
+                if room <= 0:
+                    finish()
+                    room = TOGETHER
+        finish()
+        return [b"".join(x) for x in out]
 
 
 def encode_words(docs: DataFrame, path: str, end_id: int, cuts: Callable[[bytes], list[int]], unit: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,9 +187,9 @@ def encode_words(docs: DataFrame, path: str, end_id: int, cuts: Callable[[bytes]
             encoder = memo.value["encoder"] = WordEncoder(path, unit)
         encoder.trim()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [encoder.encode((x.as_py() or b"").decode("utf-8", "replace")) + end for x in part.column(1)]
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                ids = [x + end for x in encoder.encode_all([x.as_py() or b"" for x in part.column(1)])]
                 yield item_batch(part.column(0), pa.nulls(len(ids), pa.int64()), ids, cuts)
 
     text = F.col(text_col).cast("string").cast("binary")

@@ -65,6 +65,23 @@ def test_word_encoder_equals_the_library():
         assert np.frombuffer(own.encode(t), "<u2").tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_texts_encoded_together_equal_the_library(monkeypatch):
+    own = token_store.WordEncoder(WORDS, "<u2")
+    rng = random.Random(4)
+    signs = ["'", "s", "S", "ll", "re", "a", "É", "é", "ß", "İ", "Ⱥ", "!", "1", "2", " ", "\n", "\t", "\u00a0", "\u0085", "\x1c", "\0", "...", ".", "-", "_", "|", "<", "ª", "²"]
+    beyond = [*signs, "Σ", "中", "e\u0301", "=\u0338", "<|", "<|endoftext|>", "\u200b", "🙂"]
+    texts = ["".join(rng.choice(kinds) for _ in range(rng.randint(0, 30))) for kinds in (signs, beyond) for _ in range(4000)]
+    texts += ["", " ", "\n\n", "one two " * 300, "x" * 3000]
+    want = [np.array(own.tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    data = [t.encode() for t in texts]
+    assert own.encode_all(data) == want
+    monkeypatch.setattr(token_store, "TOGETHER", 100)
+    assert own.encode_all(data) == want
+    assert own.encode_all([]) == [] and own.encode_all([b""]) == [b""]
+    broken = [b"a\x85b", b"\xc3", b"ok\xffno, x"]
+    assert own.encode_all(broken) == [own.encode(x.decode("utf-8", "replace")) for x in broken]
+
+
 def test_token_files(spark):
     texts = ODD + ["same text here " * 500] * 3 + ["same text here " * 500 + "end"]
     rows = [(10 - i, t) for i, t in enumerate(texts)] + [(4, "repeated id")]
