@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: Ranks in one word of the lower bitmap.
 WORD = 256
 #: Encoded pre-tokens that a task remembers, and the longest it does (characters).
@@ -209,7 +211,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
 
     text: Column = F.col(text_col).cast("string").cast("binary")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(lean(run), schema)
 
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -221,4 +223,4 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             data = [x.is_valid and codec.decode(np.frombuffer(x.as_py(), "<u4")) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is False else x for x in data], pa.binary())], ["doc_id", "data"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, data binary")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,6 +22,10 @@ BROADCAST_ROWS = 500_000
 #: Rows of one key from which a join deals them out.
 HOT_ROWS = 4096
 
+#: Bytes of an Arrow batch, about, after small_batches().
+BATCH_BYTES = 4 << 20
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _own_folder: dict[str, str] = {}
 
 
@@ -141,6 +147,35 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session's Arrow batches hold BATCH_BYTES or little more, or less where it says so already.
+
+    A batch of 10,000 texts or 64 MB, Spark's limits, is held by the JVM outside of its heap, where its buffer doubles
+    as it grows, and by the Python worker, once for each task of an executor."""
+    limit = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_LIMIT))
+    if not 0 < limit <= BATCH_BYTES:
+        spark.conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Returns what this process has freed to the system: Arrow's and C's allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if os.name == "posix" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):  # glibc
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, in workers that hold no more between tasks than they use. Spark keeps its Python workers from
+    stage to stage, each beside the JVM's heap; what the task before has left is freed only when the next one begins."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def map_texts(df: DataFrame, text_col: str, new: dict[str, tuple[DataType, pa.DataType]], of: Callable[[str | None], tuple[Any, ...]]) -> DataFrame:
     """df with the columns `new`, computed from one text at a time; a column of the same name is replaced in place.
 
@@ -160,4 +195,4 @@ def map_texts(df: DataFrame, text_col: str, new: dict[str, tuple[DataType, pa.Da
                 columns = [made[text_col] if p == at and text_col in made else part.column(p) for p in places]
                 yield pa.RecordBatch.from_arrays([*columns, *(made[n] for n in made if n != text_col)], [f.name for f in order])
 
-    return df.mapInArrow(run, StructType(order))
+    return df.mapInArrow(lean(run), StructType(order))

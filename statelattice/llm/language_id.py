@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, MapType, StringType
 
-from .common import map_texts
+from .common import lean, map_texts
 
 #: Buckets of hashed trigrams; documents of each language that are fitted on, at most; EM steps, at most.
 BUCKETS, SAMPLE, STEPS = 1 << 16, 1000, 20
@@ -85,7 +85,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", ord
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at], pa.int64())], ["lang", "bucket", "n"])
 
-    found = chosen.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows a language at most
+    found = chosen.mapInArrow(lean(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows a language at most
     languages = tuple(sorted(found["lang"].unique()))
     counts = np.zeros((BUCKETS, len(languages)))
     for i, lang in enumerate(languages):

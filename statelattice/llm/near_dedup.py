@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, components, join_spread, materialize, only_ids, scratch
+from .common import BROADCAST_ROWS, components, join_spread, lean, materialize, only_ids, scratch
 from .shingles import shingle_set
 
 #: Values that a sketch retains.
@@ -79,7 +79,7 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
                     ["doc_id", "n", "digest", "sketch"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, sketch array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, digest binary, sketch array<long>")
 
 
 def _hashed(texts: DataFrame, width: int, kind: str) -> DataFrame:
@@ -93,7 +93,7 @@ def _hashed(texts: DataFrame, width: int, kind: str) -> DataFrame:
                 columns = [part.column(0), pa.array([_digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["cid", "digest", "hs"])
 
-    return texts.mapInArrow(run, f"cid {kind}, digest binary, hs binary")
+    return texts.mapInArrow(lean(run), f"cid {kind}, digest binary, hs binary")
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, again: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -127,7 +127,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     a, b = sets.toDF("a", "ha"), sets.toDF("b", "hb")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "ha", "hb").mapInArrow(lean(run), "a long, b long")
 
 
 def _forest(percent: int):

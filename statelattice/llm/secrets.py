@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import map_texts
+from .common import lean, map_texts
 
 # The base kinds in their listed order, and their patterns.
 KINDS = ("assign", "access", "hex", "random")
@@ -215,7 +215,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
 
     texts = docs.select(_text(docs, text_col))
     pairs = np.zeros(1 << 14, np.int64)
-    for pair, n in texts.mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n")).collect():  # 16,384 rows at most
+    for pair, n in texts.mapInArrow(lean(count), "pair int, n long").groupBy("pair").agg(F.sum("n")).collect():  # 16,384 rows at most
         pairs[pair] = n
     pairs = pairs.reshape(128, 128)
 
@@ -228,7 +228,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
         band, at = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(band, pa.int32()), pa.array(at, pa.int32()), pa.array(total[band, at], pa.int64())], ["band", "bin", "n"])
 
-    found = texts.mapInArrow(test, "band int, bin int, n long").groupBy("band", "bin").agg(F.sum("n").alias("n")).collect()  # BANDS * BINS at most
+    found = texts.mapInArrow(lean(test), "band int, bin int, n long").groupBy("band", "bin").agg(F.sum("n").alias("n")).collect()  # BANDS * BINS at most
     return Model(pairs, cuts_of([(r["band"], r["bin"], r["n"]) for r in found]))
 
 
@@ -283,7 +283,7 @@ def find_secrets(docs: DataFrame, model: Model | None = None, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), _text(docs, text_col)).mapInArrow(
-        run, "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
+        lean(run), "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
     )
 
 

@@ -1,14 +1,17 @@
 from __future__ import annotations
 
 import hashlib
+import subprocess
+import sys
 from pathlib import Path
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from statelattice.llm import queries
-from statelattice.llm.common import materialize, scratch
+from statelattice.llm.common import BATCH_BYTES, materialize, scratch
 from statelattice.llm.near_dedup import near_duplicates
 
 DATA = Path("/root/testdata/sf0.001")
@@ -59,6 +62,58 @@ def test_empty_pipeline(spark):
     assert docs.count() == 0
 
 
+#: Prints MB before a task, with its buffers, and after it.
+TASK = """
+import re
+import pyarrow as pa
+from statelattice.llm.common import lean
+
+def resident():
+    return int(re.search(r"VmRSS:\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+
+def fill(batches):
+    for _ in batches:
+        held = [pa.array([bytes(1 << 18)]) for _ in range(1000)]
+        yield resident()
+
+before = resident()
+print(before, *lean(fill)([None]), resident())
+"""
+
+
+def test_workers_give_memory_back():
+    if not Path("/proc/self/status").exists():
+        pytest.skip("no /proc")
+    out = subprocess.run([sys.executable, "-c", TASK], capture_output=True, text=True, check=True, cwd=Path(corpus_pipeline.__file__).parent).stdout
+    before, full, after = map(int, out.split())
+    assert full > before + 200 and after < before + 50
+
+
+@pytest.mark.parametrize("name", ["language_id", "near_dedup", "secrets", "bpe"])
+def test_stages_keep_batches_small(spark, name):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(i, f"some words {i} " * 2000, "en", "s", 1) for i in range(600)], SCHEMA).coalesce(1)
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], ["b"])
+
+    def largest():
+        return max(r["b"] for r in docs.mapInArrow(sizes, "b long").collect())
+
+    try:
+        spark.conf.set(key, "64m")
+        assert largest() > 2 * BATCH_BYTES
+        dict(corpus_pipeline.STAGES)[name](spark, docs.limit(5), "")
+        assert largest() < 1.5 * BATCH_BYTES
+        spark.conf.set(key, "64k")  # a lower limit stays
+        dict(corpus_pipeline.STAGES)[name](spark, docs.limit(5), "")
+        assert spark.conf.get(key) == "64k"
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_clashing_columns(spark):
     rows = [(i, " ".join(f"w{i}x{k % 50}" for k in range(300)), "en", f"s{i % 2}", 1, 7, 8, "t", 9, "p") for i in range(12)]
     wide = SCHEMA + ", size int, taken int, tie string, copies int, parts string"
