@@ -15,6 +15,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +65,11 @@ def _scored(model: Hmm, sequences: DataFrame, join: Callable[[Column], Column])
 def _lists(column: pa.Array, model: Hmm) -> list[np.ndarray]:
     """The sequences of an Arrow list column, T or T x D each."""
     if model.multivariate:
+        vectors = column.flatten()
+        sizes = vectors.value_lengths()
+        if len(vectors) and not vectors.null_count and sizes[0].as_py() and pc.min_max(sizes)["min"] == pc.min_max(sizes)["max"]:
+            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
+            return np.split(flat, np.cumsum(column.value_lengths().to_numpy())[:-1])
         out = []
         for s in column:
             rows = [[math.nan if v is None else v for v in (r or [])] for r in s.as_py()]

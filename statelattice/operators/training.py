@@ -1,18 +1,18 @@
 """Learning: Baum-Welch (maximum likelihood and MAP), Viterbi training, segmental k-means.
 
-Models are values: a step takes one and returns another. The expectation step is one Spark job that reduces every
-Arrow batch of sequences to a row of sufficient statistics and sums these; only that row reaches the driver, where
-the maximisation step solves for the new parameters. Emission fits that need the data again (see
+Models are values: a step takes one and returns another. Sequences are packed once (see blocks). The expectation step
+is one Spark job without a shuffle that reduces the blocks of each task to a row of sufficient statistics; only these
+rows reach the driver, where the maximisation step solves for the new parameters. Emission fits that need the data again (see
 emissions.Emission.fitting) ask for further sums under the same posteriors.
 
-Sequence tables are (seq_id, xs). Cache them: each iteration reads them anew, and nothing else grows.
+Sequence tables are (seq_id, xs). Trainers that iterate keep the packed blocks cached.
 """
 
 from __future__ import annotations
 
 import math
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.logspace import safe_log
 from ..functions.special import ZERO
-from . import inference, kernels
+from . import blocks, inference
 from .emissions import Discrete, Emission, Stat, fit_groups, fit_many, of_arrays
 from .model import Hmm
 from .topology import Topology, enforce
@@ -44,66 +44,77 @@ class Expectation:
 Request = tuple[Hmm, dict[int, dict[str, Stat]]]
 
 
-def _reduce(sequences: DataFrame, requests: dict[int, Request]) -> dict[int, tuple[Expectation, dict[int, dict[str, float]]]]:
-    """The expectation step of several models, and further statistics under their posteriors, in one job."""
-    first = {"sum": 0.0, "min": math.inf, "max": -math.inf}
-    merge = {"sum": lambda p, q: p + q, "min": min, "max": max}
-    keys = {r: [(i, name, how) for i, want in wants.items() for name, (how, _) in want.items()] for r, (_, wants) in requests.items()}
-    # sums: sequences, logp, initial, transitions, leaving, occupancy, then the emission statistics
-    width = {r: 2 + 3 * model.states + model.states**2 for r, (model, _) in requests.items()}
-    any_model = next(iter(requests.values()))[0]
+FIRST = {"sum": 0.0, "min": math.inf, "max": -math.inf}
+MERGE = {"sum": np.add, "min": np.minimum, "max": np.maximum}
+
+
+def _totals(packed: DataFrame, hows: dict[int, list[str]], add: Callable[[blocks.Block, dict[int, np.ndarray]], None], multivariate: bool) -> dict[int, np.ndarray]:
+    """Rows of values, each combined as `hows` says: add() adds a block to a task's rows, and a task's rows are all that
+    reaches the driver, where they are combined in the order of the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {r: np.zeros(w) for r, w in width.items()}
-        stats = {r: np.array([first[how] for _, _, how in k]) for r, k in keys.items()}
+        rows = {r: np.array([FIRST[how] for how in h]) for r, h in hows.items()}
         for batch in batches:
-            xs = inference._lists(batch.column(0), any_model)
-            sizes = np.array([len(s) for s in xs], int)
-            for part in kernels.blocks(sizes, max(m.states for m, _ in requests.values())):
-                for r, (model, wants) in requests.items():
-                    own, lengths = [xs[i] for i in part], sizes[part]
-                    b = kernels.emissions(model, own)
-                    a = kernels.forward(model, b, lengths)
-                    logp = kernels.log_likelihood(a)
-                    ok = np.isfinite(logp)
-                    if not ok.any():
-                        continue
-                    own, lengths, b, a, logp = [s for s, k in zip(own, ok, strict=True) if k], lengths[ok], b[ok], a[ok], logp[ok]
-                    beta = kernels.backward(model, b, lengths)
-                    gamma = kernels.posteriors(a, beta, logp)
-                    t = np.arange(b.shape[1])[None, :]
-                    here, leaves = t < lengths[:, None], t < lengths[:, None] - 1
-                    xi = kernels.transitions(model, a, b, beta, logp, lengths)
-                    total[r] += np.concatenate([[len(own), logp.sum()], gamma[:, 0].sum(0), xi.reshape(-1), gamma[leaves].sum(0), gamma[here].sum(0)])
-                    if keys[r]:
-                        x, w = np.concatenate(own), gamma[here]
-                        found = {i: of_arrays(want, x, w[:, i]) for i, want in wants.items()}
-                        for at, (i, name, how) in enumerate(keys[r]):
-                            stats[r][at] = merge[how](stats[r][at], found[i][name])
-        for r in requests:
-            n = width[r] + len(keys[r])
-            columns = [pa.array(np.full(n, r), pa.int32()), pa.array(np.arange(n), pa.int32()), pa.array(np.concatenate([total[r], stats[r]]), pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["r", "k", "v"])
-
-    rows = inference._filled(sequences).select("xs").mapInArrow(run, "r int, k int, v double")
-    found = rows.groupBy("r", "k").agg(F.sum("v").alias("sum"), F.min("v").alias("min"), F.max("v").alias("max")).collect()  # one row a statistic
-    by = {(x["r"], x["k"]): x for x in found}
+            for data in blocks.unpacked(batch, multivariate):
+                add(data, rows)
+        columns = [pa.array(list(rows), pa.int32()), pa.array([v.tobytes() for v in rows.values()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["r", "v"])
+
+    found = packed.mapInArrow(run, "r int, v binary").collect()  # one row a task and model
+    out = {}
+    for r, h in hows.items():
+        each = np.stack([np.array([FIRST[how] for how in h]), *(np.frombuffer(x["v"]) for x in found if x["r"] == r)])
+        kind = np.array(h)
+        out[r] = np.empty(len(h))
+        for how, merge in MERGE.items():
+            out[r][kind == how] = merge.reduce(each[:, kind == how], 0)
+    return out
+
+
+def _statistics(keys: list[tuple[int, str, str]], wants: dict[int, dict[str, Stat]], row: np.ndarray, at: int, of: Callable[[int], tuple[np.ndarray, np.ndarray]]) -> None:
+    """Merges the statistics of a block, of(state) giving observations and weights, into row from `at` on."""
+    found = {i: of_arrays(want, *of(i)) for i, want in wants.items()}
+    for k, (i, name, how) in enumerate(keys, at):
+        row[k] = MERGE[how](row[k], found[i][name])
+
+
+def _keys(wants: dict[int, dict[str, Stat]]) -> list[tuple[int, str, str]]:
+    return [(i, name, how) for i, want in wants.items() for name, (how, _) in want.items()]
+
+
+def _named(keys: list[tuple[int, str, str]], wants: dict[int, dict[str, Stat]], values: np.ndarray) -> dict[int, dict[str, float]]:
+    out: dict[int, dict[str, float]] = {i: {} for i in wants}
+    for (i, name, _), v in zip(keys, values, strict=True):
+        out[i][name] = float(v)
+    return out
+
+
+def _reduce(packed: DataFrame, requests: dict[int, Request]) -> dict[int, tuple[Expectation, dict[int, dict[str, float]]]]:
+    """The expectation step of several models over packed sequences, and further statistics under their posteriors, in one job."""
+    keys = {r: _keys(wants) for r, (_, wants) in requests.items()}
+    # sums: sequences, logp, initial, transitions, leaving, occupancy, then the emission statistics
+    width = {r: 2 + 3 * model.states + model.states**2 for r, (model, _) in requests.items()}
+
+    def add(data: blocks.Block, rows: dict[int, np.ndarray]) -> None:
+        for r, (model, wants) in requests.items():
+            for e in blocks.expected(model, data):
+                rows[r][: width[r]] += np.concatenate([[e.sequences, e.logp], e.initial, e.transitions.reshape(-1), e.leaving, e.occupancy])
+                _statistics(keys[r], wants, rows[r], width[r], lambda i, e=e: (e.xs, e.gamma[i]))
+
+    hows = {r: ["sum"] * width[r] + [how for _, _, how in keys[r]] for r in requests}
+    found = _totals(packed, hows, add, next(iter(requests.values()))[0].multivariate)
     out = {}
     for r, (model, wants) in requests.items():
-        n = model.states
-        v = np.array([by[r, k]["sum"] if by else 0.0 for k in range(width[r])])
-        parts = np.split(v, np.cumsum([2, n, n * n, n]))
-        values: dict[int, dict[str, float]] = {i: {} for i in wants}
-        for at, (i, name, how) in enumerate(keys[r]):
-            values[i][name] = by[r, width[r] + at][how] if by else first[how]
-        out[r] = Expectation(int(round(v[0])), float(v[1]), parts[1], parts[2].reshape(n, n), parts[3], parts[4]), values
+        n, v = model.states, found[r]
+        parts = np.split(v[: width[r]], np.cumsum([2, n, n * n, n]))
+        out[r] = Expectation(int(round(v[0])), float(v[1]), parts[1], parts[2].reshape(n, n), parts[3], parts[4]), _named(keys[r], wants, v[width[r] :])
     return out
 
 
 def expectation(sequences: DataFrame, model: Hmm) -> Expectation:
     """The expectation step alone."""
     model.require_initialized()
-    return _reduce(sequences, {0: (model, {})})[0][0]
+    return _reduce(blocks.pack(sequences, model), {0: (model, {})})[0][0]
 
 
 def _share(counts: np.ndarray, pseudo: float = 0.0) -> np.ndarray:
@@ -132,13 +143,13 @@ class Training:
         return self.history[-1] if self.history else -math.inf
 
 
-def _steps(sequences: DataFrame, models: dict[int, Hmm], pseudo_count: float, topology: Topology | None) -> dict[int, Step | ValueError]:
+def _steps(packed: DataFrame, models: dict[int, Hmm], pseudo_count: float, topology: Topology | None) -> dict[int, Step | ValueError]:
     """One pass of expectation-maximisation for each model, all in the same jobs: a Step, or why there is none."""
     expected: dict[int, Expectation] = {}
 
     def answer(wants: dict[Any, dict[str, Stat]]) -> dict[Any, dict[str, float]]:
         asking = {r: (models[r], {i: want for (q, i), want in wants.items() if q == r}) for r in {q for q, _ in wants}}
-        found = _reduce(sequences, asking)
+        found = _reduce(packed, asking)
         for r, (e, _) in found.items():
             expected.setdefault(r, e)
         return {(r, i): found[r][1][i] for r, i in wants}
@@ -171,7 +182,7 @@ def baum_welch_step(sequences: DataFrame, model: Hmm, pseudo_count: float = 0.0,
     """One pass of expectation-maximisation. With pseudo_count > 0, symmetric Dirichlet priors on the initial and
     transition probabilities and on Discrete emissions (MAP). Raises if no sequence has a finite likelihood."""
     _check(pseudo_count, model)
-    step = _steps(sequences, {0: model}, pseudo_count, topology)[0]
+    step = _steps(blocks.pack(sequences, model), {0: model}, pseudo_count, topology)[0]
     if isinstance(step, ValueError):
         raise step
     return step
@@ -199,20 +210,26 @@ def baum_welch_many(
     """baum_welch from several models side by side: an iteration is one job however many they are. A model that has
     converged, or can't go on, drops out of the jobs."""
     _check(pseudo_count, *models.values())
+    if not models:
+        return {}
     now, history = dict(models), {r: [] for r in models}
     done: dict[int, Training | ValueError] = {}
-    for _ in range(max_iterations):
-        going = {r: m for r, m in now.items() if r not in done}
-        if not going:
-            break
-        for r, step in _steps(sequences, going, pseudo_count, topology).items():
-            if isinstance(step, ValueError):
-                done[r] = step
-                continue
-            now[r], own = step.model, history[r]
-            own.append(step.logp)
-            if len(own) > 1 and math.isfinite(own[-2]) and abs(own[-1] - own[-2]) <= tolerance * (abs(own[-1]) + 1):
-                done[r] = Training(now[r], tuple(own), True)
+    packed = blocks.pack(sequences, next(iter(models.values())), max(m.states for m in models.values())).cache()
+    try:
+        for _ in range(max_iterations):
+            going = {r: m for r, m in now.items() if r not in done}
+            if not going:
+                break
+            for r, step in _steps(packed, going, pseudo_count, topology).items():
+                if isinstance(step, ValueError):
+                    done[r] = step
+                    continue
+                now[r], own = step.model, history[r]
+                own.append(step.logp)
+                if len(own) > 1 and math.isfinite(own[-2]) and abs(own[-1] - own[-2]) <= tolerance * (abs(own[-1]) + 1):
+                    done[r] = Training(now[r], tuple(own), True)
+    finally:
+        packed.unpersist()
     return {r: done.get(r, Training(now[r], tuple(history[r]), False, True)) for r in models}
 
 
