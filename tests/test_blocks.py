@@ -74,6 +74,15 @@ def test_iterations_read_cached_blocks(spark, monkeypatch):
     assert seen == [True] * 3
 
 
+def test_an_iteration_has_as_many_tasks_as_cores_need(spark):
+    """However many partitions the sequences have, most of them next to empty."""
+    many = table(spark, ragged(4)).repartition(60)
+    found = blocks.pack(many, FORWARD).cache()
+    assert found.rdd.getNumPartitions() <= blocks.TASKS * spark.sparkContext.defaultParallelism
+    assert sum(len(r["xs"]) for r in found.collect()) == 8 * sum(map(len, ragged(4)))
+    found.unpersist()
+
+
 def test_vector_lists_are_read_at_once():
     import pyarrow as pa
 
