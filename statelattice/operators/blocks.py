@@ -185,3 +185,54 @@ def expected(model: Hmm, data: Block) -> Iterator[Expected]:
     else:
         kept = gamma
     yield Expected(int((~odd).sum()), float(np.log(scale).sum() + top.sum()), initial, trans * counts, leaving, occupancy, xs, kept)
+
+
+@dataclass(frozen=True)
+class Assigned:
+    """Counts over the best paths of a block's possible sequences; xs and states are the steps of these."""
+
+    sequences: int
+    logp: float
+    initial: np.ndarray
+    moves: np.ndarray
+    xs: np.ndarray
+    states: np.ndarray
+
+
+def assigned(model: Hmm, data: Block) -> Assigned:
+    """Best paths, ties to the lowest state."""
+    starts, n = data.starts, model.states
+    cuts = [(int(s), int(e)) for s, e in zip(starts[:-1], starts[1:], strict=True)]
+    first, step = int(starts[1]), model.log_trans
+    b = np.empty((n, len(data.xs)))
+    for i, e in enumerate(model.emissions):
+        b[i] = e.logpdf(data.xs)
+    back = np.zeros(b.shape, np.min_scalar_type(n))
+    best = b  # in its place
+    best[:, :first] += model.log_pi[:, None]
+    for (s, _), (u, v) in zip(cuts, cuts[1:], strict=False):
+        before = best[:, s : s + v - u]
+        now = before[0] + step[0][:, None]
+        for i in range(1, n):
+            reach = before[i] + step[i][:, None]
+            np.copyto(back[:, u:v], i, where=reach > now)
+            np.maximum(now, reach, out=now)
+        best[:, u:v] += now
+    last = starts[data.lengths - 1] + np.arange(len(data.lengths))
+    ends = best[:, last]
+    logp, state = ends.max(0), ends.argmax(0)
+    states = np.empty(len(data.xs), np.int64)
+    for t in range(len(cuts) - 1, -1, -1):
+        u, v = cuts[t]
+        states[u:v] = state[: v - u]
+        if t:
+            state[: v - u] = back[state[: v - u], np.arange(u, v)]
+    ok, xs = logp > -math.inf, data.xs
+    keep = np.ones(len(xs), bool) if ok.all() else ok[data.owners()]
+    moves = np.zeros(n * n)
+    for (s, _), (u, v) in zip(cuts, cuts[1:], strict=False):
+        moves += np.bincount((states[s : s + v - u] * n + states[u:v])[keep[u:v]], minlength=n * n)
+    initial = np.bincount(states[:first][keep[:first]], minlength=n)
+    if not ok.all():
+        xs, states = xs[keep], states[keep]
+    return Assigned(int(ok.sum()), float(logp[ok].sum()), initial, moves.reshape(n, n), xs, states)

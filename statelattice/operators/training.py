@@ -275,6 +275,13 @@ def hard_counts(steps: DataFrame) -> DataFrame:
     return moves.unionByName(starts.withColumn("following", F.lit(None).cast("int")))
 
 
+def _hard_model(model: Hmm, initial: np.ndarray, moves: np.ndarray, fitted: dict[int, Emission], starts_of: float | None = None) -> Hmm:
+    """The model of hard counts; states without a fit are reset."""
+    pi = initial / starts_of if starts_of else _share(initial)
+    trans = np.array([_share(row) for row in moves])
+    return Hmm(tuple(pi), tuple(map(tuple, trans)), tuple(fitted.get(i, model.emissions[i].reset()) for i in range(model.states)))
+
+
 def _maximise(steps: DataFrame, model: Hmm, starts_of: float | None = None) -> Hmm:
     n = model.states
     initial, moves, seen = np.zeros(n), np.zeros((n, n)), np.zeros(n)
@@ -285,38 +292,69 @@ def _maximise(steps: DataFrame, model: Hmm, starts_of: float | None = None) -> H
             initial[r["state"]] += r["n"]
         if r["following"] is not None:
             moves[r["state"], r["following"]] += r["n"]
-    pi = initial / starts_of if starts_of else _share(initial)
-    trans = np.array([_share(row) for row in moves])
     fitted = fit_groups(steps, {i: e for i, e in enumerate(model.emissions) if seen[i]}, "state", "x")
-    return Hmm(tuple(pi), tuple(map(tuple, trans)), tuple(fitted.get(i, model.emissions[i].reset()) for i in range(n)))
+    return _hard_model(model, initial, moves, fitted, starts_of)
+
+
+def _assign(packed: DataFrame, model: Hmm, wants: dict[int, dict[str, Stat]]) -> tuple[np.ndarray, dict[int, dict[str, float]]]:
+    """Sums over the best paths (sequences, log-probability, first states, moves, steps of each state) and statistics
+    of each state's observations, in one job."""
+    n, keys = model.states, _keys(wants)
+    width = 2 + 2 * n + n * n
+
+    def add(data: blocks.Block, rows: dict[int, np.ndarray]) -> None:
+        a = blocks.assigned(model, data)
+        seen = np.bincount(a.states, minlength=n)
+        rows[0][:width] += np.concatenate([[a.sequences, a.logp], a.initial, a.moves.reshape(-1), seen])
+
+        def of(i: int) -> tuple[np.ndarray, np.ndarray]:
+            x = a.xs[a.states == i]
+            return x, np.ones(len(x))
+
+        _statistics(keys, wants, rows[0], width, of)
+
+    row = _totals(packed, {0: ["sum"] * width + [how for _, _, how in keys]}, add, model.multivariate)[0]
+    return row[:width], _named(keys, wants, row[width:])
+
+
+def _hard_step(packed: DataFrame, model: Hmm) -> Step:
+    n, first = model.states, {}
+    for i, e in enumerate(model.emissions):
+        first[i] = next(e.fitting(False), {})
+    # the first round of every fit comes with the counts
+    sums, values = _assign(packed, model, first)
+    if not sums[0]:
+        return Step(model, -math.inf)
+    _, initial, moves, seen = np.split(sums, np.cumsum([2, n, n * n]))
+    known = [values]
+    answer = lambda wants: known.pop() if known else _assign(packed, model, wants)[1]
+    fitted = fit_many({i: e for i, e in enumerate(model.emissions) if seen[i]}, answer, weighted=False)
+    return Step(_hard_model(model, initial, moves.reshape(n, n), fitted), float(sums[1]))
 
 
 def viterbi_step(sequences: DataFrame, model: Hmm) -> Step:
     """Hard assignment by the best paths, then counts and unweighted fits; a state without steps is reset. Sequences
     of probability 0 are left out; if that is all of them the model stays."""
-    paths = inference.viterbi(sequences, model).where(F.col("logp") > F.lit(-math.inf))
-    paths = paths.cache()
-    try:
-        total = paths.agg(F.sum("logp")).first()[0]
-        if total is None:
-            return Step(model, -math.inf)
-        return Step(_maximise(_assigned(sequences, paths), model), float(total))
-    finally:
-        paths.unpersist()
+    model.require_initialized()
+    return _hard_step(blocks.pack(sequences, model), model)
 
 
 def viterbi_training(sequences: DataFrame, model: Hmm, config: HardConfig = BALANCED) -> Training:
     """Hard steps until the path log-probabilities of a whole window differ by less than the tolerance."""
     model.require_initialized()
     history: list[float] = []
-    for _ in range(config.max_iterations):
-        step = viterbi_step(sequences, model)
-        model = step.model
-        history.append(step.logp)
-        last = history[-config.window :]
-        if len(last) == config.window and all(abs(b - a) < config.tolerance for a, b in zip(last, last[1:], strict=False)):
-            return Training(model, tuple(history), True)
-    return Training(model, tuple(history), False, True)
+    packed = blocks.pack(sequences, model).cache()
+    try:
+        for _ in range(config.max_iterations):
+            step = _hard_step(packed, model)
+            model = step.model
+            history.append(step.logp)
+            last = history[-config.window :]
+            if len(last) == config.window and all(abs(b - a) < config.tolerance for a, b in zip(last, last[1:], strict=False)):
+                return Training(model, tuple(history), True)
+        return Training(model, tuple(history), False, True)
+    finally:
+        packed.unpersist()
 
 
 def even_paths(sequences: DataFrame, states: int) -> DataFrame:

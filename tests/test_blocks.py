@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pytest
 
-from statelattice.operators import blocks, inference, training
+from statelattice.operators import blocks, inference, kernels, training
 from statelattice.operators.emissions import Discrete, Gaussian
 from statelattice.operators.model import Hmm
 from statelattice.operators.topology import Topology, initialize
@@ -54,6 +54,21 @@ def test_a_state_that_only_later_steps_need_is_not_lost():
     assert found.occupancy == pytest.approx([41, 0]) and found.logp == pytest.approx(math.log(0.5) + 40 * math.log(1e-12), rel=1e-9)
 
 
+@pytest.mark.parametrize("model", [ONE, MODEL, FORWARD, THREE])
+def test_paths_equal_those_of_the_kernel(model):
+    own = sorted([*ragged(1), np.array([math.nan, 2.0])], key=len, reverse=True)
+    lengths = np.array([len(s) for s in own])
+    logp, paths = kernels.viterbi(model, kernels.emissions(model, own), lengths)
+    paths = [p[:n] for p, n, v in zip(paths, lengths, logp, strict=True) if v > -math.inf]
+    found = blocks.assigned(model, blocks.block(own))
+    assert found.logp == pytest.approx(logp[logp > -math.inf].sum()) and found.sequences == len(paths) == 6
+    n = model.states
+    np.testing.assert_array_equal(found.initial, np.bincount([p[0] for p in paths], minlength=n))
+    moves = np.bincount(np.concatenate([p[:-1] * n + p[1:] for p in paths]), minlength=n * n)
+    np.testing.assert_array_equal(found.moves, moves.reshape(n, n))
+    np.testing.assert_array_equal(np.bincount(found.states, minlength=n), np.bincount(np.concatenate(paths), minlength=n))
+
+
 def table(spark, sequences):
     return spark.createDataFrame([(i, [float(v) for v in s]) for i, s in enumerate(sequences)], "seq_id long, xs array<double>")
 
@@ -72,6 +87,9 @@ def test_iterations_read_cached_blocks(spark, monkeypatch):
     monkeypatch.setattr(training, "_totals", lambda packed, *a: seen.append(packed.storageLevel.useMemory) or of(packed, *a))
     training.baum_welch(table(spark, ragged(3)).repartition(5), FORWARD, 3, tolerance=0, topology=Topology("left_to_right"))
     assert seen == [True] * 3
+    seen.clear()
+    training.viterbi_training(table(spark, ragged(3)), MODEL, training.FAST)
+    assert len(seen) >= 2 and all(seen)
 
 
 def test_an_iteration_has_as_many_tasks_as_cores_need(spark):
