@@ -63,13 +63,14 @@ def block(sequences: list[np.ndarray]) -> Block:
     return Block(lengths[order], flat[np.argsort(t, kind="stable")])
 
 
-def pack(sequences: DataFrame, model: Hmm, states: int | None = None) -> DataFrame:
-    """The non-empty sequences as rows of blocks. Cache it where it is read more than once."""
-    size = max(1, WORK // (states or model.states))
+def pack(sequences: DataFrame, multivariate: bool, states: int) -> DataFrame:
+    """The non-empty sequences as rows of blocks, for models of up to `states` states. Cache it where it is read more
+    than once."""
+    size = max(1, WORK // states)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs = inference._lists(batch.column(0), model)
+            xs = inference._lists(batch.column(0), multivariate)
             groups: dict[int, list[np.ndarray]] = {}
             for s in sorted(xs, key=len, reverse=True):
                 groups.setdefault(s.shape[1] if s.ndim > 1 else 1, []).append(s)

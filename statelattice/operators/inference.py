@@ -62,9 +62,9 @@ def _scored(model: Hmm, sequences: DataFrame, join: Callable[[Column], Column])
 # -- Arrow -----------------------------------------------------------------------------------------------------
 
 
-def _lists(column: pa.Array, model: Hmm) -> list[np.ndarray]:
+def _lists(column: pa.Array, multivariate: bool) -> list[np.ndarray]:
     """The sequences of an Arrow list column, T or T x D each."""
-    if model.multivariate:
+    if multivariate:
         vectors = column.flatten()
         sizes = vectors.value_lengths()
         if len(vectors) and not vectors.null_count and sizes[0].as_py() and pc.min_max(sizes)["min"] == pc.min_max(sizes)["max"]:
@@ -86,7 +86,7 @@ def over_batches(sequences: DataFrame, model: Hmm, schema: str, work: Callable[[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, xs = batch.column(0), _lists(batch.column(1), model)
+            ids, xs = batch.column(0), _lists(batch.column(1), model.multivariate)
             lengths = np.array([len(s) for s in xs], int)
             for part in kernels.blocks(lengths, model.states):
                 yield work(ids.take(pa.array(part)), [xs[i] for i in part], lengths[part])
@@ -125,7 +125,7 @@ def score_chunked(steps: DataFrame, model: Hmm, chunk: int = 4096) -> DataFrame:
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs, out = _lists(batch.column(2), model), []
+            xs, out = _lists(batch.column(2), model.multivariate), []
             for c, x in zip(batch.column(1).to_pylist(), xs, strict=True):
                 b = np.stack([e.logpdf(x) for e in model.emissions], 1)
                 # row i: from state i just before the chunk (the first chunk starts from pi instead)
@@ -249,7 +249,7 @@ def total_log_likelihoods(sequences: DataFrame, models: dict[Any, Hmm]) -> dict[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, logp = 0, np.zeros(len(listed))
         for batch in batches:
-            xs = _lists(batch.column(0), listed[0][1])
+            xs = _lists(batch.column(0), listed[0][1].multivariate)
             lengths = np.array([len(s) for s in xs], int)
             n += int(lengths.sum())
             for i, (_, model) in enumerate(listed):

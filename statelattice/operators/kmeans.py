@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
 from .emissions import fit_groups
 from .model import Hmm
 
@@ -42,17 +46,52 @@ def seed_centres(points: DataFrame, k: int, seed: int = 0) -> list[list[float]]:
     return centres
 
 
+def _sums(packed: DataFrame, centres: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+    """(k x D sums, k sizes) of the points nearest to each centre, the lowest of equals, in one job over packed blocks."""
+    k, dim = len(centres), len(centres[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, dim + 1))
+        for batch in batches:
+            for data in blocks.unpacked(batch, True):
+                x = data.xs.T
+                if len(x) != dim:
+                    raise ValueError("the points differ in size from the centres")
+                d = np.zeros((k, x.shape[1]))
+                for i, c in enumerate(centres):
+                    for row, v in zip(x, c, strict=True):
+                        gap = row - v
+                        gap *= gap
+                        d[i] += gap
+                near = np.where(np.isnan(d), np.inf, d).argmin(0)
+                total[:, dim] += np.bincount(near, minlength=k)
+                for j, row in enumerate(x):
+                    total[:, j] += np.bincount(near, row, minlength=k)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+
+    found = packed.mapInArrow(run, "v binary").collect()  # one row a task
+    total = np.sum([np.zeros((k, dim + 1)), *(np.frombuffer(r["v"]).reshape(k, dim + 1) for r in found)], 0)
+    return total[:, :dim], total[:, dim]
+
+
 def lloyd(points: DataFrame, centres: list[list[float]], max_iterations: int = 100) -> list[list[float]]:
     """Centres after Lloyd's iterations; a cluster without points keeps its centre. points(x ARRAY<DOUBLE>)."""
-    for _ in range(max_iterations):
-        near = points.select("x", nearest(F.col("x"), centres).alias("c"))
-        means = near.select("c", F.posexplode("x").alias("d", "v")).groupBy("c", "d").agg(F.avg("v").alias("m")).collect()  # k * D rows
-        new = [list(c) for c in centres]
-        for r in means:
-            new[r["c"]][r["d"]] = r["m"]
-        if np.allclose(new, centres, rtol=0, atol=0):
-            break
-        centres = new
+    return _lloyd(blocks.pack(points.select(F.array("x").alias("xs")), multivariate=True, states=len(centres)), centres, max_iterations)
+
+
+def _lloyd(packed: DataFrame, centres: list[list[float]], max_iterations: int) -> list[list[float]]:
+    """Lloyd's iterations over packed points. Blocks are cached and summed in one order: centres that stand still do so
+    in all digits, which ends the iterations."""
+    packed = packed.cache()
+    try:
+        for _ in range(max_iterations):
+            sums, sizes = _sums(packed, centres)
+            new = [[float(v) for v in row / n] if n else list(c) for row, n, c in zip(sums, sizes, centres, strict=True)]
+            if np.allclose(new, centres, rtol=0, atol=0):
+                break
+            centres = new
+    finally:
+        packed.unpersist()
     return centres
 
 
@@ -63,7 +102,8 @@ def kmeans_init(sequences: DataFrame, model: Hmm, seed: int = 0, max_iterations:
     points = points if model.multivariate else points.select(F.array("x").alias("x"))
     points = points.cache()
     try:
-        centres = lloyd(points, seed_centres(points, model.states, seed), max_iterations)
+        packed = blocks.pack(sequences, model.multivariate, model.states)
+        centres = _lloyd(packed, seed_centres(points, model.states, seed), max_iterations)
         rows = points.select("x", nearest(F.col("x"), centres).alias("c"))
         sizes = {r["c"]: r["n"] for r in rows.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
         rows = rows if model.multivariate else rows.withColumn("x", F.col("x")[0])

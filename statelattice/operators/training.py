@@ -114,7 +114,7 @@ def _reduce(packed: DataFrame, requests: dict[int, Request]) -> dict[int, tuple[
 def expectation(sequences: DataFrame, model: Hmm) -> Expectation:
     """The expectation step alone."""
     model.require_initialized()
-    return _reduce(blocks.pack(sequences, model), {0: (model, {})})[0][0]
+    return _reduce(blocks.pack(sequences, model.multivariate, model.states), {0: (model, {})})[0][0]
 
 
 def _share(counts: np.ndarray, pseudo: float = 0.0) -> np.ndarray:
@@ -182,7 +182,7 @@ def baum_welch_step(sequences: DataFrame, model: Hmm, pseudo_count: float = 0.0,
     """One pass of expectation-maximisation. With pseudo_count > 0, symmetric Dirichlet priors on the initial and
     transition probabilities and on Discrete emissions (MAP). Raises if no sequence has a finite likelihood."""
     _check(pseudo_count, model)
-    step = _steps(blocks.pack(sequences, model), {0: model}, pseudo_count, topology)[0]
+    step = _steps(blocks.pack(sequences, model.multivariate, model.states), {0: model}, pseudo_count, topology)[0]
     if isinstance(step, ValueError):
         raise step
     return step
@@ -214,7 +214,7 @@ def baum_welch_many(
         return {}
     now, history = dict(models), {r: [] for r in models}
     done: dict[int, Training | ValueError] = {}
-    packed = blocks.pack(sequences, next(iter(models.values())), max(m.states for m in models.values())).cache()
+    packed = blocks.pack(sequences, next(iter(models.values())).multivariate, max(m.states for m in models.values())).cache()
     try:
         for _ in range(max_iterations):
             going = {r: m for r, m in now.items() if r not in done}
@@ -336,14 +336,14 @@ def viterbi_step(sequences: DataFrame, model: Hmm) -> Step:
     """Hard assignment by the best paths, then counts and unweighted fits; a state without steps is reset. Sequences
     of probability 0 are left out; if that is all of them the model stays."""
     model.require_initialized()
-    return _hard_step(blocks.pack(sequences, model), model)
+    return _hard_step(blocks.pack(sequences, model.multivariate, model.states), model)
 
 
 def viterbi_training(sequences: DataFrame, model: Hmm, config: HardConfig = BALANCED) -> Training:
     """Hard steps until the path log-probabilities of a whole window differ by less than the tolerance."""
     model.require_initialized()
     history: list[float] = []
-    packed = blocks.pack(sequences, model).cache()
+    packed = blocks.pack(sequences, model.multivariate, model.states).cache()
     try:
         for _ in range(config.max_iterations):
             step = _hard_step(packed, model)

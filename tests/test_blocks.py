@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from statelattice.operators import blocks, inference, kernels, training
+from statelattice.operators import blocks, inference, kernels, kmeans, training
 from statelattice.operators.emissions import Discrete, Gaussian
 from statelattice.operators.model import Hmm
 from statelattice.operators.topology import Topology, initialize
@@ -76,7 +77,7 @@ def table(spark, sequences):
 def test_packing_keeps_all_steps(spark, monkeypatch):
     monkeypatch.setattr(blocks, "WORK", 64)  # many blocks, and sequences longer than one
     own = ragged(2, (5, 0, 90, 1, 33, 33, 12))
-    rows = blocks.pack(table(spark, own), MODEL).collect()
+    rows = blocks.pack(table(spark, own), False, 2).collect()
     assert len(rows) > 3 and sum(len(r["xs"]) for r in rows) == 8 * sum(map(len, own))
     assert training.expectation(table(spark, own), MODEL).occupancy.sum() == pytest.approx(174)
 
@@ -95,21 +96,30 @@ def test_iterations_read_cached_blocks(spark, monkeypatch):
 def test_an_iteration_has_as_many_tasks_as_cores_need(spark):
     """However many partitions the sequences have, most of them next to empty."""
     many = table(spark, ragged(4)).repartition(60)
-    found = blocks.pack(many, FORWARD).cache()
+    found = blocks.pack(many, False, 2).cache()
     assert found.rdd.getNumPartitions() <= blocks.TASKS * spark.sparkContext.defaultParallelism
     assert sum(len(r["xs"]) for r in found.collect()) == 8 * sum(map(len, ragged(4)))
     found.unpersist()
 
 
 def test_vector_lists_are_read_at_once():
-    import pyarrow as pa
-
-    from statelattice.operators.multivariate import DiagonalGaussian
-
-    model = Hmm.uniform([DiagonalGaussian((0, 0), (1, 1))])
     column = pa.array([[[1.0, 2.0]], [[3.0, None], [5.0, 6.0]]], pa.list_(pa.list_(pa.float64())))
-    one, two = inference._lists(column, model)
+    one, two = inference._lists(column, True)
     np.testing.assert_array_equal(one, [[1, 2]])
     np.testing.assert_array_equal(two, [[3, math.nan], [5, 6]])
     with pytest.raises(ValueError, match="differ in dimension"):
-        inference._lists(pa.array([[[1.0], [1.0, 2.0]]], column.type), model)
+        inference._lists(pa.array([[[1.0], [1.0, 2.0]]], column.type), True)
+
+
+def test_rounds_of_kmeans_do_not_explode_points(spark, monkeypatch):
+    """A round is one pass over cached blocks; sums come in one order, so centres come to a stand in all digits."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0.1, 1, (300, 2)), rng.normal([4, 3], 1, (200, 2))])
+    points = spark.createDataFrame([(row.tolist(),) for row in x], "x array<double>").repartition(7)
+    rounds, of = [], kmeans._sums
+    monkeypatch.setattr(kmeans, "_sums", lambda packed, centres: rounds.append(packed.storageLevel.useMemory) or of(packed, centres))
+    found = kmeans.lloyd(points, [[0.0, 0.0], [1.0, 1.0], [99.0, 99.0]])
+    assert all(rounds) and len(rounds) < 60
+    near = ((x[:, None] - np.array(found)[None]) ** 2).sum(2).argmin(1)
+    assert found[2] == [99.0, 99.0]
+    np.testing.assert_allclose(found[:2], [x[near == i].mean(0) for i in (0, 1)], rtol=1e-12)
